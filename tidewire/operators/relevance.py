@@ -148,8 +148,8 @@ def _context(field: Column, pattern: Column) -> Column:
     UTF-16 units.
     """
     located = F.concat(F.lit("(?s)^(.*?)(?-s)((?:"), pattern, F.lit("))"))
-    start = F.length(F.regexp_extract(field, located, 1))
-    length = F.length(F.regexp_extract(field, located, 2))
+    start = F.length(F.call_function("regexp_extract", field, located, F.lit(1)))
+    length = F.length(F.call_function("regexp_extract", field, located, F.lit(2)))
     left = F.greatest(start - CONTEXT, F.lit(0))
     window = F.substring(field, left + 1, start + length + CONTEXT - left)
     found = (field != "") & X.matches(field, pattern)

@@ -89,9 +89,14 @@ def _pattern(words: list[str]) -> str:
     return "(?i)" + "|".join(map(_literal, words)) if words else "."
 
 
+def _whole_word(words: str) -> str:
+    """A Unicode word border; the SQL engine's own border knows ASCII only."""
+    return f"(?i)(?:^|[^\\p{{L}}\\p{{N}}_]){words}(?:$|[^\\p{{L}}\\p{{N}}_])"
+
+
 def _rule_row(ticker: str, lists: dict[str, list[str]]) -> str:
     aliases = lists["aliases"]
-    whole = "(?i)\\b(?:" + "|".join(map(_literal, aliases)) + ")\\b" if aliases else "a^"
+    whole = _whole_word("(?:" + "|".join(map(_literal, aliases)) + ")") if aliases else "a^"
     values = [
         ticker, aliases[0] if aliases else "the target stock", whole, _pattern(aliases),
         _pattern(lists["direct_keywords"] + lists["products"]),
@@ -105,7 +110,9 @@ RULE_TABLE = (
     + ", ".join(_rule_row(*item) for item in WORD_LISTS.items())
     + ")"
 )
-_HIGH, _MID = (p.replace("(?iuU)", "(?i)") for p in (HIGH_TIER, MID_TIER))
+_HIGH, _MID = (
+    _whole_word(p.removeprefix("(?iuU)\\b").removesuffix("\\b")) for p in (HIGH_TIER, MID_TIER)
+)
 
 RELEVANCE = f"""
 {RULE_TABLE},
@@ -240,7 +247,7 @@ dropped as (select ticker, o from nodes except select ticker, o from survivors)
 
 _COMPARABLE = """
 ordered as (
-  select ticker, ord, date, headline, summary, length(summary) as size,
+  select ticker, ord, date, headline, source, summary, length(summary) as size,
          row_number() over (partition by ticker order by date, ord) as o
   from news)
 """
@@ -390,10 +397,10 @@ select ticker, ord, raw_date, source, reject_reason from marked where reject_rea
 select ticker, coalesce(reject_reason, 'kept') as outcome, count(*) as num_rows
 from marked group by all""",
     "integrity_report": f"""with {NEWS}
-select ticker, count(*) as num_rows, count_if(date is null) as null_date,
-       count_if(headline is null) as null_headline, count_if(summary is null) as null_summary,
+select ticker, count(*) as num_rows, count_if(date is null)::bigint as null_date,
+       count_if(headline is null)::bigint as null_headline, count_if(summary is null)::bigint as null_summary,
        count_if(contains(upper(headline), '#NAME?') or contains(upper(summary), '#NAME?'))
-         as placeholder,
+         ::bigint as placeholder,
        count(*) - count(distinct headline) as duplicate_headline,
        count(*) - count(distinct summary) as duplicate_summary
 from news group by ticker""",
