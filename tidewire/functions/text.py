@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def null_tokens(c: Column) -> Column:
 
 
 def strip_quotes(c: Column) -> Column:
-    return F.translate(c, "\"'", "")
+    return F.replace(F.replace(c, F.lit('"'), F.lit("")), F.lit("'"), F.lit(""))
 
 
 def blank_to_null(c: Column) -> Column:
@@ -46,9 +48,29 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def _shape(date_format: str) -> str:
+    """Regular expression of the texts a date format can read, such as d/M/yyyy."""
+    def piece(match: re.Match) -> str:
+        token = match.group()
+        if token[0] == "'":
+            return re.escape(token[1:-1])
+        if token[0] == "X":
+            return "(Z|[+-]\\d{2}:\\d{2})"
+        if token[0].isalpha():
+            return "\\d{1,2}" if len(token) == 1 else f"\\d{{{len(token)}}}"
+        return re.escape(token)
+
+    return "^" + re.sub(r"'[^']*'|([a-zA-Z])\1*|.", piece, date_format) + "$"
+
+
 def parse_date(c: Column, formats: list[str] | None = None) -> Column:
-    """First format that fits, as a DATE; null when none does."""
-    tries = [F.try_to_timestamp(c, F.lit(f)) for f in formats or DATE_FORMATS]
+    """First format that fits, as a DATE; null when none does.
+
+    A format is only tried on text of its shape, since a failed parse is slow.
+    """
+    tries = [
+        F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats or DATE_FORMATS
+    ]
     return F.coalesce(*tries).cast("date")
 
 
@@ -69,9 +91,17 @@ def has_placeholder(c: Column) -> Column:
     return F.upper(c).contains("#NAME?")
 
 
+def folded(c: Column) -> Column:
+    """Text under which any two spellings that differ in case only are equal."""
+    return F.upper(F.lower(F.replace(c, F.lit("İ"), F.lit("I"))))
+
+
 def is_promotion(summary: Column) -> Column:
-    """The promotion sentence names its site, so the two short patterns cover it."""
-    return summary.rlike("(?iuU)\\bZacks\\.com\\b|\\bproven\\s+results\\b")
+    """The promotion sentence names its site, so the two short patterns cover it. Word borders
+    are slow to search for; a plain search decides whether to look."""
+    text = folded(summary)
+    likely = text.contains("ZACKS.COM") | text.contains("PROVEN")
+    return likely & summary.rlike("(?iuU)\\bZacks\\.com\\b|\\bproven\\s+results\\b")
 
 
 def comparison_text(headline: Column, summary: Column) -> Column:
@@ -104,6 +134,13 @@ def matches(text: Column, pattern: Column) -> Column:
     return F.regexp_instr(text, pattern) > 0
 
 
+def may_contain(folded_text: Column, folded_words: Column) -> Column:
+    """Whether any word occurs, case aside; a quick test before a pattern search. Null words
+    stand for a pattern that is not made of words."""
+    found = F.exists(folded_words, lambda word: folded_text.contains(word))
+    return folded_words.isNull() | found
+
+
 def ticker_from_path(path: Column) -> Column:
     """``.../ABT_cleaned.csv`` -> ``ABT``."""
     return F.upper(F.regexp_extract(path, "([^/_]+)_[^/]*$", 1))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
+from tidewire.functions.columns import computed_once
 from tidewire.schemas import ARTICLE_COLUMNS, require_columns
 
 NEWS_COLUMNS = ["ticker", "ord", *ARTICLE_COLUMNS]
@@ -32,15 +33,20 @@ def apply_row_rules(raw: DataFrame, date_formats: list[str] | None = None) -> Da
     ``raw_date`` keeps the text a bad date was read from.
     """
     raw = require_columns(normalize_columns(raw), NEWS_COLUMNS, "raw news")
-    fields = {c: X.null_tokens(X.strip_quotes(F.col(c))) for c in ARTICLE_COLUMNS}
-    typed = raw.select(
-        "ticker",
-        "ord",
-        fields["date"].alias("raw_date"),
-        X.parse_date(fields["date"], date_formats).alias("date"),
-        X.blank_to_null(fields["headline"]).alias("headline"),
-        fields["source"].alias("source"),
-        X.blank_to_null(fields["summary"]).alias("summary"),
+    bare = computed_once(
+        raw, ["ticker", "ord"], {c: X.strip_quotes(F.col(c)) for c in ARTICLE_COLUMNS}
+    )
+    date = X.null_tokens(F.col("date"))
+    typed = computed_once(
+        bare,
+        ["ticker", "ord"],
+        {
+            "raw_date": date,
+            "date": X.parse_date(date, date_formats),
+            "headline": X.blank_to_null(X.null_tokens(F.col("headline"))),
+            "source": X.null_tokens(F.col("source")),
+            "summary": X.blank_to_null(X.null_tokens(F.col("summary"))),
+        },
     )
     headline, summary = F.col("headline"), F.col("summary")
     reason = (
@@ -49,7 +55,7 @@ def apply_row_rules(raw: DataFrame, date_formats: list[str] | None = None) -> Da
         .when(X.has_placeholder(headline) | X.has_placeholder(summary), "placeholder")
         .when(X.is_promotion(summary), "promotion")
     )
-    return typed.withColumn("reject_reason", reason)
+    return computed_once(typed, typed.columns, {"reject_reason": reason})
 
 
 def _first_rows(ruled: DataFrame) -> tuple[DataFrame, DataFrame]:

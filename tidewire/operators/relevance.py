@@ -45,6 +45,9 @@ def rule_patterns(rules: DataFrame) -> DataFrame:
         found = F.concat(F.lit("(?iu)"), X.any_of(array))
         return F.when(F.size(array) > 0, found).otherwise(F.lit(NO_LIST))
 
+    def quick(array: Column) -> Column:
+        return F.when(F.size(array) > 0, F.array_distinct(F.transform(array, X.folded)))
+
     aliases = words["aliases"]
     whole_word = F.concat(F.lit("(?iuU)\\b(?:"), X.any_of(aliases), F.lit(")\\b"))
     return rules.select(
@@ -55,6 +58,10 @@ def rule_patterns(rules: DataFrame) -> DataFrame:
         listed(direct).alias("direct_re"),
         listed(words["indirect_keywords"]).alias("indirect_re"),
         listed(words["low_signal_phrases"]).alias("low_re"),
+        quick(aliases).alias("target_words"),
+        quick(direct).alias("direct_words"),
+        quick(words["indirect_keywords"]).alias("indirect_words"),
+        quick(words["low_signal_phrases"]).alias("low_words"),
     )
 
 
@@ -64,18 +71,25 @@ def _with_branch(articles: DataFrame, rules: DataFrame) -> DataFrame:
         articles, rule_patterns(rules), ["ticker"], "inner", salt_by=["ticker", "ord"]
     )
     text = X.joined_text(F.col("headline"), F.col("source"), F.col("summary"))
-    is_target = X.matches(F.col("_text"), F.col("target_re"))
-    second_re = F.when(F.col("_target"), F.col("direct_re")).otherwise(F.col("indirect_re"))
+    either = {
+        kind: F.when(F.col("_target"), F.col(f"direct_{kind}")).otherwise(F.col(f"indirect_{kind}"))
+        for kind in ("re", "words")
+    }
     return (
         patterned.withColumn("_text", text)
-        .withColumn("_target", is_target)
-        .withColumn("_hit", X.matches(F.col("_text"), second_re))
+        .withColumn("_folded", X.folded(F.col("_text")))
+        .withColumn("_target", _found(F.col("target_re"), F.col("target_words")))
+        .withColumn("_hit", _found(either["re"], either["words"]))
     )
 
 
+def _found(pattern: Column, words: Column) -> Column:
+    return X.may_contain(F.col("_folded"), words) & X.matches(F.col("_text"), pattern)
+
+
 def _score() -> Column:
     text = F.col("_text")
-    low = X.matches(text, F.col("low_re"))
+    low = _found(F.col("low_re"), F.col("low_words"))
     direct = F.when(text.rlike(HIGH_TIER), 0.92).when(text.rlike(MID_TIER), 0.86).otherwise(0.75)
     return (
         F.when(F.col("_target") & F.col("_hit"), direct)

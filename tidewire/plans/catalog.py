@@ -22,7 +22,7 @@ from tidewire.schemas import RULES
 
 SAMPLE_ROWS = 120
 ROLLING_COSINE = 0.20
-DIGITS = 6
+DIGITS = 9
 
 # Word lists and weights for the invented prose and sources of the driver's tables.
 WORD_LISTS = {

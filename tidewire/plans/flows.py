@@ -12,6 +12,7 @@ from tidewire.operators.sampling import stratified_sample
 from tidewire.operators.score import daily_sentiment_by_article, daily_sentiment_by_date
 from tidewire.operators.trust import trust_scores
 from tidewire.operators.vectors import tfidf_vectors
+from tidewire.session import materialize
 
 
 def processed_news(
@@ -20,11 +21,14 @@ def processed_news(
     threshold: float = THRESHOLD,
     lookback: int = LOOKBACK_DAYS,
 ) -> DataFrame:
-    """Clean, then drop rolling near-duplicates; TF-IDF vectors unless others are given."""
-    cleaned = clean_news(raw)
+    """Clean, then drop rolling near-duplicates; TF-IDF vectors unless others are given.
+
+    Both stages are read several times by what follows, so each is stored once.
+    """
+    cleaned = materialize(clean_news(raw))
     if vectors is None:
         vectors = tfidf_vectors(cleaned)
-    return rolling_dedup(cleaned, vectors, threshold, lookback)
+    return materialize(rolling_dedup(cleaned, vectors, threshold, lookback))
 
 
 def labelling_sample(processed: DataFrame, n_total: int | dict[str, int] = 1000, seed: int = 42):
