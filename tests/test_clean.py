@@ -1,0 +1,125 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.functions import text as X
+from tidewire.operators import clean
+
+
+def test_row_rules_and_reasons(articles):
+    rows = [
+        ("A", 0, "2024-10-12", "First 'one'", "Yahoo", 'Body "x"'),
+        ("A", 1, "31/12/2024", "Second", "NA", "Other body"),
+        ("A", 2, "32/12/2024", "Bad", "s", "b"),
+        ("A", 3, "2024-10-12", "NA", "s", "b1"),
+        ("A", 4, "2024-10-12", "   \n", "s", "b2"),
+        ("A", 5, "2024-10-12", "h5", "s", "''"),
+        ("A", 6, "2024-10-12", "x #name? y", "s", "b3"),
+        ("A", 7, "2024-10-12", "h7", "s", "see ZACKS.com today"),
+        ("A", 8, "2024-10-12", "h8", "s", "with proven \n results."),
+        ("A", 9, "2024-10-12", "h9", "s", "unproven results and zacksxcom"),
+        ("A", 10, "2024-10-12", "First one", "s", "b4"),
+        ("A", 11, "2024-10-12", "h11", "s", "Body x"),
+        ("A", 12, None, "h12", "s", "b5"),
+        ("B", 0, "2024-10-12", "First one", "s", "Body x"),
+    ]
+    raw = articles(rows, raw=True)
+    found = {
+        (r.ticker, r.ord): r.reject_reason for r in clean.mark_rejects(raw).collect()
+    }
+    assert found == {
+        ("A", 0): None, ("A", 1): None, ("A", 2): "bad_date", ("A", 3): "missing",
+        ("A", 4): "missing", ("A", 5): "missing", ("A", 6): "placeholder",
+        ("A", 7): "promotion", ("A", 8): "promotion", ("A", 9): None,
+        ("A", 10): "duplicate_headline", ("A", 11): "duplicate_summary",
+        ("A", 12): "bad_date", ("B", 0): None,
+    }
+    kept = {(r.ticker, r.ord): r for r in clean.clean_news(raw).collect()}
+    assert set(kept) == {k for k, v in found.items() if v is None}
+    assert kept["A", 0].headline == "First one" and kept["A", 0].summary == "Body x"
+    assert kept["A", 1].source is None and kept["A", 1].date == dt.date(2024, 12, 31)
+    assert clean.rejected_news(raw).count() == 10
+    counts = {
+        (r.ticker, r.outcome): r.num_rows
+        for r in clean.stage_counts(clean.mark_rejects(raw)).collect()
+    }
+    assert counts["A", "kept"] == 3 and counts["A", "missing"] == 3
+
+
+def test_summary_pass_sees_only_headline_survivors(articles):
+    rows = [
+        ("A", 0, "2024-01-01", "h", "s", "x"),
+        ("A", 1, "2024-01-01", "h", "s", "y"),     # out by headline, so its summary is free
+        ("A", 2, "2024-01-01", "k", "s", "y"),
+    ]
+    kept = clean.clean_news(articles(rows, raw=True))
+    assert sorted(r.ord for r in kept.collect()) == [0, 2]
+
+
+def test_keep_first_with_hot_text_matches_brute_force(spark, articles):
+    rows = [
+        ("A", i, "2024-01-01", "hot" if i % 3 == 0 else f"h{i % 40}", "s", f"b{i % 55}")
+        for i in range(300)
+    ]
+    heads, bodies, want = set(), set(), []
+    for _, i, _, h, _, b in rows:
+        if h in heads:
+            continue
+        heads.add(h)
+        if b not in bodies:
+            bodies.add(b)
+            want.append(i)
+    kept = clean.clean_news(articles(rows, raw=True).repartition(7))
+    assert sorted(r.ord for r in kept.collect()) == want
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("3/2/2024", dt.date(2024, 2, 3)),
+        ("2024-10-12", dt.date(2024, 10, 12)),      # ISO is never read day-first
+        ("2024-10-12 08:30:00", dt.date(2024, 10, 12)),
+        ("2024-10-12T08:30:00", dt.date(2024, 10, 12)),
+        ("12-10-2024", dt.date(2024, 10, 12)),
+        ("12.10.2024", dt.date(2024, 10, 12)),
+        ("1/13/2024", None),
+        ("soon", None),
+        ("", None),
+    ],
+)
+def test_dates(spark, text, want):
+    row = spark.createDataFrame([(text,)], "d string").select(X.parse_date(F.col("d")).alias("d"))
+    assert row.first().d == want
+
+
+def test_headers(spark):
+    df = spark.createDataFrame([("a", "b", "c")], [" Title", "DateTime ", "Source"])
+    assert clean.normalize_columns(df).columns == ["headline", "date", "source"]
+    both = spark.createDataFrame([("a", "b")], ["date", "datetime"])
+    assert clean.normalize_columns(both).columns == ["date", "datetime"]
+    with pytest.raises(ValueError, match="Missing columns"):
+        clean.apply_row_rules(df)
+
+
+def test_integrity(articles):
+    good = articles([("A", 0, "2024-01-01", "h", "s", "b"), ("A", 1, "2024-01-01", "i", "s", "c")])
+    assert clean.assert_integrity(good).count() == 2
+    bad = articles(
+        [
+            ("A", 0, "2024-01-01", "h", "s", "b"),
+            ("A", 1, "2024-01-01", "h", "s", None),
+            ("A", 2, "2024-01-01", "#NAME?", "s", "b"),
+        ]
+    )
+    row = clean.integrity_report(bad).first()
+    assert (row.num_rows, row.duplicate_headline, row.duplicate_summary) == (3, 1, 1)
+    assert (row.null_summary, row.placeholder) == (1, 1)
+    with pytest.raises(ValueError, match="duplicate_headline"):
+        clean.assert_integrity(bad)
+
+
+def test_comparison_text(spark):
+    df = spark.createDataFrame([("BREAKING:  Update: Big \tNews", " and  more ")], "h string, s string")
+    text = df.select(X.comparison_text(F.col("h"), F.col("s")).alias("t")).first().t
+    assert text == "update: big news and more"
