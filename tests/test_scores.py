@@ -1,0 +1,152 @@
+import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidewire.functions import numbers as N
+from tidewire.operators import factors, score, trust
+
+DAY = dt.date(2024, 1, 1)
+
+
+def sides(spark, ones, twos, threes):
+    def table(rows, column):
+        return spark.createDataFrame(
+            [(t, o, DAY + dt.timedelta(d), v) for t, o, d, v in rows],
+            f"ticker string, ord long, date date, {column} double",
+        )
+    return (
+        table(ones, "directional_sentiment"), table(twos, "relevance_score"),
+        table(threes, "x3_factor"),
+    )
+
+
+def crossed(ones, twos, threes):
+    """Sums over every combination of a day's rows."""
+    out = {}
+    for t, _, d, a in ones:
+        for t2, _, d2, b in twos:
+            for t3, _, d3, c in threes:
+                if (t, d) == (t2, d2) == (t3, d3):
+                    s = out.setdefault((t, d), [0.0, 0.0, 0, 0.0, 0.0, 0.0])
+                    w = abs(b) * abs(c)
+                    for i, x in enumerate((a * b ** 2 * c ** 1.5 * w, w, 1, b, c, a)):
+                        s[i] += x
+    return {
+        k: (s[0] / s[1] if s[1] > 0 else 0.0, s[2], s[3] / s[2], s[4] / s[2], s[5] / s[2])
+        for k, s in out.items()
+    }
+
+
+def test_factorised_form_equals_the_joined_rows(spark):
+    draw = random.Random(2)
+    ones, twos, threes = (
+        [(draw.choice("AB"), i, draw.randrange(6), value()) for i in range(40)]
+        for value in (
+            lambda: float(draw.choice([-1, 0, 1])),
+            lambda: draw.choice([0.0, 0.12, 0.48, 0.92]),
+            lambda: draw.choice([0.3, 0.5, 0.9]),
+        )
+    )
+    ones += [("Z", 0, 0, 1.0), ("Q", 0, 0, 1.0)]
+    twos += [("Z", 0, 0, 0.0)]                     # no weight: 0.0
+    threes += [("Z", 0, 0, 0.9), ("Q", 0, 0, 0.9)]  # Q has no relevance: no row
+    want = crossed(ones, twos, threes)
+    got = score.daily_sentiment_by_date(*sides(spark, ones, twos, threes), digits=12).collect()
+    assert len(got) == len(want)
+    for r in got:
+        final, n, x2, x3, x1 = want[r.ticker, (r.date - DAY).days]
+        assert r.Num_News == n
+        found = (r.Final_Sentiment, r.Avg_Relevance, r.Avg_Trustfulness, r.Avg_Directional)
+        assert found == pytest.approx((final, x2, x3, x1), abs=1e-9)
+
+
+def test_article_form(spark):
+    ones = [("A", 0, 0, 1.0), ("A", 1, 0, -1.0), ("A", 2, 1, 1.0)]
+    twos = [("A", 0, 0, 0.92), ("A", 1, 0, 0.48), ("A", 2, 1, 0.0)]
+    threes = [("A", 0, 0, 0.9), ("A", 1, 0, 0.3), ("A", 3, 1, 0.9), ("A", 2, 1, 0.9)]
+    rows = score.daily_sentiment_by_article(*sides(spark, ones, twos, threes)).orderBy("date")
+    first, second = rows.collect()
+    w0, w1 = 0.92 * 0.9, 0.48 * 0.3
+    want = (0.92 ** 2 * 0.9 ** 1.5 * w0 - 0.48 ** 2 * 0.3 ** 1.5 * w1) / (w0 + w1)
+    assert first.Final_Sentiment == pytest.approx(round(want, 4)) and first.Num_News == 2
+    assert (second.Final_Sentiment, second.Num_News) == (0.0, 1)
+    overall = score.overall_sentiment(rows).first()
+    assert overall.avg_final_sentiment == pytest.approx(first.Final_Sentiment / 2)
+
+
+def test_composite_and_bands(spark):
+    df = spark.createDataFrame([(0.5, 1.0, 0.2)], "r double, a double, b double")
+    row = df.select(
+        score.composite_score(F.col("r"), ["a", "b"]).alias("x"),
+        score.composite_score(F.col("r"), {"a": 3, "b": 1}).alias("y"),
+    ).first()
+    assert row.x == pytest.approx(0.3) and row.y == pytest.approx(0.4)
+    values = spark.createDataFrame([(v,) for v in (0.6, 0.59, -0.59, -0.6)], "v double")
+    bands = [r[0] for r in values.select(N.direction_band(F.col("v"))).collect()]
+    assert bands == ["Bullish", "Neutral", "Neutral", "Bearish"]
+    values = spark.createDataFrame([(v,) for v in (0.7, 0.69, 0.3, 0.29)], "v double")
+    bands = [r[0] for r in values.select(N.relevance_band(F.col("v"))).collect()]
+    assert bands == ["Directly related"] + ["Indirectly related"] * 2 + ["Neutral"]
+
+
+def test_trust(spark, articles):
+    rows = [("A", i, "2024-01-01", "h", s, "b") for i, s in enumerate(
+        ["DowJones", "yahoo", "Yahoo", None, "Finnhub"]
+    )] + [("B", 0, "2024-01-01", "h", "SeekingAlpha", "b")]
+    df = articles(rows)
+    table = spark.createDataFrame(list(trust.SOURCE_WEIGHTS.items()), "source string, weight double")
+    for weights in (None, table):
+        out = trust.trust_scores(df, weights).orderBy("ticker", "ord").collect()
+        assert [r.x3_factor for r in out] == [0.9, 0.5, 0.8, 0.5, 0.4, 0.3]
+        assert out[0].x3_factor_avg == pytest.approx(0.62) and out[5].x3_factor_avg == 0.3
+    scored = trust.trust_scores(df)
+    assert [r.ord for r in trust.preview(scored, 2).collect()] == [0, 1]
+    assert trust.overall_trust(scored).first()[0] == pytest.approx(3.4 / 6)
+
+
+def prices(spark, series):
+    rows = [
+        (DAY + dt.timedelta(i), symbol, float(v))
+        for symbol, values in series.items() for i, v in enumerate(values) if v is not None
+    ]
+    return spark.createDataFrame(rows, "date date, symbol string, adj_close double")
+
+
+SERIES = {
+    "SPY": [100, 110, None, 121], "IWM": [50, 70, 60, 71], "IWD": [20, 22, 21, 24],
+    "IWF": [10, 11, 12, 12], "IRX": [3.65, 3.65, 3.65, 7.3], "XXX": [1, 1, 1, 1],
+}
+
+
+def test_factors(spark):
+    out = {r.date.day: r for r in factors.factor_proxies(prices(spark, SERIES)).collect()}
+    assert sorted(out) == [2, 3, 4]
+    assert out[2].mkt_rf == pytest.approx(10 - 0.01) and out[2].rf == pytest.approx(0.01)
+    assert out[2].smb == pytest.approx((-40 / -50 - 1) * 100)
+    # Day 3 has no market price: the last one is carried on.
+    assert out[3].mkt_rf == pytest.approx(-0.01) and out[3].smb == pytest.approx(0)
+    assert out[4].hml == pytest.approx((12 / 9 - 1) * 100)
+    late = factors.last_days(factors.factor_proxies(prices(spark, SERIES)), 2).collect()
+    assert sorted(r.date.day for r in late) == [3, 4]
+    assert {r.date.day: r.hml for r in late}[4] == 33.3333
+    row = factors.factor_summary(factors.factor_proxies(prices(spark, SERIES))).first()
+    assert (row.first_day.day, row.last_day.day, row.num_days) == (2, 4, 3)
+
+
+def test_factor_modes_ranges_and_zero_gap(spark):
+    table = prices(spark, SERIES)
+    diff = {r.date.day: r for r in factors.factor_proxies(table, mode="return_diff").collect()}
+    assert diff[2].smb == pytest.approx(40 - 10) and diff[2].hml == pytest.approx(0)
+    ranged = factors.factor_proxies(table, start="2024-01-02", end="2024-01-04").collect()
+    assert [r.date.day for r in ranged] == [3]
+    flat = prices(spark, {**SERIES, "IWF": SERIES["IWD"]})
+    assert factors.factor_proxies(flat).count() == 0     # a zero gap has no change
+    with pytest.raises(ValueError):
+        factors.factor_proxies(table, mode="other")
+
+
+def test_half_even(spark):
+    df = spark.createDataFrame([(0.00005,), (0.00015,), (0.125,)], "v double")
+    assert [r[0] for r in df.select(N.half_even(F.col("v"), 4)).collect()] == [0.0, 0.0002, 0.125]
