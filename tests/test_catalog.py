@@ -1,0 +1,51 @@
+"""Every registered query against its SQL, on the smallest tables."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as contract
+
+duckdb = pytest.importorskip("duckdb")
+SF = "/root/testdata/sf0.001"
+TABLES = ["documents", "embeddings", "labels", "events"]
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
+
+
+@pytest.fixture(scope="module")
+def sql():
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    return connection
+
+
+def comparable(value):
+    if isinstance(value, float):
+        return repr(round(value, 6) + 0.0)
+    return str(value)
+
+
+def rows(names, records):
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(tuple(comparable(r[i]) for i in order) for r in records)
+
+
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+def test_query_equals_sql(spark, sql, name):
+    df = contract.queries()[name](spark, SF)
+    result = sql.execute(contract.oracle_sql()[name])
+    names = [c[0] for c in result.description]
+    assert sorted(names) == sorted(df.columns)
+    assert rows(df.columns, df.collect()) == rows(names, result.fetchall())
+
+
+def test_contract(spark):
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {"classifier_scores"}
+    assert contract.entry(spark).count() > 0
+
+
+def test_classifier_query(spark):
+    out = contract.queries()["classifier_scores"](spark, SF)
+    assert {r.directional_sentiment for r in out.collect()} <= {-1, 0, 1}
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
