@@ -19,6 +19,10 @@ def test_salted_join_equals_the_plain_one(spark, how):
     want = sorted(map(tuple, big.join(table, "key", how).collect()), key=str)
     got = lookup.salted_join(big, table, ["key"], how, ["ord"], hot_share=10, salts=16)
     assert sorted(map(tuple, got.collect()), key=str) == want
+    counted = table.join(big.groupBy("key").agg(F.count("*").alias("n")), "key", "left").fillna(0, ["n"])
+    known = lookup.salted_join(big, counted, ["key"], how, ["ord"], "n", hot_share=10, salts=16)
+    kept = [c for c in big.join(table, "key", how).columns]
+    assert sorted(map(tuple, known.select(*kept).collect()), key=str) == want
     by_size = lookup.lookup_join(big, table, ["key"], how, broadcast_bytes=0)
     assert sorted(map(tuple, by_size.collect()), key=str) == want
 

@@ -88,7 +88,7 @@ def week_of(c: Column) -> Column:
 
 
 def has_placeholder(c: Column) -> Column:
-    return F.upper(c).contains("#NAME?")
+    return c.contains("#") & F.upper(c).contains("#NAME?")
 
 
 def folded(c: Column) -> Column:

@@ -28,14 +28,17 @@ def lookup_join(
     how: str = "left",
     broadcast_bytes: int = BROADCAST_BYTES,
     salt_by: list[str] | None = None,
+    rows_per_key: str | None = None,
 ) -> DataFrame:
     """Join ``big`` with ``table``, whose rows are unique in ``on``.
 
-    ``table`` should be cheap to read twice (a stored or materialized table).
+    ``table`` should be cheap to read twice (a stored or materialized table). ``salt_by`` names the
+    columns that tell the rows of a key apart, ``rows_per_key`` a column of ``table`` that says how
+    many rows of ``big`` a key has, where that is known.
     """
     if measured_bytes(table) <= broadcast_bytes:
         return big.join(F.broadcast(table), on, how)
-    return salted_join(big, table, on, how, salt_by)
+    return salted_join(big, table, on, how, salt_by, rows_per_key)
 
 
 def salted_join(
@@ -44,17 +47,22 @@ def salted_join(
     on: list[str],
     how: str = "left",
     salt_by: list[str] | None = None,
+    rows_per_key: str | None = None,
     hot_share: int = HOT_SHARE,
     salts: int = HOT_SALTS,
 ) -> DataFrame:
     """Shuffle join in which the hot keys of ``big`` are spread over ``salts`` sub-keys.
 
-    The hot keys are found by a map-side combined count. At most ``hot_share`` keys can each hold
+    The hot keys are found by a map-side combined count, or read from ``rows_per_key``. At most ``hot_share`` keys can each hold
     more than 1/``hot_share`` of the rows, so the hot list has a proven bound; it is the only
     thing broadcast, and only its rows of ``table`` are repeated.
     """
-    counts = big.groupBy(*on).agg(F.count("*").alias("_n"))
-    total = big.count()
+    if rows_per_key:
+        counts = table.select(*on, F.col(rows_per_key).alias("_n"))
+        total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
+    else:
+        counts = big.groupBy(*on).agg(F.count("*").alias("_n"))
+        total = big.count()
     hot_rows = counts.filter(F.col("_n") > total / hot_share).select(*on).limit(hot_share).collect()
     if not hot_rows:
         return big.join(table, on, how)

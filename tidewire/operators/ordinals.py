@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_BITS = 20
+BLOCK_BITS = 16
 
 
 def with_row_number(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
+from tidewire.functions.columns import computed_once
 from tidewire.functions.numbers import clamp, half_even
 from tidewire.operators.lookup import lookup_join
 from tidewire.schemas import RULES, require_columns
@@ -155,18 +156,16 @@ def _shortened(span: Column) -> Column:
     return F.replace(fitted, F.lit('"'), F.lit('""'))
 
 
-def _context(field: Column, pattern: Column) -> Column:
+def _context(field: Column, pattern: Column, match: Column) -> Column:
     """The first match with 40 characters around it; null when there is none.
 
-    The match position is the length of the text before it, which counts characters and not
-    UTF-16 units.
+    ``match`` is the matched text. It cannot occur before the first match, since the pattern would
+    have matched there, so a plain search finds its place, counted in characters.
     """
-    located = F.concat(F.lit("(?s)^(.*?)(?-s)((?:"), pattern, F.lit("))"))
-    start = F.length(F.call_function("regexp_extract", field, located, F.lit(1)))
-    length = F.length(F.call_function("regexp_extract", field, located, F.lit(2)))
+    start = F.instr(field, match) - 1
     left = F.greatest(start - CONTEXT, F.lit(0))
-    window = F.substring(field, left + 1, start + length + CONTEXT - left)
-    found = (field != "") & X.matches(field, pattern)
+    window = F.substring(field, left + 1, start + F.length(match) + CONTEXT - left)
+    found = (field != "") & ((match != "") | X.matches(field, pattern))
     return F.when(found, _shortened(X.strip(window)))
 
 
@@ -175,8 +174,23 @@ def _fallback(field: Column) -> Column:
     return F.when(stripped != "", _shortened(stripped))
 
 
-def _evidence() -> Column:
-    headline, summary = (X.text_or_empty(F.col(c)) for c in ("headline", "summary"))
+def _with_evidence(branched: DataFrame) -> DataFrame:
+    """Add ``evidence``: quoted passages, then the surroundings of a match, else the text itself."""
+    pattern = (
+        F.when(F.col("_target") & F.col("_hit"), F.col("direct_re"))
+        .when(F.col("_target"), F.col("alias_re"))
+        .when(F.col("_hit"), F.col("indirect_re"))
+        .otherwise(F.lit(".+"))
+    )
+    fields = {f"_{c}": X.text_or_empty(F.col(c)) for c in ("headline", "summary")}
+    located = computed_once(branched, branched.columns, {**fields, "_re": pattern})
+    first = {
+        f"{name}_match": F.call_function("regexp_extract", F.col(name), F.col("_re"), F.lit(0))
+        for name in fields
+    }
+    located = computed_once(located, located.columns, first)
+
+    headline, summary, found = F.col("_headline"), F.col("_summary"), F.col("_re")
     quoted = F.concat(
         F.regexp_extract_all(headline, F.lit(QUOTED), F.lit(0)),
         F.regexp_extract_all(summary, F.lit(QUOTED), F.lit(0)),
@@ -187,17 +201,16 @@ def _evidence() -> Column:
             s.startswith('"') & s.endswith('"'), F.substring(s, F.lit(2), F.length(s) - 2)
         ).otherwise(s),
     )
-    pattern = (
-        F.when(F.col("_target") & F.col("_hit"), F.col("direct_re"))
-        .when(F.col("_target"), F.col("alias_re"))
-        .when(F.col("_hit"), F.col("indirect_re"))
-        .otherwise(F.lit(".+"))
-    )
     related = F.col("_target") | F.col("_hit")
-    around = F.array(_context(headline, pattern), F.when(related, _context(summary, pattern)))
+    around = F.array(
+        _context(headline, found, F.col("_headline_match")),
+        F.when(related, _context(summary, found, F.col("_summary_match"))),
+    )
     spans = F.slice(F.concat(unwrapped, F.array_compact(around)), 1, MAX_SPANS)
+    listed = computed_once(located, located.columns, {"_spans": spans})
     fallback = F.array_compact(F.array(F.coalesce(_fallback(headline), _fallback(summary))))
-    return F.when(F.size(spans) > 0, spans).otherwise(fallback)
+    evidence = F.when(F.size("_spans") > 0, F.col("_spans")).otherwise(fallback)
+    return listed.withColumn("evidence", evidence)
 
 
 def relevance_scores(articles: DataFrame, rules: DataFrame, evidence: bool = True) -> DataFrame:
@@ -212,7 +225,7 @@ def relevance_scores(articles: DataFrame, rules: DataFrame, evidence: bool = Tru
         _rationale(F.col("category")).alias("rationale"),
     ]
     if evidence:
-        columns.append(_evidence().alias("evidence"))
+        return _with_evidence(scored).select(*columns, "evidence")
     return scored.select(*columns)
 
 

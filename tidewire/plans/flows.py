@@ -10,7 +10,7 @@ from tidewire.operators.relevance import relevance_scores
 from tidewire.operators.rolling import LOOKBACK_DAYS, THRESHOLD, rolling_dedup
 from tidewire.operators.sampling import stratified_sample
 from tidewire.operators.score import daily_sentiment_by_article, daily_sentiment_by_date
-from tidewire.operators.trust import trust_scores
+from tidewire.operators.trust import with_trust
 from tidewire.operators.vectors import tfidf_vectors
 from tidewire.session import materialize
 
@@ -53,4 +53,4 @@ def daily_signal(
     """Relevance, trust and direction combined into one row per (ticker, date)."""
     combine = {"date": daily_sentiment_by_date, "article": daily_sentiment_by_article}[join]
     relevance = relevance_scores(processed, rules, evidence=False)
-    return combine(directional, relevance, trust_scores(processed, weights), digits=digits)
+    return combine(directional, relevance, with_trust(processed, weights), digits=digits)
