@@ -6,7 +6,7 @@ as long. A longer late copy is kept and does not evict the earlier one.
 
 The sequential rule is a fixpoint: an article is kept once everything that could drop it has been
 dropped, and dropped once something that could drop it is kept. Each round decides both at once
-for all tickers. It compares articles in bounded tiles of neighbouring day buckets and passes on
+for all tickers. It compares articles of neighbouring day buckets in bounded tiles and passes on
 only a few flags per article, never the pairs, so a crowd of near copies costs no more output than
 its own size. Only articles with an open pair take part in the next round.
 
@@ -21,10 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.lookup import lookup_join
-from tidewire.operators.tiles import (
-    TOLERANCE, slice_of, slice_pairs, slices_for, vector_rows,
-)
+from tidewire.operators.tiles import TILE, TOLERANCE, assign_tiles, vector_rows
 from tidewire.session import materialize
 
 KEY = ["ticker", "ord"]
@@ -32,7 +29,7 @@ THRESHOLD = 0.70
 LOOKBACK_DAYS = 3
 TILE_ROWS = 8192
 LOCAL_ROWS = 4096      # a ticker with at most this many open articles is finished in one task
-TILE = ["ticker", "low_bucket", "low_slice", "high_bucket", "high_slice"]
+SPAN = ["ticker", "span"]
 OPEN, KEPT = 0, 1
 
 
@@ -105,80 +102,44 @@ def compare_tile(threshold: float, lookback: int, columns: list[str]):
             early.drops[at_early] |= near.any(axis=1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        same = (first["low_bucket"], first["low_slice"]) == (
-            first["high_bucket"], first["high_slice"]
-        )
-        is_low = (pdf["bucket"] == first["low_bucket"]) & (pdf["slice"] == first["low_slice"])
-        low = _Flags(pdf[is_low].reset_index(drop=True))
-        high = low if same else _Flags(pdf[~is_low].reset_index(drop=True))
-        if len(low.frame) and len(high.frame):
-            low_rows = vector_rows(low.frame, columns)
-            high_rows = low_rows if same else vector_rows(high.frame, columns)
-            every = slice(0, len(high.frame))
-            for start, similar in low_rows.row_blocks(high_rows):
+        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
+        is_low = pdf["slice"] == low
+        one = _Flags(pdf[is_low].reset_index(drop=True))
+        two = one if low == high else _Flags(pdf[~is_low].reset_index(drop=True))
+        if len(one.frame) and len(two.frame):
+            one_rows = vector_rows(one.frame, columns)
+            two_rows = one_rows if two is one else vector_rows(two.frame, columns)
+            every = slice(0, len(two.frame))
+            for start, similar in one_rows.row_blocks(two_rows):
                 block = slice(start, start + len(similar))
                 near = similar + TOLERANCE >= threshold
-                mark(low, high, block, every, near)
-                if not same and first["low_bucket"] == first["high_bucket"]:
-                    mark(high, low, every, block, near.T)
-        return low.found() if same else pd.concat([low.found(), high.found()])
+                mark(one, two, block, every, near)
+                if two is not one:
+                    mark(two, one, every, block, near.T)
+        return one.found() if two is one else pd.concat([one.found(), two.found()])
 
     return run
 
 
-def _tiled(active: DataFrame, columns: list[str], lookback: int, tile_rows: int) -> DataFrame:
+def _tiled(
+    active: DataFrame, columns: list[str], threshold: float, lookback: int, tile_rows: int
+) -> DataFrame:
     """Copies of the rows for each tile they take part in.
 
-    Buckets are N+1 days wide, so a pair lies in one bucket or in two neighbouring ones. Buckets
-    of more than ``tile_rows`` rows are cut into slices; there are at most rows/``tile_rows`` such
-    buckets, and only they appear in the slice table.
+    Buckets are N+1 days wide, so a pair lies in one bucket or in two neighbouring ones. A span
+    holds a bucket and the next one; each row belongs to two spans.
     """
-    bucketed = active.withColumn("bucket", F.floor(F.col("day") / (lookback + 1)))
-    hot = bucketed.groupBy("ticker", "bucket").agg(F.count("*").alias("_n"))
-    hot = hot.filter(F.col("_n") > tile_rows)
-    count = slices_for(F.col("_n"), tile_rows)
-
-    def around(shift: int, own, before, after) -> DataFrame:
-        return hot.select(
-            "ticker", (F.col("bucket") + shift).alias("bucket"),
-            own.alias("own"), before.alias("before"), after.alias("after"),
-        )
-
-    one = F.lit(1)
-    sizes = around(0, count, one, one).unionByName(around(1, one, count, one))
-    sizes = sizes.unionByName(around(-1, one, one, count))
-    sizes = sizes.groupBy("ticker", "bucket").agg(
-        *[F.max(c).alias(c) for c in ("own", "before", "after")]
-    )
-    sliced = lookup_join(
-        bucketed, materialize(sizes), ["ticker", "bucket"], salt_by=KEY
-    ).fillna(1, ["own", "before", "after"])
-    sliced = sliced.withColumn("slice", slice_of(F.col("own"), "ord"))
-
-    def tile(low_bucket, low_slice, high_bucket, high_slice):
-        parts = zip(TILE[1:], (low_bucket, low_slice, high_bucket, high_slice), strict=True)
-        return F.struct(*[part.cast("long").alias(name) for name, part in parts])
-
-    bucket, own = F.col("bucket"), F.col("slice")
-    inside = F.transform(
-        slice_pairs(F.col("own"), own), lambda p: tile(bucket, p["low"], bucket, p["high"])
-    )
-    with_later = F.transform(
-        F.sequence(F.lit(0), F.col("after") - 1), lambda s: tile(bucket, own, bucket + 1, s)
-    )
-    with_earlier = F.transform(
-        F.sequence(F.lit(0), F.col("before") - 1), lambda s: tile(bucket - 1, s, bucket, own)
-    )
-    tiles = F.explode(F.concat(inside, with_later, with_earlier))
-    kept = [*KEY, "day", "size", "status", "bucket", "slice", *columns]
-    return sliced.withColumn("tile", tiles).select(*kept, "tile.*")
+    bucket = F.floor(F.col("day") / (lookback + 1))
+    spans = F.explode(F.array(bucket, bucket - 1)).alias("span")
+    rows = active.select(*KEY, "day", "size", "status", *columns, spans)
+    return assign_tiles(rows, SPAN, threshold, tile_rows)
 
 
 def _flags(
     active: DataFrame, columns: list[str], threshold: float, lookback: int, tile_rows: int
 ) -> DataFrame:
-    found = _tiled(active, columns, lookback, tile_rows).groupBy(*TILE).applyInPandas(
+    tiles = _tiled(active, columns, threshold, lookback, tile_rows)
+    found = tiles.groupBy(*SPAN, *TILE).applyInPandas(
         compare_tile(threshold, lookback, columns),
         "ticker string, ord long, waits boolean, dropped boolean, drops boolean",
     )
@@ -262,7 +223,8 @@ def rolling_dedup(
     local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
     """The kept articles. ``vectors`` has (ticker, ord) and either ``embedding`` or the sparse
-    ``ids``/``ws``; articles without a vector are kept."""
+    ``ids``/``ws`` (unit vectors, terms in one order for all articles of a ticker, rarest first);
+    articles without a vector are kept."""
     columns = vector_columns(vectors)
     compared = comparable_articles(news, vectors)
     if threshold > 0:
