@@ -30,6 +30,18 @@ DIRECT, INDIRECT, UNRELATED = "Directly Related", "Indirectly Related", "Unrelat
 # Score band of each category.
 BANDS = {DIRECT: (0.70, 1.00), INDIRECT: (0.30, 0.69), UNRELATED: (0.00, 0.29)}
 
+# Score of each case; a pair holds (plain, with a low-signal phrase).
+SCORE_HIGH_TIER, SCORE_MID_TIER, SCORE_DIRECT = 0.92, 0.86, 0.75
+SCORE_TARGET, SCORE_SECTOR, SCORE_NONE = (0.48, 0.34), (0.44, 0.36), (0.12, 0.06)
+# Rationale texts; %s stands for the target.
+RATIONALE = {
+    DIRECT: "Article contains company-specific, near-term catalyst "
+            "(earnings/regulatory/transaction) likely to move %s next week.",
+    INDIRECT: "Mentions %s or sector/peer factors with plausible but weaker near-term impact on "
+              "%s.",
+    UNRELATED: "General market or unrelated content with no expected near-term effect on %s.",
+}
+
 NO_LIST = "."        # pattern of an empty list: any character of a line
 NEVER = "(?!)"
 
@@ -91,12 +103,21 @@ def _found(pattern: Column, words: Column) -> Column:
 def _score() -> Column:
     text = F.col("_text")
     low = _found(F.col("low_re"), F.col("low_words"))
-    direct = F.when(text.rlike(HIGH_TIER), 0.92).when(text.rlike(MID_TIER), 0.86).otherwise(0.75)
+    catalyst = (
+        F.when(text.rlike(HIGH_TIER), SCORE_HIGH_TIER)
+        .when(text.rlike(MID_TIER), SCORE_MID_TIER)
+        .otherwise(SCORE_DIRECT)
+    )
+
+    def by_signal(scores: tuple[float, float]) -> Column:
+        plain, weak = scores
+        return F.when(low, weak).otherwise(plain)
+
     return (
-        F.when(F.col("_target") & F.col("_hit"), direct)
-        .when(F.col("_target"), F.when(low, 0.34).otherwise(0.48))
-        .when(F.col("_hit"), F.when(low, 0.36).otherwise(0.44))
-        .otherwise(F.when(low, 0.06).otherwise(0.12))
+        F.when(F.col("_target") & F.col("_hit"), catalyst)
+        .when(F.col("_target"), by_signal(SCORE_TARGET))
+        .when(F.col("_hit"), by_signal(SCORE_SECTOR))
+        .otherwise(by_signal(SCORE_NONE))
     )
 
 
@@ -116,37 +137,11 @@ def _in_band(category: Column, score: Column) -> Column:
 
 
 def _rationale(category: Column) -> Column:
-    target = F.col("target")
-    return (
-        F.when(
-            category == DIRECT,
-            F.concat(
-                F.lit(
-                    "Article contains company-specific, near-term catalyst "
-                    "(earnings/regulatory/transaction) likely to move "
-                ),
-                target,
-                F.lit(" next week."),
-            ),
-        )
-        .when(
-            category == INDIRECT,
-            F.concat(
-                F.lit("Mentions "),
-                target,
-                F.lit(" or sector/peer factors with plausible but weaker near-term impact on "),
-                target,
-                F.lit("."),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                F.lit("General market or unrelated content with no expected near-term effect on "),
-                target,
-                F.lit("."),
-            )
-        )
-    )
+    texts = F.lit(None).cast("string")
+    for name, text in RATIONALE.items():
+        filled = F.replace(F.lit(text), F.lit("%s"), F.col("target"))
+        texts = F.when(category == name, filled).otherwise(texts)
+    return texts
 
 
 def _shortened(span: Column) -> Column:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.tiles import TILE, TOLERANCE, assign_tiles, vector_rows
+from tidewire.operators.tiles import TILE, TOLERANCE, assign_tiles, per_list, vector_rows
 from tidewire.session import materialize
 
 KEY = ["ticker", "ord"]
@@ -140,7 +140,7 @@ def _flags(
 ) -> DataFrame:
     tiles = _tiled(active, columns, threshold, lookback, tile_rows)
     found = tiles.groupBy(*SPAN, *TILE).applyInPandas(
-        compare_tile(threshold, lookback, columns),
+        per_list(compare_tile(threshold, lookback, columns)),
         "ticker string, ord long, waits boolean, dropped boolean, drops boolean",
     )
     return found.groupBy(*KEY).agg(
