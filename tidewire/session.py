@@ -52,3 +52,13 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and go on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a materialized table that has fewer partitions than the cluster has cores.
+
+    A large table has more already and is left as it is, so this costs no large shuffle.
+    """
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(*keys)
+    return df
