@@ -103,20 +103,21 @@ def compare_tile(threshold: float, lookback: int, columns: list[str]):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        is_low = pdf["slice"] == low
-        one = _Flags(pdf[is_low].reset_index(drop=True))
-        two = one if low == high else _Flags(pdf[~is_low].reset_index(drop=True))
+        if low == high:    # pairs within the later bucket belong to the next span
+            in_first = pdf["day"] // (lookback + 1) == pdf["span"]
+            one, two = _Flags(pdf[in_first].reset_index(drop=True)), _Flags(pdf)
+        else:
+            is_low = pdf["slice"] == low
+            one, two = (_Flags(pdf[part].reset_index(drop=True)) for part in (is_low, ~is_low))
         if len(one.frame) and len(two.frame):
-            one_rows = vector_rows(one.frame, columns)
-            two_rows = one_rows if two is one else vector_rows(two.frame, columns)
+            one_rows, two_rows = (vector_rows(f.frame, columns) for f in (one, two))
             every = slice(0, len(two.frame))
             for start, similar in one_rows.row_blocks(two_rows):
                 block = slice(start, start + len(similar))
                 near = similar + TOLERANCE >= threshold
                 mark(one, two, block, every, near)
-                if two is not one:
-                    mark(two, one, every, block, near.T)
-        return one.found() if two is one else pd.concat([one.found(), two.found()])
+                mark(two, one, every, block, near.T)
+        return pd.concat([one.found(), two.found()])
 
     return run
 
