@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tidewire.llm.embedding_dedup import op9_embedding_dedup
 from tidewire.llm.sharding import op7_sharding
+from tidewire.llm.simhash import op8_simhash
+from tidewire.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op7_jump_sharding": op7_sharding,
+    "op8_simhash_anchors": op8_simhash,
+    "op9_spherical_cells": op9_embedding_dedup,
+    "op10_toxicity_trees": op10_toxicity,
 }
 
 ORACLE: dict[str, str] = {}
