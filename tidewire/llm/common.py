@@ -37,7 +37,7 @@ def unique_name(df: DataFrame, name: str) -> str:
 
 def bucket_of(key: str | Column, n: int) -> Column:
     """crc32 of the key written as text, modulo ``n``: the folds of the held-out rows."""
-    return F.pmod(F.crc32(F.coalesce(F.col(key) if isinstance(key, str) else key, F.lit("")).cast("string")), F.lit(n))
+    return F.pmod(F.crc32(F.coalesce((F.col(key) if isinstance(key, str) else key).cast("string"), F.lit(""))), F.lit(n))
 
 
 def is_train(key: str, n: int, held_out: int) -> Column:

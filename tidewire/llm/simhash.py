@@ -16,15 +16,17 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, read
+from tidewire.llm.common import materialize, read, unique_name
 from tidewire.llm.components import connected_components
 
 BITS = 64
-CODE_BITS = 63
 CHUNK = 1 << 16      # hashes that are unpacked together
+WORDS = 4            # 64-bit words of the long fingerprint
+SIMILARITY = 0.89    # cosine of shingle counts of which four fifths are shared by both (2 s / (1 + s))
+BLOCK = 2_048        # nodes of an anchor that are compared with as many others in one task
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,37 +70,43 @@ def with_fingerprint(
     return shingled.withColumn(out, fingerprint(F.col(out)))
 
 
-def _anchors(words: np.ndarray, reach: int) -> np.ndarray:
-    """(len(words), k) anchors within ``reach`` bits of each word; unused places repeat one.
+def _flips(syndrome: int, bits: int, reach: int) -> list[int]:
+    """The masks of at most ``reach`` bits that turn a word of this syndrome into a code word.
 
-    Bit i (from 0) of the first 63 has the number i + 1, and the syndrome is the xor of the
-    numbers of the set bits: 0 exactly for the code words, and else the number of the one bit to
-    turn. Turning further bits whose numbers xor to the syndrome gives every other code word.
+    Bit i (from 0) has the number i + 1, but the last bit is free. The syndrome of a word is the xor
+    of the numbers of its set bits, and 0 exactly for code words; so the numbers turned xor to it.
     """
-    words = words.view(np.uint64)
-    numbers = np.arange(1, CODE_BITS + 1)
-    bits = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :CODE_BITS]
-    syndrome = np.bitwise_xor.reduce(np.where(bits, numbers, 0), axis=1)
-    table = [_flips(s, reach) for s in range(CODE_BITS + 1)]
-    width = max(map(len, table))
-    masks = np.array([t + [t[0]] * (width - len(t)) for t in table], dtype=np.uint64)
-    return (words[:, None] ^ masks[syndrome]).view(np.int64)
-
-
-def _flips(syndrome: int, reach: int) -> list[int]:
-    """The bit masks of weight ``reach`` at most that turn a word of this syndrome into a code word."""
     found = []
     for free in (0, 1):
         for weight in range(reach - free + 1):
-            for picks in combinations(range(1, CODE_BITS + 1), weight):
+            for picks in combinations(range(1, bits), weight):
                 value = 0
-                for p in picks:
-                    value ^= p
+                for number in picks:
+                    value ^= number
                 if value == syndrome:
-                    found.append(sum(1 << (p - 1) for p in picks) | free << CODE_BITS)
+                    found.append(sum(1 << (number - 1) for number in picks) | free << (bits - 1))
     return found
 
 
+def _anchors(words: np.ndarray, bits: int, reach: int) -> np.ndarray:
+    """(len(words), k) anchors within ``reach`` bits of each word; unused places repeat the first."""
+    low = words.view(np.uint8).reshape(-1, 8)
+    signs = np.unpackbits(low, axis=1, bitorder="little")[:, : bits - 1]
+    syndrome = np.bitwise_xor.reduce(np.where(signs, np.arange(1, bits), 0), axis=1)
+    table = [_flips(value, bits, reach) for value in range(bits)]
+    width = max(map(len, table))
+    masks = np.array([t + [t[0]] * (width - len(t)) for t in table], dtype=np.uint64)
+    return words.view(np.uint64)[:, None] ^ masks[syndrome]
+
+
+def _copies(words: np.ndarray, bits: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, place of the word) of every copy."""
+    anchors = _anchors(np.ascontiguousarray(words), bits, reach)
+    first = np.ones(anchors.shape, bool)
+    first[:, 1:] = anchors[:, 1:] != anchors[:, :1]
+    return anchors[first].view(np.int64), np.repeat(np.arange(len(words)), first.sum(axis=1))
+
+
 def _forest(members: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Edges that connect what ``threshold`` links, one less than the size of each component."""
     near = np.bitwise_count(members[:, None] ^ members[None, :]) <= threshold
@@ -130,15 +138,8 @@ def fingerprint_links(fingerprints: DataFrame, threshold: int = 2) -> DataFrame:
             own = batch["fingerprint"].to_numpy(np.int64)
             for at in range(0, len(own), CHUNK >> 4):
                 part = own[at : at + (CHUNK >> 4)]
-                anchors = _anchors(np.ascontiguousarray(part), reach)
-                first = np.ones(anchors.shape, bool)
-                first[:, 1:] = anchors[:, 1:] != anchors[:, :1]
-                yield pd.DataFrame(
-                    {
-                        "anchor": anchors[first],
-                        "fingerprint": np.repeat(part, first.sum(axis=1)),
-                    }
-                )
+                anchors, places = _copies(part, BITS, reach)
+                yield pd.DataFrame({"anchor": anchors, "fingerprint": part[places]})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -183,6 +184,122 @@ def near_duplicates(
     )
 
 
+def _longer(hashes: np.ndarray, words: int) -> np.ndarray:
+    """``words`` fingerprints of the shingles, each from another mixing of their hashes."""
+    out = np.empty(words, np.int64)
+    values = np.asarray(hashes).astype(np.uint64)
+    for i in range(words):
+        mixed = (values ^ (values >> np.uint64(31))) * np.uint64(2 * (0x9E3779B97F4A7C15 >> (i + 1)) + 1)
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[i] = _majority((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
+    return out
+
+
+def similar_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(u, v) edges over nodes (node, words) whose components are those of the links found.
+
+    ``words`` is a long fingerprint. Its halves of 32 bits are copied to the anchors of a code of
+    that length; nodes meet where a half differs in two bits at most, and are linked where all bits
+    together differ no more than texts of the cosine ``similarity`` do. The nodes of an anchor
+    are cut into blocks of ``block``, and each pair of blocks is compared in one task.
+    """
+    reach = 1 + 1
+
+    def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK >> 5):
+                part = batch.iloc[at : at + (CHUNK >> 5)]
+                halves = np.stack(part["words"].to_numpy()).astype(np.int64).view(np.uint32)
+                own = part["node"].to_numpy()
+                for number in range(halves.shape[1]):
+                    anchors, places = _copies(halves[:, number].astype(np.uint64), 32, reach)
+                    yield pd.DataFrame({"anchor": anchors | number << 32, "node": own[places]})
+
+    spread = nodes.mapInPandas(copies, "anchor bigint, node bigint")
+    count = Window.partitionBy("anchor")
+    met = spread.withColumn("n", F.count("*").over(count)).filter("n > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = materialize(met.select("anchor", "node", "blocks", "own"))
+    tiled = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select(
+        "anchor", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node"
+    ).join(nodes, "node")
+    grouped = tiled.groupBy("anchor", "one", "two").agg(F.collect_list(F.struct("node", "words")).alias("members"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for members in batch["members"]:
+                ids = np.array([m["node"] for m in members], np.int64)
+                words = np.stack([m["words"] for m in members]).astype(np.int64).view(np.uint64)
+                most = int(words.shape[1] * BITS * np.arccos(similarity) / np.pi)
+                found += _reach_edges(ids, words, most)
+            yield pd.DataFrame(found, columns=["u", "v"]).astype("int64").drop_duplicates()
+
+    return grouped.select("members").mapInPandas(compare, "u bigint, v bigint").distinct()
+
+
+def _reach_edges(ids: np.ndarray, words: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges that connect what differs in ``most`` bits or fewer, found one row at a time."""
+    edges, left = [], np.arange(len(ids))
+    while len(left):
+        front, left = [left[0]], left[1:]
+        low = ids[front[0]]
+        while front and len(left):
+            row = front.pop()
+            near = np.bitwise_count(words[left] ^ words[row]).sum(axis=1) <= most
+            new = left[near]
+            edges += [(int(ids[i]), int(low)) for i in new]
+            front.extend(new.tolist())
+            left = left[~near]
+    return edges
+
+
+def one_of_each(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY,
+    words: int = WORDS,
+) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one of the smallest key.
+
+    Fingerprints of ``words`` times 64 bits over shingles of ``width`` words; texts are linked where
+    the angle between their shingle counts, as their bits tell it, has a cosine of ``similarity``.
+    Texts without words are one group. Of rows of one key and text, one stays; a null key
+    comes after all others. Other columns are kept as they are.
+    """
+    own, digest = F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest")
+
+    @F.pandas_udf("array<bigint>")
+    def long_fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for hashes in batches:
+            yield pd.Series([_longer(h, words) for h in hashes])
+
+    narrow = docs.select(own, digest, F.col(text).alias("text"))
+    marked = with_shingle_hashes(narrow, "text", width, "h").select("key", "digest", long_fingerprint("h").alias("words"))
+    marked = materialize(marked)
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "digest"))
+    nodes = materialize(
+        marked.groupBy("words").agg(first.alias("low")).withColumn("node", F.monotonically_increasing_id())
+    )
+    components = connected_components(similar_links(nodes.select("node", "words"), similarity))
+    rooted = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = rooted.groupBy("component").agg(F.min("low").alias("low")).select("low.key", "low.digest")
+    k, d, own_digest, number = (unique_name(docs, n) for n in ("_key", "_digest", "_own", "_number"))
+    kept = kept.select(F.col("key").alias(k), F.col("digest").alias(d))
+    whole = docs.withColumn(own_digest, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col(key).eqNullSafe(F.col(k)) & (F.col(own_digest) == F.col(d))
+    chosen = whole.join(kept, same).drop(k, d)
+    if marked.groupBy("key", "digest").count().filter("count > 1").isEmpty():
+        return chosen.select(*docs.columns)
+    rank = Window.partitionBy(key, own_digest).orderBy(*[F.xxhash64(c) for c in docs.columns])
+    return chosen.withColumn(number, F.row_number().over(rank)).filter(F.col(number) == 1).select(*docs.columns)
+
+
+def simhash_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Second stage of the pipeline: one document of each group of near copies stays."""
+    return one_of_each(docs)
+
+
 def hex_word(word: Column) -> Column:
     return F.lower(F.lpad(F.hex(word), 16, "0"))
 
