@@ -2,12 +2,14 @@
 
 A vector lives in the cell of its nearest centre and visits every other cell whose boundary it is
 close to: a pair with cosine c lies 2 - 2c apart (squared), so along the normal of a boundary the
-two differ by the square root of (2 - 2c) / d in a typical direction. ``reach`` of these are
-searched; ``reach=None`` takes the full distance, which can miss no pair at all. A pair that meets
-in both home cells is counted in the lower one only.
-
-Equal vectors are one node with a weight. A cell of many vectors is cut into blocks, and each pair
-of blocks is one task, so no task holds a whole cell. A task reports link counts and the edges of a
+two differ by the root of (2 - 2c) / d in a typical direction. ``reach`` of these are searched on
+either side, so a pair is missed only where it differs by twice that; ``reach=None`` takes the
+full distance, which can miss no pair at all. A pair that meets in both home cells is counted in
+the lower one only.
+
+Equal vectors are one node with a weight. A cell of many vectors is cut into blocks, and a block of
+those at home is compared with a block of residents in one task, so no task holds a whole cell. A
+task reports link counts and the edges of a
 spanning forest, never pairs.
 """
 
@@ -27,12 +29,14 @@ SAMPLE = 20_000          # vectors the centres are fitted on
 PER_CELL = 1_000         # vectors a cell should hold, while there are under MAX_CELLS
 MAX_CELLS = 2_048
 ROUNDS = 8
-BLOCK = 1_024
-REACH = 4.0
+LEFT_ROWS, RIGHT_ROWS = 1_024, 4_096    # vectors of one task: at home in a cell, and residents
+ODD_CELLS = 64           # cells of the vectors that are of another length than most
+REACH = 1.5
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     """Rows of length 1. Scaling by the largest component first keeps the squares in range."""
+    rows = np.asarray(rows, dtype=np.float64)
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
@@ -53,7 +57,7 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = ROUNDS, seed: int
 
 def _nodes(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     """One row per distinct vector that can link: node, size, v (doubles), low (smallest key), n."""
-    usable = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    usable = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
     usable = usable.filter(_can_link("v"))
     grouped = usable.groupBy("v").agg(F.min("key").alias("low"), F.count("*").alias("n"))
     return materialize(
@@ -75,7 +79,7 @@ def _with_cells(nodes: DataFrame, centres: np.ndarray, threshold: float, reach:
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            homes = -batch["size"].to_numpy(np.int64)
+            homes = -1 - batch["size"].to_numpy(np.int64) % ODD_CELLS
             cells = [[int(h)] for h in homes]
             fits = np.flatnonzero(batch["size"].to_numpy() == length)
             if len(fits):
@@ -87,70 +91,80 @@ def _with_cells(nodes: DataFrame, centres: np.ndarray, threshold: float, reach:
                     homes[at], cells[at] = home[i], np.flatnonzero(visits[i]).tolist()
             yield batch.assign(home=homes, cells=cells)
 
-    return nodes.mapInPandas(assign, "node long, size int, v array<double>, low long, n long, home long, cells array<long>")
+    kinds = nodes.drop("low").withColumns({"home": F.lit(0).cast("long"), "cells": F.array(F.lit(0).cast("long"))}).schema
+    return nodes.drop("low").mapInPandas(assign, kinds)
 
 
-def _forest(near: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    """Edges that connect what ``near`` (a symmetric matrix) connects."""
+def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
+    """Edges that connect the ids that ``near`` (left x right) connects."""
     open_, edges = near.any(axis=1), []
     while open_.any():
-        reached = np.zeros(len(ids), bool)
-        reached[np.argmax(open_)] = True
-        front = reached
+        front = np.zeros(len(left), bool)
+        front[np.argmax(open_)] = True
+        rows, columns = front, np.zeros(len(right), bool)
         while front.any():
-            front = near[front].any(axis=0) & ~reached
-            reached = reached | front
-        open_ &= ~reached
-        own = ids[reached]
-        edges += [(x, own.min()) for x in own if x != own.min()]
+            columns = columns | near[front].any(axis=0)
+            front = near[:, columns].any(axis=1) & ~rows
+            rows = rows | front
+        open_ &= ~rows
+        own = np.unique(np.concatenate((left[rows], right[columns])))
+        edges += [(x, own[0]) for x in own[1:]]
     return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
 
 def _tile(key: tuple, rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Link counts and forest edges of one pair of blocks of a cell."""
-    cell, one, two = key
-    v = _unit(np.stack(rows["v"].to_numpy()))
-    block, home = rows["block"].to_numpy(), rows["home"].to_numpy()
-    near = v @ v.T >= threshold
-    np.fill_diagonal(near, False)
-    if one != two:
-        near &= block[:, None] != block[None, :]
-    # of a pair, one lives here; if it meets in the other's home as well, the lower cell has it
-    here = home == cell
-    near &= here[:, None] | here[None, :]
-    visited = rows["cells"].to_numpy()
-    for i in np.flatnonzero(here & near.any(axis=1)):
-        lower = near[i] & (home < cell)
-        if lower.any():
-            twice = lower & np.isin(home, visited[i])
-            near[i] &= ~twice
-            near[:, i] &= ~twice
-    ids = rows["node"].to_numpy()
-    counts = near @ rows["n"].to_numpy()
-    linked = counts > 0
-    out = pd.DataFrame({"u": ids[linked], "v": ids[linked], "n": counts[linked]})
-    edges = _forest(near, ids).assign(n=0)
-    return pd.concat([out, edges], ignore_index=True).astype("int64")
+    """Link counts and forest edges between some vectors at home in a cell and some residents.
+
+    A pair of which both are at home shows twice in the cell, once from either side, and counts for
+    the left one each time. A visitor shows on the right only: it counts for both, unless the pair
+    also meets in the visitor's home and that is the lower cell.
+    """
+    cell = key[0]
+    one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
+    if one.empty or two.empty:
+        return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
+    left, right = one["node"].to_numpy(), two["node"].to_numpy()
+    near = _unit(np.stack(one["v"].to_numpy())) @ _unit(np.stack(two["v"].to_numpy())).T >= threshold
+    near &= left[:, None] != right[None, :]
+    home = two["home"].to_numpy()
+    lower = home < cell
+    visited = one["cells"].to_numpy()
+    for i in np.flatnonzero((near & lower).any(axis=1)):
+        near[i] &= ~(lower & np.isin(home, visited[i]))
+    to_left = near @ two["n"].to_numpy()
+    to_right = np.where(home != cell, one["n"].to_numpy() @ near, 0)
+    counts = pd.DataFrame({"u": np.concatenate((left, right)), "n": np.concatenate((to_left, to_right))})
+    counts = counts[counts["n"] > 0].groupby("u", as_index=False)["n"].sum().assign(v=lambda d: d["u"])
+    edges = _forest(near, left, right).assign(n=0)
+    return pd.concat([counts, edges], ignore_index=True)[["u", "v", "n"]].astype("int64")
 
 
 def embedding_links(
-    nodes: DataFrame, centres: np.ndarray, threshold: float, reach: float | None, block: int = BLOCK
+    nodes: DataFrame, centres: np.ndarray, threshold: float, reach: float | None,
+    left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS,
 ) -> DataFrame:
-    """(u, v, n): for u = v the weight of what node u links with, else an edge with n = 0."""
+    """(u, v, n): for u = v a weight that node u links with, else an edge with n = 0."""
     placed = materialize(_with_cells(nodes, centres, threshold, reach))
     resident = placed.withColumn("cell", F.explode("cells"))
-    # the cells are the centres and one for each odd length: a short table by construction
-    blocks = resident.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = resident.join(blocks, "cell").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    )
-    tiled = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select(
-        "cell", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"),
-        "block", "node", "home", "cells", "v", "n",
+    at_home = F.col("home") == F.col("cell")
+    # at most MAX_CELLS + ODD_CELLS rows
+    blocks = resident.groupBy("cell").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if(at_home) / left_rows)).cast("int").alias("lefts"),
+        F.ceil(F.count("*") / right_rows).cast("int").alias("rights"),
     )
+    dealt = resident.join(F.broadcast(materialize(blocks)), "cell")
+    mixed = F.xxhash64("node")
+    own_left = F.pmod(mixed, F.col("lefts")).cast("int")
+    own_right = F.pmod(F.shiftright(mixed, 20), F.col("rights")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    tile = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), F.lit(side).alias("side"))
+    as_left = F.when(at_home, F.transform(every("rights"), lambda r: tile(own_left, r, 0)))
+    as_right = F.transform(every("lefts"), lambda r: tile(r, own_right, 1))
+    none = F.filter(as_right, lambda _: F.lit(False))
+    tiled = dealt.withColumn("t", F.explode(F.concat(F.coalesce(as_left, none), as_right)))
+    tiled = tiled.select("cell", "size", "t.one", "t.two", "t.side", "node", "home", "cells", "v", "n")
     compare = lambda key, rows: _tile(key, rows, threshold)
-    return tiled.groupBy("cell", "one", "two").applyInPandas(compare, "u long, v long, n long")
+    return tiled.groupBy("cell", "size", "one", "two").applyInPandas(compare, "u long, v long, n long")
 
 
 def embedding_duplicates(
@@ -186,7 +200,7 @@ def embedding_duplicates(
         )
     else:
         answer = nodes.select("v", F.lit(0).cast("long").alias("n_links"), F.col("low").alias("component_id"))
-    own = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    own = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"))
     own = own.withColumn("v", F.when(_can_link("v"), F.col("v")))
     return own.join(answer, "v", "left").select(
         F.col("key").alias(key),
