@@ -37,14 +37,14 @@ def test_empty_table(spark, find):
 
 
 def test_trees_add_a_number_that_runs_into_the_next(spark):
-    texts = [f"call +1 ({200 + i}) 555-{1000 + i} or mail u{i}@mail.example.com now" for i in range(300)]
+    texts = [f"{["call", "so"][i % 2]} +1 ({200 + i}) 555-{1000 + i} {["at", "mail"][i % 3 % 2]} u{i}@mail.example.com now" for i in range(300)]
     texts += [f"id {1234567890120000 + 7 * i} and 300.{i}.1.1 +1 23 {i}" for i in range(300)]
     texts += [f"card {4111111111111111 if i % 2 else 5500000000000004} x" for i in range(200)]
     texts.append("see +1 (407) 555-7713 56.187.231.175 end")
     found = {r["doc_id"]: r for r in pii.find_personal_data(rows(spark, texts)).collect()}
     last = found[len(texts) - 1]
     assert ("phone", 4, 21) in {tuple(s) for s in last["spans"]} and not [s for s in last["base"] if s["kind"] == "phone"]
-    assert all(not found[i]["spans"] for i in range(300, 600))
+    assert all(found[i]["spans"] == found[i]["base"] for i in range(300, 600))
 
 
 def test_redacted_text(spark):
