@@ -120,6 +120,12 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", it
     return covered.filter((F.col("overlap") >= enough) | short)
 
 
+def _broadcast_few(found: DataFrame) -> DataFrame:
+    """Stored; broadcast while few, so that a text with very many copies is not sent to one task."""
+    found = materialize(found)
+    return F.broadcast(found) if found.count() <= BROADCAST_PLACES else found
+
+
 def find_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id, overlap, words) for each row and item that share a passage.
 
@@ -127,7 +133,7 @@ def find_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", te
     words each. Case and punctuation don't count. Null and empty texts share nothing, nor do items
     under five words. Repeated documents and items give repeated rows.
     """
-    found = benchmark_overlaps(docs, items, text)
+    found = _broadcast_few(benchmark_overlaps(docs, items, text))
     keyed = docs.select(F.col(key).alias("_key"), *_text_key(F.col(text)))
     return keyed.join(found, ["_k1", "_k2"]).select(
         F.col("_key").alias(key), F.col("item").alias("item_id"), "overlap", "words"
@@ -138,6 +144,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text") -> Data
     """The rows of ``docs`` that share no passage with any item."""
     k1, k2 = unique_name(docs, "_c1"), unique_name(docs, "_c2")
     bad = benchmark_overlaps(docs, items, text).select(F.col("_k1").alias(k1), F.col("_k2").alias(k2)).distinct()
+    bad = _broadcast_few(bad)
     one, two = _text_key(F.col(text))
     return docs.withColumns({k1: one, k2: two}).join(bad, [k1, k2], "left_anti").select(*docs.columns)
 
