@@ -1,0 +1,80 @@
+import datetime as dt
+import math
+import re
+from collections import Counter
+
+import pytest
+
+from tidewire.operators import bayes
+
+DAY = dt.date(2024, 1, 1)
+SCHEMA = "ticker string, ord long, date date, headline string, source string, summary string, directional_sentiment int"
+WORDS = {-1: "loss fall weak", 0: "meeting plain note", 1: "gain rise strong"}
+
+
+@pytest.fixture(scope="module")
+def train(spark):
+    rows = [("A", i, DAY, f"{WORDS[i % 3 - 1]} w{i % 7}", "s", None, i % 3 - 1) for i in range(90)]
+    rows += [("B", i, DAY, "gain" if i % 2 else "fall The", "s", "fall", (i % 2) - 1) for i in range(30)]
+    rows += [("A", 200, DAY, "unlabelled", "s", "b", None)]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def tokens(row):
+    return re.findall(r"\w+", f"{row['headline'] or ''} {row['summary'] or ''}".lower())
+
+
+def plain(rows, article):
+    """The label of one article by the rule, from all rows of its ticker."""
+    own = [r for r in rows if r["ticker"] == article["ticker"]]
+    vocabulary = {w for r in own for w in tokens(r)}
+    best = None
+    for label in (-1, 0, 1):
+        of = [r for r in own if r["directional_sentiment"] == label]
+        if of:
+            counts = Counter(w for r in of for w in tokens(r))
+            score = math.log(len(of) / len(own)) + sum(
+                math.log((counts[w] + 1) / (sum(counts.values()) + len(vocabulary))) for w in tokens(article) if w in vocabulary
+            )
+            if best is None or round(score, 6) > best[0]:
+                best = (round(score, 6), label)
+    return best[1]
+
+
+def test_guesses_equal_the_rule(spark, train):
+    news = spark.createDataFrame(
+        [("A", 300, DAY, "rise note", "s", "unseen"), ("A", 301, DAY, None, "s", None), ("B", 302, DAY, "fall GAIN gain", "s", ""), ("B", 303, DAY, "the the", "s", "x")],
+        "ticker string, ord long, date date, headline string, source string, summary string",
+    )
+    rows = bayes.labelled_rows(train)
+    got = {r["ord"]: r["label"] - 1 for r in bayes.predict(news, rows).collect()}
+    known = [r.asDict() for r in rows.collect()]
+    assert got == {r["ord"]: plain(known, r.asDict()) for r in news.collect()}
+
+
+def test_truth_wins_and_counts_are_checked(spark, train):
+    news = train.drop("directional_sentiment")
+    final = {(r.ticker, r.ord): r.directional_sentiment for r in bayes.classify_by_ticker(news, train, "first").collect()}
+    assert len(final) == 121 and all(final["A", i] == i % 3 - 1 for i in range(90))
+    other = news.limit(1).selectExpr("'Z' as ticker", "* except (ticker)")
+    with pytest.raises(ValueError, match="unequal numbers of rows: Z: 0 vs 1"):
+        bayes.classify_by_ticker(news.unionByName(other), train, "first")
+
+
+def test_held_out_rows_and_metrics(spark, train):
+    metrics = {r["ticker"]: r for r in bayes.held_out_metrics(train).collect()}
+    held = bayes.labelled_rows(train).filter("held_out").groupBy("ticker").count().collect()
+    assert {t: m["num_rows"] for t, m in metrics.items()} == {r["ticker"]: r["count"] for r in held}
+    assert metrics["A"]["accuracy"] == 1.0 == metrics["A"]["f1"]
+
+
+def test_no_or_bad_labels(spark, train):
+    with pytest.raises(ValueError, match="no label"):
+        bayes.labelled_rows(train.filter("directional_sentiment is null"))
+    with pytest.raises(Exception, match="invalid sentiment label 2"):
+        bayes.labelled_rows(train.selectExpr("* except (directional_sentiment)", "2 as directional_sentiment")).collect()
+
+
+def test_first_words_only_on_request(train):
+    counts = bayes.word_counts(bayes.labelled_rows(train), max_tokens=1)
+    assert {r["word"] for r in counts.collect()} == {"loss", "meeting", "gain", "fall"}

@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from tidewire.plans.catalog import QUERIES
+from tidewire.plans.oracle import ORACLE
 
 duckdb = pytest.importorskip("duckdb")
 SF = "/root/testdata/sf0.001"
@@ -31,21 +33,23 @@ def rows(names, records):
     return sorted(tuple(comparable(r[i]) for i in order) for r in records)
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sql, name):
-    df = contract.queries()[name](spark, SF)
-    result = sql.execute(contract.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    result = sql.execute(ORACLE[name])
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(df.columns, df.collect()) == rows(names, result.fetchall())
 
 
 def test_contract(spark):
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"classifier_scores"}
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql())
     assert contract.entry(spark).count() > 0
 
 
-def test_classifier_query(spark):
-    out = contract.queries()["classifier_scores"](spark, SF)
-    assert {r.directional_sentiment for r in out.collect()} <= {-1, 0, 1}
-    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+def test_every_branch_has_rows(spark):
+    outcomes = {r["outcome"] for r in QUERIES["clean_counts"](spark, SF).collect()}
+    assert {"bad_date", "missing", "placeholder", "promotion", "kept"} <= outcomes
+    scores = {r["relevance_score"] for r in QUERIES["relevance_scores"](spark, SF).collect()}
+    assert {0.92, 0.86} <= scores

@@ -114,7 +114,7 @@ def test_override(spark):
         "ticker string, ord long, date date, headline string, source string, summary string, "
         "directional_sentiment int",
     )
-    with pytest.raises(ValueError, match="repeated"):
+    with pytest.raises(ValueError, match="twice"):
         directional.label_override(predicted, train)
     out = directional.label_override(predicted, train, "first").orderBy("ticker", "ord")
     assert [r.directional_sentiment for r in out.collect()] == [1, 1, 0, -1, 0]

@@ -98,8 +98,18 @@ def test_long_span_is_cut(articles, spark):
     assert len(span) == 161 and span.endswith("…")
 
 
-def test_articles_without_rules_are_left_out(articles, rules):
-    assert scored(articles, rules, [("Q", "h", "s", "b")]) == []
+def test_articles_without_rules(articles, rules):
+    with pytest.raises(ValueError, match="no rules for .*Q"):
+        scored(articles, rules, [("Q", "h", "s", "b")])
+    df = articles([("Q", 0, "2024-01-01", "h", "s", "b"), ("E", 0, "2024-01-01", "h", "s", "b")])
+    assert [tuple(r) for r in relevance.rules_missing(df, rules).collect()] == [("Q", 1)]
+    assert relevance.relevance_scores(df, rules, on_missing="skip").count() == 1
+
+
+def test_two_rows_of_rules_raise(articles, rules):
+    df = articles([("E", 0, "2024-01-01", "h", "s", "b")])
+    with pytest.raises(ValueError, match="more than one row of rules"):
+        relevance.relevance_scores(df, rules.unionByName(rules))
 
 
 def test_patterns_are_one_row_per_ticker(rules):

@@ -1,4 +1,4 @@
-"""A three-class text classifier for direction, trained and applied on Spark.
+"""One three-class text classifier of direction for all tickers; ``bayes`` has one per ticker.
 
 The built-in model is TF-IDF features and multinomial logistic regression over all tickers at
 once. A user's own model can be applied in its place with ``predict_with_model``.
@@ -23,7 +23,6 @@ from tidewire.operators.directional import count_mismatches, label_override
 from tidewire.schemas import NEWS, TRAIN, require_columns
 from tidewire.session import materialize
 
-MAX_TOKENS = 128
 TEST_SHARE = 0.1
 BATCH_ROWS = 16
 FEATURES = 1 << 16
@@ -42,7 +41,7 @@ def labelled_texts(train: DataFrame) -> DataFrame:
     label = encode_label(F.col("directional_sentiment")).cast("double")
     rows = rows.select("ticker", "ord", "text", label.alias("label"))
     if rows.isEmpty():
-        raise ValueError("No valid labeled rows found.")
+        raise ValueError("the training table has no label")
     return rows
 
 
@@ -53,13 +52,12 @@ def split_rows(df: DataFrame, test_share: float = TEST_SHARE, seed: int = 42):
     return df.filter(~is_test), df.filter(is_test)
 
 
-def build_pipeline(max_tokens: int = MAX_TOKENS, features: int = FEATURES, **regression) -> Pipeline:
+def build_pipeline(max_tokens: int | None = None, features: int = FEATURES, **regression) -> Pipeline:
     tokens = RegexTokenizer(
         inputCol="text", outputCol="all_tokens", pattern="[\\p{L}\\p{N}_]+", gaps=False
     )
-    cut = SQLTransformer(
-        statement=f"SELECT *, slice(all_tokens, 1, {max_tokens}) AS tokens FROM __THIS__"
-    )
+    kept = f"slice(all_tokens, 1, {max_tokens})" if max_tokens else "all_tokens"
+    cut = SQLTransformer(statement=f"SELECT *, {kept} AS tokens FROM __THIS__")
     counts = HashingTF(inputCol="tokens", outputCol="counts", numFeatures=features)
     idf = IDF(inputCol="counts", outputCol="features")
     settings = {"maxIter": 20, "regParam": 0.01, **regression}
@@ -123,5 +121,5 @@ def classify_direction(
     model, metrics = train_classifier(train, **settings)
     final = label_override(predict(model, news), train, on_repeat)
     if check and not count_mismatches(final, news).isEmpty():
-        raise ValueError("Row count mismatch between labels and articles")
+        raise ValueError("some tickers have another number of labels than articles")
     return final, metrics

@@ -34,7 +34,7 @@ def require_same_counts(left: DataFrame, right: DataFrame) -> None:
     wrong = count_mismatches(left, right).orderBy("ticker").limit(5).collect()
     if wrong:
         shown = ", ".join(f"{r['ticker']}: {r['left_rows']} vs {r['right_rows']}" for r in wrong)
-        raise ValueError(f"Row count mismatch: {shown}")
+        raise ValueError(f"tickers with unequal numbers of rows: {shown}")
 
 
 def positional_combine(
@@ -88,7 +88,7 @@ def label_override(
     )
     truth = materialize(truth)
     if on_repeat == "error" and not truth.filter("_n > 1").isEmpty():
-        raise ValueError("Row count mismatch: train has repeated (ticker, date, headline, summary)")
+        raise ValueError("the training table labels a (ticker, date, headline, summary) twice")
     rows = predicted.select(
         "ticker", "ord", "date", _text_key().alias("_key"), "directional_sentiment_pred"
     )

@@ -78,6 +78,23 @@ def rule_patterns(rules: DataFrame) -> DataFrame:
     )
 
 
+def rules_missing(articles: DataFrame, rules: DataFrame) -> DataFrame:
+    """(ticker, num_rows) of the articles whose ticker has no rules."""
+    counts = articles.groupBy("ticker").agg(F.count("*").alias("num_rows"))
+    return counts.join(rules.select("ticker").distinct(), "ticker", "left_anti")
+
+
+def require_rules(articles: DataFrame, rules: DataFrame, on_missing: str) -> None:
+    """Raise for a ticker with two rows of rules, and with ``'error'`` for one without any."""
+    repeated = rules.groupBy("ticker").count().filter("count > 1").orderBy("ticker").limit(5).collect()
+    if repeated:
+        raise ValueError(f"more than one row of rules for {[r['ticker'] for r in repeated]}")
+    if on_missing == "error":
+        absent = rules_missing(articles, rules).orderBy("ticker").limit(5).collect()
+        if absent:
+            raise ValueError(f"no rules for {[r['ticker'] for r in absent]}")
+
+
 def _with_branch(articles: DataFrame, rules: DataFrame) -> DataFrame:
     """Articles of tickers that have rules, with their patterns and decision inputs."""
     patterned = lookup_join(
@@ -208,8 +225,15 @@ def _with_evidence(branched: DataFrame) -> DataFrame:
     return listed.withColumn("evidence", evidence)
 
 
-def relevance_scores(articles: DataFrame, rules: DataFrame, evidence: bool = True) -> DataFrame:
-    """date, score, category, rationale and (optionally) evidence spans per article."""
+def relevance_scores(
+    articles: DataFrame, rules: DataFrame, evidence: bool = True, on_missing: str = "error"
+) -> DataFrame:
+    """date, score, category, rationale and (optionally) evidence spans per article.
+
+    A ticker without rules raises; ``on_missing='skip'`` leaves its articles out, and
+    ``rules_missing`` lists what was left out.
+    """
+    require_rules(articles, rules, on_missing)
     scored = _with_branch(articles, rules).withColumn("category", _category())
     columns = [
         F.col("ticker"),

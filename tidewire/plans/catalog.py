@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions import numbers as N
 from tidewire.functions import text as X
 from tidewire.operators import (
-    classify, clean, directional, factors, relevance, rolling, sampling, score, trust, vectors,
+    bayes, clean, directional, factors, relevance, rolling, sampling, score, trust, vectors,
     weekly,
 )
 from tidewire.plans import flows
@@ -55,6 +55,19 @@ WORD_LISTS = {
         "low_signal_phrases": ["de no"],
     },
 }
+# (modulus, remainder, text before, text after): what is put into rows by their ``ord``.
+NEWS_EDITS = {
+    "headline": [(11, 4, "Breaking:  ", ""), (23, 7, "LIVE: ", "")],
+    "summary": [
+        (13, 4, "", ' the thst nterthe FDA "a passage that is quoted" end'),
+        (17, 6, "", " Oned ouinor, EPS guidance; enlich keitkeit queque auxch raar mimi"),
+        (19, 8, "", " queque mentan merger erung teber SPIN-OFF"),
+    ],
+}
+RAW_EDITS = {
+    "headline": [(89, 3, "", " #name?"), (67, 9, '"', "'")],
+    "summary": [(83, 7, "", " with Proven  Results today"), (79, 11, "see ZACKS.com ", "")],
+}
 SOURCE_WEIGHTS = {"src0": 0.9, "src1": 0.9, "src2": 0.8, "src3": 0.4, "src4": 0.3}
 ROLES = {"view": "SPY", "signup": "IWM", "click": "IWD", "purchase": "IWF", "error": "IRX"}
 
@@ -63,10 +76,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _put(column: str, edits: list[tuple[int, int, str, str]]) -> Column:
+    """Texts put before or after a column in the rows whose ``ord`` has a remainder."""
+    value = F.col(column)
+    for modulus, rest, before, after in edits:
+        edited = F.concat(F.lit(before), value, F.lit(after))
+        value = F.when(F.col("ord") % modulus == rest, edited).otherwise(value)
+    return value
+
+
 def news(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents as articles, some with what the rules of relevance and comparison look for."""
     headline = F.substring_index("text", "\n", 1)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int"))
-    return table(spark, sf, "documents").select(
+    plain = table(spark, sf, "documents").select(
         F.col("lang").alias("ticker"),
         F.col("doc_id").alias("ord"),
         day.alias("date"),
@@ -74,16 +97,19 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
         "source",
         F.trim(F.substr("text", F.length(headline) + 2)).alias("summary"),
     )
+    return plain.withColumns({c: _put(c, edits) for c, edits in NEWS_EDITS.items()})
 
 
 def raw_news(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates as text: day-first and ISO forms, and some that are no date."""
+    """Rows that break each rule of cleaning, and dates as text: day-first and ISO forms."""
     written = (
         F.when(F.col("ord") % 97 == 5, "not a date")
         .when(F.col("ord") % 2 == 0, F.date_format("date", "dd/MM/yyyy"))
         .otherwise(F.date_format("date", "yyyy-MM-dd"))
     )
-    return news(spark, sf).withColumn("date", written)
+    broken = {c: _put(c, edits) for c, edits in RAW_EDITS.items()}
+    token = F.when(F.col("ord") % 73 == 13, "NA").otherwise(broken["headline"])
+    return news(spark, sf).withColumns({**broken, "headline": token, "date": written})
 
 
 def rules(spark: SparkSession) -> DataFrame:
@@ -124,6 +150,16 @@ def clean_news_query(spark, sf):
     return clean.clean_news(raw_news(spark, sf))
 
 
+def clean_news_titles(spark, sf):
+    """The same from a table with the other header names, in another order and case."""
+    raw = raw_news(spark, sf)
+    renamed = raw.select(
+        F.col("summary").alias(" Summary"), F.col("headline").alias("TITLE"), F.col("date").alias("DateTime"),
+        F.col("source").alias("source "), "ord", "ticker",
+    )
+    return clean.clean_news(renamed)
+
+
 def clean_rejects(spark, sf):
     rejected = clean.rejected_news(raw_news(spark, sf))
     return rejected.select("ticker", "ord", "raw_date", "source", "reject_reason")
@@ -164,6 +200,16 @@ def relevance_evidence(spark, sf):
     return relevance.relevance_text(scored)
 
 
+def rules_missing(spark, sf):
+    return relevance.rules_missing(news(spark, sf), rules(spark).filter("ticker <> 'es'"))
+
+
+def relevance_skipped(spark, sf):
+    """With rules for one language only, and the others left out on request."""
+    some = rules(spark).filter("ticker = 'de'")
+    return relevance.relevance_scores(news(spark, sf), some, evidence=False, on_missing="skip")
+
+
 def sample_quota(spark, sf):
     return sampling.sample_quota(news(spark, sf), SAMPLE_ROWS)
 
@@ -183,6 +229,20 @@ def positional_combine(spark, sf):
     return combined.select("ticker", "ord", "date", "directional_sentiment")
 
 
+def count_mismatches(spark, sf):
+    return directional.count_mismatches(news(spark, sf), labelled(spark, sf))
+
+
+def positional_skip(spark, sf):
+    """Labels lack the last row of one ticker, which is left out; the others get theirs."""
+    rows = labelled(spark, sf)
+    labels = rows.select("ticker", "ord", F.col("directional_sentiment").alias("label"))
+    last = labels.filter("ticker = 'fr'").agg(F.max("ord").alias("last"))
+    labels = labels.join(F.broadcast(last), (F.col("ticker") == "fr") & (F.col("ord") == F.col("last")), "left_anti")
+    combined = flows.training_table(rows, labels, "skip")
+    return combined.select("ticker", "ord", "date", "directional_sentiment")
+
+
 def _predicted(spark, sf):
     guess = (F.length("headline") % 3 - 1).cast("int")
     return news(spark, sf).withColumn("directional_sentiment_pred", guess)
@@ -290,10 +350,24 @@ def factor_summary(spark, sf):
 
 
 def classifier_scores(spark, sf):
-    final, _ = classify.classify_direction(
-        news(spark, sf), labelled(spark, sf), on_repeat="first", check=False
-    )
-    return final
+    return bayes.classify_by_ticker(news(spark, sf), labelled(spark, sf), "first")
+
+
+def classifier_split(spark, sf):
+    return bayes.labelled_rows(labelled(spark, sf)).select("ticker", "ord", "label", "held_out")
+
+
+def classifier_words(spark, sf):
+    return bayes.word_counts(bayes.labelled_rows(labelled(spark, sf)).filter("not held_out"))
+
+
+def classifier_guesses(spark, sf):
+    rows = bayes.labelled_rows(labelled(spark, sf)).filter("not held_out")
+    return bayes.predict(news(spark, sf), rows)
+
+
+def classifier_metrics(spark, sf):
+    return _rounded(bayes.held_out_metrics(labelled(spark, sf)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -329,4 +403,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "factor_last_days": factor_last_days,
     "factor_summary": factor_summary,
     "classifier_scores": classifier_scores,
+    "classifier_split": classifier_split,
+    "classifier_words": classifier_words,
+    "classifier_guesses": classifier_guesses,
+    "classifier_metrics": classifier_metrics,
+    "clean_news_titles": clean_news_titles,
+    "rules_missing": rules_missing,
+    "relevance_skipped": relevance_skipped,
+    "count_mismatches": count_mismatches,
+    "positional_skip": positional_skip,
 }

@@ -37,8 +37,11 @@ def labelling_sample(processed: DataFrame, n_total: int | dict[str, int] = 1000,
     return stratified_sample(processed, n_total, seed, appearance="date")
 
 
-def training_table(sample: DataFrame, labels: DataFrame, on_mismatch: str = "skip") -> DataFrame:
-    """The sample with its returned labels; tickers with the wrong number of labels are left out."""
+def training_table(sample: DataFrame, labels: DataFrame, on_mismatch: str = "error") -> DataFrame:
+    """The sample with its returned labels; a ticker with the wrong number of labels raises.
+
+    ``on_mismatch='skip'`` leaves such tickers out; ``count_mismatches`` lists them.
+    """
     return positional_combine(sample, labels, on_mismatch)
 
 

@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from tidewire.operators.relevance import HIGH_TIER, MID_TIER
 from tidewire.plans.catalog import (
-    DIGITS, ROLES, ROLLING_COSINE, SAMPLE_ROWS, SOURCE_WEIGHTS, WORD_LISTS,
+    DIGITS, NEWS_EDITS, RAW_EDITS, ROLES, ROLLING_COSINE, SAMPLE_ROWS, SOURCE_WEIGHTS, WORD_LISTS,
 )
 
-NEWS = """
-news as (
+def _put(column: str, edits: list[tuple[int, int, str, str]]) -> str:
+    value = column
+    for modulus, rest, before, after in edits:
+        one, two = before.replace("'", "''"), after.replace("'", "''")
+        value = f"case when ord % {modulus} = {rest} then '{one}' || {value} || '{two}' else {value} end"
+    return value
+
+
+NEWS = f"""
+plain_news as (
   select lang as ticker, doc_id as ord, source,
          date '2024-01-01' + cast(doc_id % 90 as int) as date,
          split_part(text, chr(10), 1) as headline,
          trim(substr(text, length(split_part(text, chr(10), 1)) + 2)) as summary
-  from documents)
+  from documents),
+news as (
+  select ticker, ord, source, date, {_put("headline", NEWS_EDITS["headline"])} as headline,
+         {_put("summary", NEWS_EDITS["summary"])} as summary
+  from plain_news)
 """
 
 LABELLED = """
@@ -35,7 +47,8 @@ def _field(name: str) -> str:
 MARKED = f"""
 {NEWS},
 raw as (
-  select ticker, ord, headline, source, summary,
+  select ticker, ord, source, {_put("summary", RAW_EDITS["summary"])} as summary,
+         case when ord % 73 = 13 then 'NA' else {_put("headline", RAW_EDITS["headline"])} end as headline,
          case when ord % 97 = 5 then 'not a date'
               when ord % 2 = 0 then strftime(date, '%d/%m/%Y')
               else strftime(date, '%Y-%m-%d') end as date
@@ -388,6 +401,44 @@ quotas as (
   from sized)
 """
 
+_K = (0, 1, 2)
+
+
+def _each(template: str) -> str:
+    return ", ".join(template.replace("@", str(k)) for k in _K)
+
+
+CLASSIFIER = f"""
+{NEWS}, {LABELLED},
+examples as (
+  select *, directional_sentiment + 1 as label,
+         left(md5(ticker || ':' || ord), 2) < '1a' as held_out
+  from labelled),
+news_words as (
+  select ticker, ord,
+         unnest(regexp_extract_all(lower(headline || ' ' || summary), '[\\p{{L}}\\p{{N}}_]+')) as word
+  from news),
+counts as (
+  select ticker, word, {_each('count_if(label = @)::bigint as n@')}
+  from examples join news_words using (ticker, ord) where not held_out group by all),
+sizes as (
+  select ticker, {_each('count_if(label = @) as r@')} from examples where not held_out group by all),
+totals as (
+  select ticker, {_each('sum(n@) as t@')}, count(*) as vocabulary from counts group by all),
+found as (
+  select ticker, ord, sum(times) as length, {_each('sum(times * ln(n@ + 1)) as s@')}
+  from (select ticker, ord, word, count(*) as times from news_words group by all)
+  join counts using (ticker, word) group by all),
+scored as (
+  select n.ticker, n.ord,
+         {_each("case when r@ > 0 then round(ln(r@ / (r0 + r1 + r2)) + coalesce(s@, 0) - coalesce(length * ln(t@ + vocabulary), 0), 6) else '-infinity'::double end as c@")}
+  from news n join sizes using (ticker) left join totals using (ticker)
+  left join found using (ticker, ord)),
+guesses as (
+  select ticker, ord, case when c0 >= c1 and c0 >= c2 then 0 when c1 >= c2 then 1 else 2 end as label
+  from scored)
+"""
+
 ORACLE: dict[str, str] = {
     "clean_news": f"""with {MARKED}
 select ticker, ord, date, headline, source, summary from marked where reject_reason is null""",
@@ -491,6 +542,43 @@ select ticker, ord,
        case when x2 >= 0.7 then 'Directly related' when x2 >= 0.3 then 'Indirectly related'
             else 'Neutral' end as relevance
 from articles""",
+    "classifier_split": f"with {CLASSIFIER} select ticker, ord, label, held_out from examples",
+    "classifier_words": f"with {CLASSIFIER} select ticker, word, n0, n1, n2 from counts",
+    "classifier_guesses": f"with {CLASSIFIER} select ticker, ord, label from guesses",
+    "classifier_scores": f"""with {CLASSIFIER},
+truth as (
+  select ticker, date, headline, summary, arg_min(directional_sentiment, ord) as label
+  from labelled group by all)
+select n.ticker, n.ord, n.date, coalesce(t.label, g.label - 1)::int as directional_sentiment
+from news n join guesses g using (ticker, ord)
+left join truth t on t.ticker = n.ticker and t.date = n.date
+     and t.headline = n.headline and t.summary = n.summary""",
+    "classifier_metrics": f"""with {CLASSIFIER},
+pairs as (
+  select ticker, e.label as truth, g.label from examples e join guesses g using (ticker, ord) where held_out),
+sides as (
+  select ticker, k, count_if(truth = k and label = k) as hits, count_if(truth = k) as wanted,
+         count_if(label = k) as given
+  from pairs, (select unnest([0, 1, 2]) as k) group by all)
+select ticker, sum(wanted)::bigint as num_rows, round_even(sum(hits) / sum(wanted), {DIGITS}) as accuracy,
+       round_even(avg(case when wanted + given > 0 then 2 * hits / (wanted + given) end), {DIGITS}) as f1
+from sides group by ticker""",
+    "clean_news_titles": f"""with {MARKED}
+select ticker, ord, date, headline, source, summary from marked where reject_reason is null""",
+    "rules_missing": f"""with {NEWS}
+select ticker, count(*) as num_rows from news where ticker = 'es' group by ticker""",
+    "relevance_skipped": f"""with {NEWS}, {RELEVANCE}
+select ticker, ord, date, relevance_score, category, rationale from relevance where ticker = 'de'""",
+    "count_mismatches": f"""with {NEWS}, {LABELLED}
+select ticker, count(*) as left_rows, count(directional_sentiment) as right_rows
+from news left join (select ticker, ord, directional_sentiment from labelled) using (ticker, ord)
+group by ticker having count(*) <> count(directional_sentiment)""",
+    "positional_skip": f"""with {NEWS}, {LABELLED},
+s as (select *, row_number() over (partition by ticker order by date, ord) as k from labelled),
+l as (select ticker, directional_sentiment,
+             row_number() over (partition by ticker order by ord) as k from labelled)
+select s.ticker, s.ord, s.date, l.directional_sentiment from s join l using (ticker, k)
+where ticker <> 'fr'""",
     "factor_proxies": f"with {FACTORS} {_factor_rows(DIGITS)}",
     "factor_return_diff": f"with {RETURN_DIFF} {_factor_rows(DIGITS)}",
     "factor_last_days": f"with {FACTORS} {_factor_rows(4)} order by date desc limit 15",
@@ -501,7 +589,7 @@ select min(date) as first_day, max(date) as last_day, count(*) as num_days from
 
 def _daily_signal() -> str:
     """Cleaning, rolling dedup and scoring in one statement."""
-    start = MARKED.replace("news as (", "source_news as (", 1).replace("from news)", "from source_news)", 1)
+    start = MARKED.replace("\nnews as (", "\nsource_news as (", 1).replace("from news)", "from source_news)", 1)
     cleaned = "clean_news as (select ticker, ord, date, headline, source, summary " \
         "from marked where reject_reason is null)"
     rolled = ROLLING.replace(NEWS, "").replace("from news)", "from clean_news)").strip().lstrip(",")

@@ -1,4 +1,4 @@
-"""Explicit schemas of every table. ``ord`` is the row's place within its ticker's input."""
+"""Explicit schemas of what is read. ``ord`` is the row's place within its ticker's input."""
 
 from __future__ import annotations
 
@@ -17,31 +17,14 @@ _WORDS = T.ArrayType(_S)
 
 RAW_NEWS = _table(ticker=_S, ord=_L, date=_S, headline=_S, source=_S, summary=_S)
 NEWS = _table(ticker=_S, ord=_L, date=_DATE, headline=_S, source=_S, summary=_S)
-EMBEDDINGS = _table(ticker=_S, ord=_L, embedding=T.ArrayType(T.FloatType()))
 RULES = _table(
     ticker=_S, aliases=_WORDS, products=_WORDS, direct_keywords=_WORDS,
     indirect_keywords=_WORDS, low_signal_phrases=_WORDS,
 )
 RULE_FILE = T.StructType(RULES.fields[1:])
-SOURCE_WEIGHTS = _table(source=_S, weight=_D)
-CHUNKS = _table(ticker=_S, chunk=_I, number=_L, text=_S)
-LABELS = _table(ticker=_S, ord=_L, idx=_I, label=_I)
 LABEL_FILE = _table(idx=_I, label=_I)
 TRAIN = T.StructType(NEWS.fields + [T.StructField("directional_sentiment", _I, True)])
-DIRECTIONAL = _table(ticker=_S, ord=_L, date=_DATE, directional_sentiment=_I)
-RELEVANCE = _table(
-    ticker=_S, ord=_L, date=_DATE, relevance_score=_D, category=_S, rationale=_S,
-    evidence=_WORDS,
-)
-TRUST = T.StructType(
-    NEWS.fields + [T.StructField("x3_factor", _D, True), T.StructField("x3_factor_avg", _D, True)]
-)
-DAILY = _table(
-    ticker=_S, date=_DATE, Final_Sentiment=_D, Num_News=_L, Avg_Relevance=_D,
-    Avg_Trustfulness=_D, Avg_Directional=_D,
-)
 PRICES = _table(date=_DATE, symbol=_S, adj_close=_D)
-FACTORS = _table(date=_DATE, mkt_rf=_D, smb=_D, hml=_D, rf=_D)
 
 ARTICLE_COLUMNS = ["date", "headline", "source", "summary"]
 
@@ -50,5 +33,5 @@ def require_columns(df: DataFrame, columns: list[str], where: str = "input") ->
     """Raise if a needed column is absent. Looks at the schema only; no job runs."""
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing columns {missing} in {where}")
+        raise ValueError(f"{where} has no columns {missing}")
     return df

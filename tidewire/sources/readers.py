@@ -1,13 +1,17 @@
 """Readers with explicit schemas. One scan covers all tickers.
 
 Files come either in a folder per ticker (``ticker=ABT/``) or with the ticker as the first part of
-the file name (``ABT_raw_dataset.csv``). ``ord`` follows the order of rows in a file: a quoted
-field may hold line breaks, so a file is never split, and the running id is monotonic within it.
+the file name (``ABT_raw_dataset.csv``). ``ord`` counts the rows of a ticker from 0, by file path and
+place in the file. A quoted field may hold line breaks, so a file is never split.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,27 +19,44 @@ from tidewire import schemas as S
 from tidewire.functions.text import ticker_from_path
 from tidewire.operators.clean import normalize_columns
 
-# The preset tickers.
-PRESET_TICKERS = [
-    "ABT", "AMZN", "AVGO", "BEP", "DHR", "ENPH", "FSLR", "ISRG", "LLY", "META", "NEE", "NVO",
-    "PLUG", "SNOW", "TSLA",
-]
-
 CSV_OPTIONS = {
     "header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """Add ``ord``, and ``ticker`` from the file name when the layout has no such column."""
+PATH_MISSING = "PATH_NOT_FOUND"
+
+
+def _with_ticker(df: DataFrame) -> DataFrame:
+    """The file's path, and the ticker from its name when the layout has no such column."""
+    df = df.withColumn("_file", F.col("_metadata.file_path"))
     if "ticker" not in df.columns:
         df = df.withColumn("ticker", ticker_from_path(F.col("_metadata.file_path")))
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    return df
+
+
+def with_position(df: DataFrame) -> DataFrame:
+    """Add ``ord``: the row's place within its ticker, by file path and place in the file.
+
+    ``df`` is a scan with ``ticker`` and ``_file``. How Spark packs files into tasks does not show:
+    the running id only counts within a file, and a table of one row per file says where each file
+    starts. That table is joined, so the articles themselves are not shuffled for it.
+    """
+    placed = df.withColumn("_id", F.monotonically_increasing_id())
+    files = placed.groupBy("ticker", "_file").agg(
+        F.min("_id").alias("_first"), F.count("*").alias("_rows")
+    )
+    before = Window.partitionBy("ticker").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(
+        "_file", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start")
+    )
+    ord_ = F.col("_id") - F.col("_first") + F.col("_start")
+    return placed.join(starts, "_file").withColumn("ord", ord_).drop("_id", "_first", "_start", "_file")
 
 
 def only_tickers(df: DataFrame, tickers: list[str] | None) -> DataFrame:
-    """Restrict to some tickers (any case); on a ticker-partitioned table this prunes folders."""
+    """Restrict to some tickers (any case). Applied to a scan, this prunes folders or files."""
     if tickers is None:
         return df
     return df.filter(F.col("ticker").isin([t.upper() for t in tickers]))
@@ -46,27 +67,81 @@ def require_tickers(df: DataFrame, tickers: list[str], on_missing: str = "skip")
     wanted = only_tickers(df, tickers)
     if on_missing == "error":
         found = {r["ticker"] for r in wanted.select("ticker").distinct().collect()}
-        missing = sorted({t.upper() for t in tickers} - found)
-        if missing:
-            raise FileNotFoundError(f"Missing input for tickers {missing}")
+        absent = sorted({t.upper() for t in tickers} - found)
+        if absent:
+            raise FileNotFoundError(f"No rows for tickers {absent}")
     return wanted
 
 
-def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All-string CSV scan with normalized names; raises when a column is missing."""
-    df = spark.read.options(**CSV_OPTIONS, inferSchema=False).csv(path)
-    names = df.columns
-    df = with_position(df)
-    df = normalize_columns(df)
-    S.require_columns(df, columns, path)
-    kept = [c.strip().lower() for c in names]
-    return df.select("ticker", "ord", *[c for c in df.columns if c in columns or c in kept])
-
-
-def read_raw_news(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:
+def _scan(load: Callable[[], DataFrame], empty: DataFrame, on_missing: str) -> DataFrame:
+    """``load()``, or ``empty`` for a path that is not there and may be skipped."""
+    try:
+        return load()
+    except AnalysisException as error:
+        if on_missing == "skip" and error.getCondition() == PATH_MISSING:
+            return empty
+        raise
+
+
+def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """Paths of the files, those with the same first line together. One pass over the lines.
+
+    What comes to the driver is the list of files, which it lists for any scan.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
+        ).alias("place"),
+    )
+    headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
+    grouped = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return [r["files"] for r in grouped.orderBy("header").collect()]
+
+
+def read_text_csv(
+    spark: SparkSession,
+    path: str,
+    columns: list[str],
+    tickers: list[str] | None = None,
+    on_missing: str = "error",
+    own_headers: bool = True,
+) -> DataFrame:
+    """All-string CSV scan with normalized names; raises when a column is missing.
+
+    Each file is read by its own header: files with the same first line make one scan, and the
+    scans are joined by name. ``own_headers=False`` saves the pass that looks at first lines where
+    all files are known to have one layout; a file that differs then raises. Columns that some
+    files lack are null there. ``on_missing='skip'`` takes a path without files as an empty table.
+    """
+    empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["_file", "ticker", *columns]))
+    options = {**CSV_OPTIONS, "inferSchema": False, "enforceSchema": False}
+
+    def scan(paths: str | list[str]) -> DataFrame:
+        reader = spark.read.options(**options)
+        base = path.rstrip("/")
+        if isinstance(paths, list) and all(f"{base}/" in file for file in paths):
+            reader = reader.option("basePath", base)    # so that folder names still give columns
+        df = _with_ticker(reader.csv(paths))
+        df = S.require_columns(normalize_columns(df), columns, path)
+        return only_tickers(df, tickers)
+
+    def load() -> DataFrame:
+        if not own_headers:
+            return scan(path)
+        scans = [scan(files) for files in _files_by_header(spark, path)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans) if scans else empty
+
+    df = with_position(_scan(load, empty, on_missing))
+    return df.select("ticker", "ord", *[c for c in df.columns if c not in ("ticker", "ord")])
+
+
+def read_raw_news(
+    spark: SparkSession, path: str, tickers: list[str] | None = None, on_missing: str = "error"
+) -> DataFrame:
     """Raw articles: ``title`` and ``datetime`` headers are understood, other columns dropped."""
-    df = read_text_csv(spark, path, S.ARTICLE_COLUMNS)
-    return only_tickers(df.select("ticker", "ord", *S.ARTICLE_COLUMNS), tickers)
+    df = read_text_csv(spark, path, S.ARTICLE_COLUMNS, tickers, on_missing)
+    return df.select("ticker", "ord", *S.ARTICLE_COLUMNS)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
@@ -76,37 +151,49 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool
 
 
 def read_news(
-    spark: SparkSession, path: str, tickers: list[str] | None = None, fmt: str = "csv"
+    spark: SparkSession,
+    path: str,
+    tickers: list[str] | None = None,
+    fmt: str = "csv",
+    on_missing: str = "error",
 ) -> DataFrame:
     """A cleaned or processed table, as CSV or Parquet."""
     if fmt == "csv":
-        df = read_text_csv(spark, path, S.ARTICLE_COLUMNS)
+        df = read_text_csv(spark, path, S.ARTICLE_COLUMNS, tickers, on_missing)
         df = df.withColumn("date", F.col("date").try_cast("date"))
     else:
-        df = spark.read.format(fmt).load(path)
-    return only_tickers(df.select("ticker", "ord", *S.ARTICLE_COLUMNS), tickers)
+        empty = spark.createDataFrame([], S.NEWS)
+        df = only_tickers(_scan(lambda: spark.read.format(fmt).load(path), empty, on_missing), tickers)
+    return df.select("ticker", "ord", *S.ARTICLE_COLUMNS)
 
 
-def read_labels(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:
+def read_labels(
+    spark: SparkSession, path: str, tickers: list[str] | None = None, on_missing: str = "error"
+) -> DataFrame:
     """Headerless ``idx,label`` files, with or without a space after the comma."""
-    df = spark.read.schema(S.LABEL_FILE).options(
+    reader = spark.read.schema(S.LABEL_FILE).options(
         header=False, ignoreLeadingWhiteSpace=True, multiLine=True
-    ).csv(path)
-    return only_tickers(with_position(df).select("ticker", "ord", "idx", "label"), tickers)
+    )
+    empty = spark.createDataFrame([], "_file string, ticker string, idx int, label int")
+    df = _scan(lambda: _with_ticker(reader.csv(path)), empty, on_missing)
+    return with_position(only_tickers(df, tickers)).select("ticker", "ord", "idx", "label")
 
 
-def read_headed_by_position(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_headed_by_position(
+    spark: SparkSession, path: str, schema: T.StructType, tickers: list[str] | None = None
+) -> DataFrame:
     """Skip the header line and take the columns by position."""
     df = spark.read.options(**{**CSV_OPTIONS, "enforceSchema": True}).schema(schema).csv(path)
     columns = [f.name for f in schema.fields]
-    return with_position(df).select("ticker", "ord", *columns)
+    return with_position(only_tickers(_with_ticker(df), tickers)).select("ticker", "ord", *columns)
 
 
-def read_rules(spark: SparkSession, path: str, tickers: list[str] | None = None) -> DataFrame:
+def read_rules(
+    spark: SparkSession, path: str, tickers: list[str] | None = None, on_missing: str = "error"
+) -> DataFrame:
     """One JSON object of word lists per ticker; keys that are not used are dropped."""
-    df = spark.read.option("multiLine", True).schema(S.RULE_FILE).json(path)
-    if "ticker" not in df.columns:
-        df = df.withColumn("ticker", ticker_from_path(F.col("_metadata.file_path")))
+    reader = spark.read.option("multiLine", True).schema(S.RULE_FILE)
+    df = _scan(lambda: _with_ticker(reader.json(path)), spark.createDataFrame([], S.RULES), on_missing)
     return only_tickers(df.select(*[f.name for f in S.RULES.fields]), tickers)
 
 

@@ -1,9 +1,15 @@
-"""Sinks. Spark's committer makes a written folder appear as a whole; with dynamic partition
-overwrite only the tickers present in the data are replaced."""
+"""Sinks. A failed write leaves the old table as it was.
+
+Tables with a ticker column are partitioned by it, and dynamic partition overwrite replaces the
+tickers present in the data once the job has succeeded. Any other table is written into a new
+folder beside the old one, which takes its place then.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidewire.operators.relevance import relevance_text
@@ -11,11 +17,31 @@ from tidewire.operators.relevance import relevance_text
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
 
 
+def _save(df: DataFrame, path: str, parts: list[str], fmt: str, **options) -> None:
+    writer: DataFrameWriter = df.write.format(fmt).options(**options)
+    if parts:
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).save(path)
+        return
+    context = df.sparkSession.sparkContext
+    hadoop_path = context._jvm.org.apache.hadoop.fs.Path
+    target = hadoop_path(path.rstrip("/"))
+    files = target.getFileSystem(context._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    fresh, old = (hadoop_path(target.getParent(), f".{target.getName()}-{kind}-{mark}") for kind in ("new", "old"))
+    writer.save(fresh.toString())
+    replaced = files.exists(target) and files.rename(target, old)
+    if not files.rename(fresh, target):
+        if replaced:
+            files.rename(old, target)
+        raise OSError(f"could not put the new table at {path}")
+    if replaced:
+        files.delete(old, True)
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Between stages: columnar, partitioned by ticker when there is one."""
     parts = partition_by if partition_by is not None else [c for c in ["ticker"] if c in df.columns]
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    _save(df, path, parts, "parquet")
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
@@ -23,12 +49,10 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
     if columns:
         parts = [c for c in ["ticker"] if c in df.columns and c not in columns]
         df = df.select(*parts, *columns)
-    writer = df.write.mode("overwrite").options(**CSV_OPTIONS)
-    writer = writer.option("partitionOverwriteMode", "dynamic")
-    (writer.partitionBy("ticker") if "ticker" in df.columns else writer).csv(path)
+    _save(df, path, ["ticker"] if "ticker" in df.columns else [], "csv", **CSV_OPTIONS)
 
 
-def write_sorted_csv(df: DataFrame, path: str, columns: list[str], tickers_per_task: int = 1) -> None:
+def write_sorted_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """As ``write_csv``, rows in (ticker, date, ord) order across the files of a ticker.
 
     A range partitioning on the full order splits a large ticker over many files.
@@ -49,13 +73,7 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     """Headerless ``number,text`` files in a folder per ticker and chunk; a chunk is one file."""
     rows = chunks.select("ticker", "chunk", "number", "text")
     rows = rows.repartition("ticker", "chunk").sortWithinPartitions("ticker", "chunk", "number")
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .options(**{**CSV_OPTIONS, "header": False})
-        .partitionBy("ticker", "chunk")
-        .csv(path)
-    )
+    _save(rows, path, ["ticker", "chunk"], "csv", **{**CSV_OPTIONS, "header": False})
 
 
 def write_dated_csv(df: DataFrame, path: str) -> None:
