@@ -123,3 +123,17 @@ def test_comparison_text(spark):
     df = spark.createDataFrame([("BREAKING:  Update: Big \tNews", " and  more ")], "h string, s string")
     text = df.select(X.comparison_text(F.col("h"), F.col("s")).alias("t")).first().t
     assert text == "update: big news and more"
+
+
+def test_dates_are_read_day_first_in_many_spellings(spark):
+    from tidewire.functions.text import parse_date
+
+    texts = [
+        "12 Oct 2024", "Oct 12, 2024", "12 october 2024", "12/10/24", "20241012", "2024-10-12 10:11:12.5",
+        "2024-10-12 10:11:12+00:00", "2024-10-12T10:11:12Z", "12-Oct-2024", "2024/10/12",
+    ]
+    bad = ["31/31/2024", "12 Foo 2024", "2024", "20241399", "", "2024-10-12 25:00:00.1", "Oct 2024"]
+    df = spark.createDataFrame([(t,) for t in texts + bad], "t string")
+    got = [r["d"] for r in df.select(parse_date(F.col("t")).alias("d")).collect()]
+    assert [str(d) for d in got[: len(texts)]] == ["2024-10-12"] * len(texts)
+    assert got[len(texts):] == [None] * len(bad)

@@ -18,7 +18,11 @@ DATE_FORMATS = [
     "d/M/yyyy", "d/M/yyyy H:m", "d/M/yyyy H:m:s", "d-M-yyyy", "d-M-yyyy H:m", "d.M.yyyy",
     "yyyy-MM-dd", "yyyy-MM-dd H:m", "yyyy-MM-dd H:m:s", "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ssXXX",
+    "d/M/yy", "d-M-yy", "d.M.yy", "yyyyMMdd", "yyyy/M/d",
+    "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy",
 ]
+# ISO with a fraction of a second, an offset, or both, as a cast reads it: the day is that of the session's zone.
+ISO_TIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})?$"
 
 # White space as str.strip and re's \s see it: Unicode spaces and the four separators.
 SPACE = "[\\s\\x1c-\\x1f]"
@@ -56,6 +60,8 @@ def _shape(date_format: str) -> str:
             return re.escape(token[1:-1])
         if token[0] == "X":
             return "(Z|[+-]\\d{2}:\\d{2})"
+        if token[0] == "M" and len(token) > 2:
+            return "\\p{L}+"
         if token[0].isalpha():
             return "\\d{1,2}" if len(token) == 1 else f"\\d{{{len(token)}}}"
         return re.escape(token)
@@ -71,6 +77,8 @@ def parse_date(c: Column, formats: list[str] | None = None) -> Column:
     tries = [
         F.when(c.rlike(_shape(f)), F.try_to_timestamp(c, F.lit(f))) for f in formats or DATE_FORMATS
     ]
+    if formats is None:
+        tries.append(F.when(c.rlike(ISO_TIME), c.try_cast("timestamp")))
     return F.coalesce(*tries).cast("date")
 
 

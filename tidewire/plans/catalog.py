@@ -68,6 +68,11 @@ RAW_EDITS = {
     "headline": [(89, 3, "", " #name?"), (67, 9, '"', "'")],
     "summary": [(83, 7, "", " with Proven  Results today"), (79, 11, "see ZACKS.com ", "")],
 }
+DATE_SPELLINGS = [
+    "dd/MM/yyyy", "d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "dd/MM/yy", "yyyy-MM-dd", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy",
+    "MMM d, yyyy", "MMMM d, yyyy", "d/M/yyyy 9:07", "yyyy-MM-dd 10:11:12", "yyyy-MM-dd 10:11:12.5",
+    "yyyy-MM-dd 10:11:12+00:00", "yyyy-MM-dd'T'10:11:12'Z'",
+]
 SOURCE_WEIGHTS = {"src0": 0.9, "src1": 0.9, "src2": 0.8, "src3": 0.4, "src4": 0.3}
 ROLES = {"view": "SPY", "signup": "IWM", "click": "IWD", "purchase": "IWF", "error": "IRX"}
 
@@ -200,6 +205,14 @@ def relevance_evidence(spark, sf):
     return relevance.relevance_text(scored)
 
 
+def date_spellings(spark, sf):
+    """Each article's date in one of many spellings, day first, and read back."""
+    spelled = [F.date_format("date", f) for f in DATE_SPELLINGS]
+    spelled.append(F.lit("31/31/2024"))
+    text = F.element_at(F.array(*spelled), (F.col("ord") % len(spelled) + 1).cast("int"))
+    return news(spark, sf).select("ticker", "ord", X.parse_date(text).alias("date"))
+
+
 def rules_missing(spark, sf):
     return relevance.rules_missing(news(spark, sf), rules(spark).filter("ticker <> 'es'"))
 
@@ -409,6 +422,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classifier_metrics": classifier_metrics,
     "clean_news_titles": clean_news_titles,
     "rules_missing": rules_missing,
+    "date_spellings": date_spellings,
     "relevance_skipped": relevance_skipped,
     "count_mismatches": count_mismatches,
     "positional_skip": positional_skip,

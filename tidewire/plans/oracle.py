@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidewire.operators.relevance import HIGH_TIER, MID_TIER
 from tidewire.plans.catalog import (
-    DIGITS, NEWS_EDITS, RAW_EDITS, ROLES, ROLLING_COSINE, SAMPLE_ROWS, SOURCE_WEIGHTS, WORD_LISTS,
+    DATE_SPELLINGS, DIGITS, NEWS_EDITS, RAW_EDITS, ROLES, ROLLING_COSINE, SAMPLE_ROWS, SOURCE_WEIGHTS, WORD_LISTS,
 )
 
 def _put(column: str, edits: list[tuple[int, int, str, str]]) -> str:
@@ -565,6 +565,8 @@ select ticker, sum(wanted)::bigint as num_rows, round_even(sum(hits) / sum(wante
 from sides group by ticker""",
     "clean_news_titles": f"""with {MARKED}
 select ticker, ord, date, headline, source, summary from marked where reject_reason is null""",
+    "date_spellings": f"""with {NEWS}
+select ticker, ord, case when ord % {len(DATE_SPELLINGS) + 1} < {len(DATE_SPELLINGS)} then date end as date from news""",
     "rules_missing": f"""with {NEWS}
 select ticker, count(*) as num_rows from news where ticker = 'es' group by ticker""",
     "relevance_skipped": f"""with {NEWS}, {RELEVANCE}
