@@ -7,12 +7,14 @@ duplicate_summary.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
 from tidewire.functions.columns import computed_once
+from tidewire.operators.lookup import lookup_join
 from tidewire.schemas import ARTICLE_COLUMNS, require_columns
+from tidewire.session import materialize
 
 NEWS_COLUMNS = ["ticker", "ord", *ARTICLE_COLUMNS]
 
@@ -27,17 +29,14 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df
 
 
-def apply_row_rules(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
-    """Typed rows with the reason of the first row rule they break.
-
-    ``raw_date`` keeps the text a bad date was read from.
-    """
+def _typed(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
+    """Rows without quotes and null tokens; ``raw_date`` keeps the text a date was read from."""
     raw = require_columns(normalize_columns(raw), NEWS_COLUMNS, "raw news")
     bare = computed_once(
         raw, ["ticker", "ord"], {c: X.strip_quotes(F.col(c)) for c in ARTICLE_COLUMNS}
     )
     date = X.null_tokens(F.col("date"))
-    typed = computed_once(
+    return computed_once(
         bare,
         ["ticker", "ord"],
         {
@@ -48,6 +47,11 @@ def apply_row_rules(raw: DataFrame, date_formats: list[str] | None = None) -> Da
             "summary": X.blank_to_null(X.null_tokens(F.col("summary"))),
         },
     )
+
+
+def apply_row_rules(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
+    """Typed rows with the reason of the first row rule they break."""
+    typed = _typed(raw, date_formats)
     headline, summary = F.col("headline"), F.col("summary")
     reason = (
         F.when(F.col("date").isNull(), "bad_date")
@@ -58,42 +62,27 @@ def apply_row_rules(raw: DataFrame, date_formats: list[str] | None = None) -> Da
     return computed_once(typed, typed.columns, {"reject_reason": reason})
 
 
-def _first_rows(ruled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Keys of the rows that survive the headline pass, and of those that survive both.
+def _digest(name: str) -> Column:
+    return F.unhex(F.sha2(name, 256)).alias(f"_{name}")
 
-    Grouping with ``min`` combines copies on the map side, so a text that fills a third of the
-    table still shuffles as a few rows; a window over the text would gather all copies in one
-    task. Summaries travel as digests, and only the first row of each headline goes on.
-    """
-    rows = ruled.filter(F.col("reject_reason").isNull()).select(
-        "ticker", "ord", "headline", F.unhex(F.sha2("summary", 256)).alias("_summary")
-    )
-    by_headline = (
-        rows.groupBy("ticker", "headline")
-        .agg(F.min(F.struct("ord", "_summary")).alias("_first"))
-        .select("ticker", "_first.ord", "_first._summary")
-    )
-    by_summary = by_headline.groupBy("ticker", "_summary").agg(F.min("ord").alias("ord"))
-    return by_headline.select("ticker", "ord"), by_summary.select("ticker", "ord")
-
-
-def clean_news(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
-    """The kept rows."""
-    ruled = apply_row_rules(raw, date_formats)
-    _, kept = _first_rows(ruled)
-    return ruled.filter(F.col("reject_reason").isNull()).select(*NEWS_COLUMNS).join(
-        kept, ["ticker", "ord"], "left_semi"
-    )
 
+def verdicts(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
+    """(ticker, ord, reject_reason) of every row, stored; the reason is null for kept rows.
 
-def mark_rejects(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
-    """Every input row with its ``reject_reason``. The joins are on (ticker, ord), which is unique."""
+    The row rules look at the texts once, and what is stored of them is digests. First rows are a
+    ``min`` that hash-aggregates and combines on the map side, so a text that fills a third of the
+    table shuffles as a few rows.
+    """
     ruled = apply_row_rules(raw, date_formats)
-    by_headline, by_summary = _first_rows(ruled)
+    marks = materialize(ruled.select("ticker", "ord", "reject_reason", _digest("headline"), _digest("summary")))
     key = ["ticker", "ord"]
-    verdict = (
-        by_headline.withColumn("_pass", F.lit(1))
-        .unionByName(by_summary.withColumn("_pass", F.lit(2)))
+    sound = marks.filter(F.col("reject_reason").isNull())
+    by_headline = sound.groupBy("ticker", "_headline").agg(F.min("ord").alias("ord"))
+    firsts = sound.join(by_headline, [*key, "_headline"], "left_semi")
+    by_summary = firsts.groupBy("ticker", "_summary").agg(F.min("ord").alias("ord"))
+    passed = (
+        by_headline.select(*key, F.lit(1).alias("_pass"))
+        .unionByName(by_summary.select(*key, F.lit(2).alias("_pass")))
         .groupBy(*key)
         .agg(F.max("_pass").alias("_pass"))
     )
@@ -102,7 +91,20 @@ def mark_rejects(raw: DataFrame, date_formats: list[str] | None = None) -> DataF
         .when(F.col("_pass").isNull(), "duplicate_headline")
         .when(F.col("_pass") == 1, "duplicate_summary")
     )
-    return ruled.join(verdict, key, "left").withColumn("reject_reason", reason).drop("_pass")
+    judged = marks.select(*key, "reject_reason").join(passed, key, "left")
+    return materialize(judged.select(*key, reason.alias("reject_reason")))
+
+
+def clean_news(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
+    """The kept rows. Only the keys of dropped rows meet the texts again, and no rule is asked twice."""
+    dropped = verdicts(raw, date_formats).filter(F.col("reject_reason").isNotNull()).select("ticker", "ord")
+    fields = _typed(raw, date_formats).select(*NEWS_COLUMNS)
+    return lookup_join(fields, dropped, ["ticker", "ord"], "left_anti")
+
+
+def mark_rejects(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
+    """Every input row with its ``reject_reason``. The joins are on (ticker, ord), which is unique."""
+    return _typed(raw, date_formats).join(verdicts(raw, date_formats), ["ticker", "ord"], "left")
 
 
 def rejected_news(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:

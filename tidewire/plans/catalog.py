@@ -171,7 +171,7 @@ def clean_rejects(spark, sf):
 
 
 def clean_counts(spark, sf):
-    return clean.stage_counts(clean.mark_rejects(raw_news(spark, sf)))
+    return clean.stage_counts(clean.verdicts(raw_news(spark, sf)))
 
 
 def integrity_report(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidewire.operators.clean import clean_news
+from tidewire.operators.clean import assert_integrity, clean_news
 from tidewire.operators.directional import positional_combine
 from tidewire.operators.relevance import relevance_scores
 from tidewire.operators.rolling import LOOKBACK_DAYS, THRESHOLD, rolling_dedup
@@ -12,7 +12,7 @@ from tidewire.operators.sampling import stratified_sample
 from tidewire.operators.score import daily_sentiment_by_article, daily_sentiment_by_date
 from tidewire.operators.trust import with_trust
 from tidewire.operators.vectors import tfidf_vectors
-from tidewire.session import materialize
+from tidewire.session import stored
 
 
 def processed_news(
@@ -20,15 +20,18 @@ def processed_news(
     vectors: DataFrame | None = None,
     threshold: float = THRESHOLD,
     lookback: int = LOOKBACK_DAYS,
+    folder: str | None = None,
 ) -> DataFrame:
-    """Clean, then drop rolling near-duplicates; TF-IDF vectors unless others are given.
+    """Clean, check, then drop rolling near-duplicates; TF-IDF vectors unless others are given.
 
-    Both stages are read several times by what follows, so each is stored once.
+    Both stages are read several times by what follows, so each is stored once, as Parquet by
+    ticker: in ``folder`` (as ``cleaned`` and ``processed``, which must be new), or beside the checkpoints.
     """
-    cleaned = materialize(clean_news(raw))
+    places = [f"{folder.rstrip('/')}/{name}" if folder else None for name in ("cleaned", "processed")]
+    cleaned = assert_integrity(stored(clean_news(raw), places[0], ["ticker"]))
     if vectors is None:
         vectors = tfidf_vectors(cleaned)
-    return materialize(rolling_dedup(cleaned, vectors, threshold, lookback))
+    return stored(rolling_dedup(cleaned, vectors, threshold, lookback), places[1], ["ticker"])
 
 
 def labelling_sample(processed: DataFrame, n_total: int | dict[str, int] = 1000, seed: int = 42):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -54,6 +56,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, path: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` written once as Parquet and read back, from ``path`` or a new folder beside the checkpoints.
+
+    Readers of a few columns read only these, and the lineage is cut as by a checkpoint.
+    """
+    spark = df.sparkSession
+    path = path or f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a materialized table that has fewer partitions than the cluster has cores.
 
