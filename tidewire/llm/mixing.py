@@ -19,6 +19,7 @@ from tidewire.llm.common import materialize, read, unique_name
 SEED = 17
 BUDGET = 1.25          # tokens wanted, as a multiple of the tokens there are
 LEAST, MOST = 1, 2     # passes over the texts of a leaf
+ORDER_BITS = 60
 SLICES = 4_096         # parts of a leaf's seeded order that are summed before rows are looked at
 BROADCAST_LEAVES = 100_000
 
@@ -111,8 +112,9 @@ def leaf_budgets(
 
 
 def _order(epoch: Column, row: Column, seed: int) -> Column:
-    """The place of a row in the order of an epoch, from 0 to 2**63 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, row), 1)
+    """The place of a row in the order of an epoch: a number of ``ORDER_BITS`` bits."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed).cast("string"), epoch.cast("string"), row))
+    return F.conv(F.left(digest, F.lit(ORDER_BITS // 4)), 16, 10).cast("long")
 
 
 def _plan(rows: DataFrame, budgets: DataFrame, levels: list[str], seed: int, slices: int) -> DataFrame:
@@ -125,7 +127,7 @@ def _plan(rows: DataFrame, budgets: DataFrame, levels: list[str], seed: int, sli
     plan = materialize(plan.select(*levels, "full", "rest"))
     placed = join_leaves(rows, plan, levels)
     placed = placed.withColumn("h", _order(F.col("full"), F.col("row"), seed))
-    placed = placed.withColumn("slice", F.shiftright("h", 63 - bits).cast("int"))
+    placed = placed.withColumn("slice", F.shiftright("h", ORDER_BITS - bits).cast("int"))
     sums = placed.groupBy(*levels, "slice", "rest").agg(F.sum("n").alias("n"))
     before = Window.partitionBy(*levels).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -136,7 +138,7 @@ def _plan(rows: DataFrame, budgets: DataFrame, levels: list[str], seed: int, sli
     taken = at_edge.withColumn("sum", F.sum("n").over(upto)).groupBy(*levels, "slice").agg(
         F.max(F.when(F.col("sum") <= F.col("left"), F.col("h"))).alias("cut")
     )
-    start = F.shiftleft(F.col("slice").cast("long"), 63 - bits) - 1
+    start = F.shiftleft(F.col("slice").cast("long"), ORDER_BITS - bits) - 1
     cuts = taken.select(*levels, F.coalesce("cut", start).alias("cut"))
     return plan.drop("rest").join(cuts, levels, "left").withColumn("cut", F.coalesce("cut", F.lit(-1)))
 
@@ -168,7 +170,7 @@ def mix(
     row, cut, full = (unique_name(docs, n) for n in ("_row", "_cut", "_full"))
     filled = {names[0]: domain_of(F.col("source"))}
     filled |= {n: F.coalesce(F.col(c).cast("string"), F.lit("(none)")) for n, c in zip(names[1:], LEVELS[1:], strict=True)}
-    own = F.xxhash64(F.col(key), F.col(text))
+    own = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))))
     rows = docs.withColumns(filled).select(
         *[F.col(n).alias(level) for n, level in zip(names, LEVELS, strict=True)],
         token_count(F.col(text)).alias("n"), own.alias("row"),

@@ -7,6 +7,7 @@ from tidewire.llm.embedding_dedup import op9_embedding_dedup
 from tidewire.llm.html_tree import op4_page_text
 from tidewire.llm.langid import op3_language
 from tidewire.llm.mixing import op6_mixing
+from tidewire.llm.oracle import ORACLE
 from tidewire.llm.pii import op1_personal_data
 from tidewire.llm.secrets import op5_secrets
 from tidewire.llm.sharding import op7_sharding
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_toxicity_trees": op10_toxicity,
 }
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
