@@ -19,6 +19,7 @@ from tidewire.operators import (
 )
 from tidewire.plans import flows
 from tidewire.schemas import RULES
+from tidewire.session import spread
 
 SAMPLE_ROWS = 120
 ROLLING_COSINE = 0.20
@@ -94,7 +95,8 @@ def news(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as articles, some with what the rules of relevance and comparison look for."""
     headline = F.substring_index("text", "\n", 1)
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 90).cast("int"))
-    plain = table(spark, sf, "documents").select(
+    # a table of one row group is one task; its texts are dealt to all cores
+    plain = spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("lang").alias("ticker"),
         F.col("doc_id").alias("ord"),
         day.alias("date"),

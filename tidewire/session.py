@@ -69,7 +69,7 @@ def stored(df: DataFrame, path: str | None = None, partition_by: list[str] | Non
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a materialized table that has fewer partitions than the cluster has cores.
+    """Repartition a stored table that has fewer partitions than the cluster has cores.
 
     A large table has more already and is left as it is, so this costs no large shuffle.
     """
