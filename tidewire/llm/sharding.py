@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import unique_name
+from tidewire.llm.common import read, unique_name
 
 # Fixed values of the published generator: a 64-bit linear congruential step, of which the
 # high 31 bits are used.
@@ -124,8 +124,6 @@ def shard_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
-    from tidewire.llm.common import read
-
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     placed = shard_documents(docs).drop("text")
     names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]

@@ -16,7 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize
+from tidewire.llm.common import materialize, spans_text
 
 DOUBLINGS = 30            # as many as a text with 2 ** 31 matches needs
 BEFORE, AFTER = 24, 12    # code points kept around a match
@@ -73,8 +73,6 @@ def as_spans(kind: str, matches: Column) -> Column:
 
 def digest(spans: Column) -> Column:
     """Lower-case SHA-256 of the spans as text."""
-    from tidewire.llm.common import spans_text
-
     return F.sha2(spans_text(spans), 256)
 
 
@@ -105,7 +103,7 @@ def _branch(lines: list[str], features: Column) -> Column:
     return F.when(F.get(features, F.lit(int(feature))) <= float(bound), low).otherwise(high)
 
 
-def fit_selector(rows: DataFrame, features: int, certainty: float) -> Callable[[Column], Column]:
+def fit_selector(rows: DataFrame, certainty: float) -> Callable[[Column], Column]:
     """A test of feature arrays: is the calibrated chance of label 1 at least ``certainty``?
 
     ``rows`` has (label int, features, part 0 to 9) and is bounded. Trees are boosted on parts 0 to
