@@ -23,6 +23,7 @@ FOLDS, HELD_OUT = 4, 2
 FIT_ROWS = 24_000        # labelled rows that the lexicon, the trees and the curve are fitted on
 LEXICON = 4_000          # terms kept
 PREFIXES = (4, 5, 6)
+TEXTS_AT_ONCE = 64       # texts whose terms are counted together before they leave a task
 NEAR = 3                 # words on either side that count as near the second person
 THRESHOLD = 0.3
 
@@ -56,7 +57,7 @@ def _terms(word: str) -> list[str]:
 class _Reader:
     """Features of texts under a lexicon; remembers the words it has met, up to a bound."""
 
-    REMEMBER = 500_000
+    REMEMBER = 100_000
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.known = lexicon, {}
@@ -118,14 +119,15 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            toxic, clean = Counter(), Counter()
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                words = {_word(c)[0] for c in set((text or "").split())}
-                (toxic if label else clean).update({t for w in words if len(w) > 2 for t in _terms(w)})
-            # a term that no toxic text of the table has is of no use: only those of toxic texts count
-            yield pd.DataFrame(
-                [(t, toxic[t], clean[t]) for t in toxic.keys() | clean.keys()], columns=["term", "ones", "zeros"]
-            )
+            for at in range(0, len(batch), TEXTS_AT_ONCE):    # bounds the words in memory
+                toxic, clean = Counter(), Counter()
+                part = batch.iloc[at : at + TEXTS_AT_ONCE]
+                for text, label in zip(part["text"], part["label"], strict=True):
+                    words = {_word(c)[0] for c in set((text or "").split())}
+                    (toxic if label else clean).update({t for w in words if len(w) > 2 for t in _terms(w)})
+                yield pd.DataFrame(
+                    [(t, toxic[t], clean[t]) for t in toxic.keys() | clean.keys()], columns=["term", "ones", "zeros"]
+                )
 
     counted = rows.select("text", "label").mapInPandas(count, "term string, ones long, zeros long")
     counted = counted.groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
