@@ -36,6 +36,17 @@ def test_links_equal_brute_force(spark, monkeypatch, reach):
     check(embedding_duplicates(vectors, reach=reach).collect(), rows)
 
 
+def test_a_few_strong_directions_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr("tidewire.llm.embedding_dedup.PER_CELL", 40)
+    rng = np.random.default_rng(5)
+    spectrum = 1 / np.arange(1, 65)
+    rows = rng.normal(size=(1200, 64)) * spectrum
+    rows[600:] = rows[:600] + 0.45 * rng.normal(size=(600, 64)) * spectrum
+    rows = rows.astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(rows)], SCHEMA)
+    check(embedding_duplicates(vectors).collect(), rows)
+
+
 def test_blocks_give_the_same_counts(spark):
     rows = table(2)
     vectors = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(rows)], SCHEMA)

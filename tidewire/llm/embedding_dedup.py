@@ -1,11 +1,11 @@
 """Near-duplicate vectors: spherical k-means cells, and blocked cosine products inside a cell.
 
 A vector lives in the cell of its nearest centre and visits every other cell whose boundary it is
-close to: a pair with cosine c lies 2 - 2c apart (squared), so along the normal of a boundary the
-two differ by the root of (2 - 2c) / d in a typical direction. ``reach`` of these are searched on
-either side, so a pair is missed only where it differs by twice that; ``reach=None`` takes the
-full distance, which can miss no pair at all. A pair that meets in both home cells is counted in
-the lower one only.
+close to: a pair with cosine c lies 2 - 2c apart (squared), so no boundary between the two is further
+from either than the root of that. This full distance is searched, and no pair can be missed. A
+number for ``reach`` searches only so many times the root of (2 - 2c) / d, by which the two differ in
+a direction if they differ equally in all d; vectors with a few strong directions lose links by it.
+A pair that meets in both home cells is counted in the lower one only.
 
 Equal vectors are one node with a weight. A cell of many vectors is cut into blocks, and a block of
 those at home is compared with a block of residents in one task, so no task holds a whole cell. A
@@ -31,7 +31,6 @@ MAX_CELLS = 2_048
 ROUNDS = 8
 LEFT_ROWS, RIGHT_ROWS = 1_024, 4_096    # vectors of one task: at home in a cell, and residents
 ODD_CELLS = 64           # cells of the vectors that are of another length than most
-REACH = 1.5
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -172,7 +171,7 @@ def embedding_duplicates(
     key: str = "vec_id",
     vector: str = "embedding",
     threshold: float = 0.9,
-    reach: float | None = REACH,
+    reach: float | None = None,
     sample: int = SAMPLE,
 ) -> DataFrame:
     """(key, n_links, component_id, kept) for every row of ``vectors``.
