@@ -2,7 +2,7 @@ import random
 
 from brute import overlap, words
 
-from tidewire.llm.decontaminate import decontaminate, find_contaminated
+from tidewire.llm.decontaminate import MASKS, decontaminate, find_contaminated
 
 DOCS, ITEMS = "doc_id long, text string, item string, _k1 int", "item_id long, text string, place int"
 
@@ -70,3 +70,46 @@ def test_empty_tables(spark):
     assert find_contaminated(d.limit(0), i).count() == 0
     assert find_contaminated(d, i.limit(0)).count() == 0
     assert decontaminate(d, i.limit(0)).count() == len(docs)
+
+
+def promised(text, item):
+    """Whether the stretches with at least 80 % equal words hold 80 % of the item or 20 words, over all pairs of ends."""
+    a, b = words(text), words(item)
+    enough, covered = min(-(-len(b) * 4 // 5), 20), set()
+    for diagonal in range(-len(b), len(a) + 1):
+        flags = [0 <= i + diagonal < len(a) and a[i + diagonal] == b[i] for i in range(len(b))]
+        equal = [i for i, f in enumerate(flags) if f]
+        for first in equal:
+            for last in equal:
+                n, same = last - first + 1, sum(flags[first : last + 1])
+                if n > 0 and 5 * same >= 4 * n and (n >= enough or 5 * same - 4 * n >= 6):
+                    covered.update(range(first, last + 1))
+    return len(covered) if len(covered) >= enough else 0
+
+
+def test_overlaps_before_and_after_changed_words_count(spark):
+    rng = random.Random(8)
+    plain = lambda n: [f"w{x}" for x in rng.sample(range(5000), n)]
+    changes = [(16, [3]), (20, [3, 7]), (38, [17, 18, 19, 20, 21]), (5, []), (24, [2, 9, 16]), (60, list(range(10, 60)))]
+    changes += [(n, rng.sample(range(n), n // 10)) for n in (16, 20, 24, 38) for _ in range(5)]
+    docs, items = [], []
+    for number, (n, changed) in enumerate(changes):
+        own = plain(n)
+        part = [f"x{i}" if i in changed else w for i, w in enumerate(own)]
+        items.append((number, " ".join(own), 0))
+        docs.append((number, " ".join(plain(30) + part + plain(30)), "x", 1))
+    found = {(r["doc_id"], r["item_id"]): r["overlap"] for r in find_contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    want = {(d[0], i[0]): n for d in docs for i in items if (n := promised(d[1], i[1]))}
+    assert {(i, i) for i in range(5)} <= set(want) and (5, 5) not in want
+    seeded = {k for k in want if k in found or _has_seed(docs[k[0]][1], items[k[1]][1])}
+    assert found == {k: want[k] for k in seeded} and {(i, i) for i in range(5)} <= set(found)
+
+
+def _has_seed(text, item):
+    a, b = words(text), words(item)
+    for mask in MASKS:
+        ones = [k for k, c in enumerate(mask) if c == "1"]
+        laid = [{tuple(w[i + k] for k in ones) for i in range(len(w) - len(mask) + 1)} for w in (a, b)]
+        if laid[0] & laid[1]:
+            return True
+    return False

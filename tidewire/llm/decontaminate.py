@@ -3,9 +3,10 @@
 A mask of ones and gaps is laid on every run of words; the words under its ones give one hash, so
 words under its gaps may differ. Documents and benchmark items meet where a hash of the same mask is
 equal. Each meeting gives a diagonal (place in the document minus place in the item). Along it, the
-item is compared word by word: the stretch with the largest sum, one for each equal word and minus
-four for each other, is an overlap of at least 80 % equal words. Overlaps of an item on several
-diagonals (words put in or left out) are united. All of it runs in DataFrame functions.
+item is compared word by word: every stretch of at least 80 % equal words is an overlap if it is long
+enough by itself, or if its sum, one for each equal word and minus four for each other, is not that of
+chance. Overlaps of an item, on one diagonal or several (words put in or left out), are united. All
+of it runs in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tidewire.llm.common import materialize, read, unique_name
 MASKS = ("11111", "1101011", "11001101")
 SIMILARITY = 0.8
 LEAST_WORDS = 20          # an overlap of so many words counts, however long the item
-LEAST_SUM = 6             # of a stretch that counts at all
+LEAST_SUM = 6             # of a stretch that counts though it isn't enough by itself
 BROADCAST_SEEDS = 2_000_000   # seeds that are broadcast (under 64 MB); more are joined by shuffle
 BROADCAST_PLACES = 200_000    # likewise for the places to compare
 
@@ -52,27 +53,35 @@ def with_seeds(df: DataFrame, words: str, place: str = "place", seed: str = "see
     return laid.select(*rest, (F.col("_at") - start).alias(place), seed)
 
 
-def _best_stretch(flags: Column) -> Column:
-    """(sum, first, last) of the stretch of 1 / 0 flags with the largest sum of +1 and -4."""
-    start = F.struct(
-        F.lit(0).alias("now"), F.lit(0).alias("begin"), F.lit(0).alias("at"),
-        F.lit(0).alias("sum"), F.lit(0).alias("first"), F.lit(-1).alias("last"),
+def _runs(flags: Column) -> Column:
+    """(first, last, upto) of each run of true flags; ``upto`` counts the true ones to its end."""
+    at = lambda i: F.coalesce(F.get(flags, i), F.lit(False))
+    places = F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+    firsts, lasts = F.filter(places, lambda i: ~at(i - 1)), F.filter(places, lambda i: ~at(i + 1))
+    ends = lambda one, two: F.struct(
+        one.alias("first"), two.alias("last"), F.array_position(places, two).cast("int").alias("upto")
     )
+    return F.zip_with(firsts, lasts, ends)
 
-    def step(s: Column, equal: Column) -> Column:
-        gain = F.when(equal, 1).otherwise(-4)
-        fresh = s["now"] <= 0
-        now = F.when(fresh, gain).otherwise(s["now"] + gain)
-        begin = F.when(fresh, s["at"]).otherwise(s["begin"])
-        better = now > s["sum"]
-        return F.struct(
-            now.alias("now"), begin.alias("begin"), (s["at"] + 1).alias("at"),
-            F.when(better, now).otherwise(s["sum"]).alias("sum"),
-            F.when(better, begin).otherwise(s["first"]).alias("first"),
-            F.when(better, s["at"]).otherwise(s["last"]).alias("last"),
-        )
 
-    return F.aggregate(flags, start, step)
+def _stretches(runs: Column, enough: Column) -> Column:
+    """(first, last) of the longest stretch from each run on: at least 80 % of its words are equal.
+
+    It has ``enough`` words, or a sum of LEAST_SUM (one for each equal word and minus four for each
+    other). Any other stretch lies in one of these.
+    """
+
+    def counts(one: Column, two: Column) -> Column:
+        equal = two["upto"] - one["upto"] + one["last"] - one["first"] + 1
+        length = two["last"] - one["first"] + 1
+        total = 5 * equal - 4 * length
+        return (length > 0) & ((total >= LEAST_SUM) | ((total >= 0) & (length >= enough)))
+
+    def longest(one: Column) -> Column:
+        ends = F.transform(F.filter(runs, lambda two: counts(one, two)), lambda two: two["last"])
+        return F.struct(one["first"].alias("first"), F.array_max(ends).alias("last"))
+
+    return F.filter(F.transform(runs, longest), lambda s: s["last"].isNotNull())
 
 
 def _text_key(text: Column) -> list[Column]:
@@ -109,13 +118,13 @@ def benchmark_overlaps(docs: DataFrame, items: DataFrame, text: str = "text", it
         "item_words",
         lambda w, i: F.coalesce(F.get(F.col("_words"), i + F.col("diagonal")) == w, F.lit(False)),
     )
-    stretch = aligned.select(
-        "_k1", "_k2", "item", F.size("item_words").alias("words"), _best_stretch(flags).alias("s")
-    ).filter(F.col("s.sum") >= LEAST_SUM)
+    enough = F.least(F.ceil(F.col("words") * SIMILARITY), F.lit(LEAST_WORDS))
+    compared = aligned.select("_k1", "_k2", "item", F.size("item_words").alias("words"), flags.alias("flags"))
+    runs = compared.select("_k1", "_k2", "item", "words", _runs(F.col("flags")).alias("runs"))
+    stretch = runs.select("_k1", "_k2", "item", "words", F.explode(_stretches(F.col("runs"), enough)).alias("s"))
     covered = stretch.groupBy("_k1", "_k2", "item", "words").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("s.first", "s.last"))))).alias("overlap")
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("s.first", "s.last"))))).alias("overlap")
     )
-    enough = F.least(F.ceil(F.col("words") * SIMILARITY), F.lit(LEAST_WORDS))
     short = F.col("words") * SIMILARITY <= F.col("overlap")
     return covered.filter((F.col("overlap") >= enough) | short)
 
