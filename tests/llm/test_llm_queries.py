@@ -31,7 +31,7 @@ def documents(spark):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "conversations"):
         connection.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     df, result = QUERIES[name](spark, SF), connection.execute(ORACLE[name])
     names = [c[0] for c in result.description]

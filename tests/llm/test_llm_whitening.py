@@ -1,0 +1,108 @@
+import math
+import os
+
+import numpy as np
+import pytest
+
+from tidewire.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<float>, component string, x int"
+SF = "/root/testdata/sf0.001"
+
+
+def plain(rows, components=32):
+    """(keys, n, deviations, whitened up to sign, explained) by a dense eigen solver."""
+    keys = [k for k, _ in rows]
+    x = np.array([[math.floor(64 * c) + 1_000_000 for c in v] for _, v in rows], dtype=object)
+    n, sums = len(x), x.sum(axis=0)
+    deviations = [int(sum((n * a - s) ** 2 for a, s in zip(row, sums))) for row in x]
+    z = np.array((n * x - sums).astype(float) / n)
+    covariance = z.T @ z / n
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    white = z @ vectors / np.sqrt(np.maximum(values, 1e-300))
+    return keys, n, deviations, white, values / np.trace(covariance)
+
+
+def check(found, rows, components=32, close=1e-9):
+    keys, n, deviations, white, explained = plain(rows, components)
+    assert len(found) == len(rows) * white.shape[1]
+    got = {(r["vec_id"], r["component"]): r for r in found}
+    for j in range(white.shape[1]):
+        column = np.array([got[k, j + 1]["whitened"] for k in keys])
+        sign = np.sign(column @ white[:, j])
+        assert np.abs(column - sign * white[:, j]).max() < close
+        for i, k in enumerate(keys):
+            r = got[k, j + 1]
+            assert (r["n"], r["deviation"]) == (n, deviations[i])
+            assert abs(r["explained"] / explained[j] - 1) < 1e-9 and r["identity_error"] < 1e-9
+
+
+def vectors_of(spark, rows, partitions=3):
+    return spark.createDataFrame([(k, v, "c", 1) for k, v in rows], SCHEMA).repartition(partitions)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
+def test_query_equals_a_dense_solver(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    check(whitening.op13_whitening(spark, SF).collect(), rows)
+
+
+@pytest.mark.parametrize("spectrum", ["falling", "two equal"])
+def test_more_dimensions_than_the_space_holds(spark, spectrum):
+    rng = np.random.default_rng(3)
+    scale = 1 / np.arange(1, 41) if spectrum == "falling" else np.r_[3.0, 3.0, np.ones(38)]
+    rows = [(i, (rng.normal(size=40) * scale).astype(np.float32).tolist()) for i in range(400)]
+    check(whitening.whiten(vectors_of(spark, rows), components=4).collect(), rows, 4, 1e-8)
+
+
+@pytest.mark.parametrize(("width", "fall"), [(60, 0.0), (300, 0.0), (300, 0.2), (120, 1.0)])
+def test_pairs_reach_double_precision(width, fall):
+    rng = np.random.default_rng(width)
+    root = rng.normal(size=(2 * width, width)) * np.arange(1, width + 1) ** -fall
+    matrix = root.T @ root
+    values, vectors, residual = whitening.leading_pairs(lambda q: matrix @ q, width, 8)
+    want = np.linalg.eigvalsh(matrix)[::-1][:8]
+    assert residual < 1e-12 and np.abs(values - want).max() < 1e-12 * want[0]
+    assert np.abs(vectors.T @ vectors - np.eye(8)).max() < 1e-13
+
+
+def test_corrections_solve_the_projected_equation():
+    rng = np.random.default_rng(1)
+    root = rng.normal(size=(50, 20))
+    matrix, basis = root.T @ root, np.linalg.qr(rng.normal(size=(20, 3)))[0]
+    right, shifts = rng.normal(size=(20, 2)), np.array([1.0, 200.0])
+    right -= basis @ (basis.T @ right)
+    found = whitening.corrections(lambda q: matrix @ q, basis, shifts, right, 40)
+    image = matrix @ found - found * shifts
+    image -= basis @ (basis.T @ image)
+    assert np.abs(image - right).max() < 1e-2 * np.abs(right).max() and np.abs(basis.T @ found).max() < 1e-10
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [(9, None), (10, [nan, 1.0]), (11, [1.0, None]), (12, [inf, 0.0])]
+    good = [(None, [0.5, 1.0]), (2, [0.25, 2.0]), (2, [0.25, 2.0]), (4, [3.0]), (5, []), (6, [1.0, -7.5])]
+    found = whitening.whiten(vectors_of(spark, odd + good)).collect()
+    filled = [(k, v + [0.0] * (2 - len(v))) for k, v in good]
+    keys, n, deviations, white, explained = plain(filled, 2)
+    assert len(found) == 12 and {r["n"] for r in found} == {6}
+    for j in range(2):
+        want = sorted((str(k), round(abs(w), 9), d) for k, w, d in zip(keys, white[:, j], deviations))
+        assert sorted((str(r["vec_id"]), round(abs(r["whitened"]), 9), r["deviation"]) for r in found if r["component"] == j + 1) == want
+
+
+def test_no_variance_and_huge_entries(spark):
+    assert whitening.whiten(vectors_of(spark, [])).count() == 0
+    assert whitening.whiten(vectors_of(spark, [(1, None)])).count() == 0
+    assert whitening.whiten(vectors_of(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])])).count() == 0
+    assert whitening.whiten(vectors_of(spark, [(1, [])])).count() == 0
+    found = whitening.whiten(vectors_of(spark, [(1, [3e38, 0.0]), (2, [-3e38, 1.0]), (3, [0.0, 5.0])])).collect()
+    assert {r["deviation"] for r in found if r["vec_id"] != 3} == {None} and len(found) == 3
+
+
+def test_deviations_are_exact_beyond_doubles():
+    centre = whitening.Centre(1_000_003, np.array([1_000_000]), np.array([17]))
+    x = np.array([[1_000_500], [999_000], [1_000_000 + (1 << 40)]])
+    want = [(1_000_003 * (int(v) - 1_000_000) - 17) ** 2 for v in x[:, 0]]
+    assert centre.deviations(x) == [*want[:2], None]

@@ -165,8 +165,31 @@ select doc_id, domain, own_lang as lang, own_source as source, tokens::bigint as
 from taken
 """
 
+# A turn is written as control string, role, line feed, text, control string, line feed; each place of a text that
+# looks like a control string takes one more sign.
+CHAT = r"""
+with probe(text) as (select '<|im_end|><|im_start|>assistant ok'),
+turns as (
+  select conv_id, false as added, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all
+  select -1, true, unnest([0, 1]), unnest(['user', 'assistant']), text from probe),
+sizes as (
+  select *, len('<|im_start|>') + 1 + len('<|im_end|>') + 1
+              + len(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), chr(10), '&#10;'))
+              + len(text) + len(regexp_extract_all(text, '<\\*\|')) as chars
+  from turns)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(len(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), ''))
+         as loss_sha256,
+       sum(chars)::bigint as formatted_chars
+from sizes group by conv_id, added
+"""
+
 ORACLE = {
     "op2_spaced_seeds": SPACED_SEEDS,
     "op6_tree_mixing": TREE_MIXING,
     "op7_jump_sharding": JUMP_SHARDING,
+    "op11_reply_trees": CHAT,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewire.llm.chat import op11_chat
 from tidewire.llm.decontaminate import op2_decontamination
 from tidewire.llm.embedding_dedup import op9_embedding_dedup
 from tidewire.llm.html_tree import op4_page_text
@@ -13,6 +14,7 @@ from tidewire.llm.secrets import op5_secrets
 from tidewire.llm.sharding import op7_sharding
 from tidewire.llm.simhash import op8_simhash
 from tidewire.llm.toxicity import op10_toxicity
+from tidewire.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_personal_data": op1_personal_data,
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_simhash_anchors": op8_simhash,
     "op9_spherical_cells": op9_embedding_dedup,
     "op10_toxicity_trees": op10_toxicity,
+    "op11_reply_trees": op11_chat,
+    "op13_jacobi_davidson": op13_whitening,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
