@@ -10,6 +10,7 @@ from tidewire.llm.langid import op3_language
 from tidewire.llm.mixing import op6_mixing
 from tidewire.llm.oracle import ORACLE
 from tidewire.llm.pii import op1_personal_data
+from tidewire.llm.runs import op12_runs
 from tidewire.llm.secrets import op5_secrets
 from tidewire.llm.sharding import op7_sharding
 from tidewire.llm.simhash import op8_simhash
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_spherical_cells": op9_embedding_dedup,
     "op10_toxicity_trees": op10_toxicity,
     "op11_reply_trees": op11_chat,
+    "op12_difference_cover": op12_runs,
     "op13_jacobi_davidson": op13_whitening,
 }
 
