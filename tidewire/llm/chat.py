@@ -14,6 +14,8 @@ mask lists the places of the assistants' texts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,9 +79,9 @@ def reply_links(nodes: DataFrame) -> DataFrame:
     return materialize(linked.select("n", F.when(F.col("up") != F.col("n"), F.col("up")).alias("up")))
 
 
-def _looked_up(state: DataFrame, columns: list[str]) -> DataFrame:
-    """``state`` with the columns of the message at ``up``, called further_*; a popular message is salted."""
-    above = state.select(F.col("n").alias("up"), *[F.col(c).alias(f"further_{c}") for c in ("up", *columns)])
+def _looked_up(state: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """``state`` with what ``known`` says of the message at ``up``, called further_*; a popular message is salted."""
+    above = known.select(F.col("n").alias("up"), *[F.col(c).alias(f"further_{c}") for c in ("up", *columns)])
     return lookup_join(state, above, ["up"], salt_by=["n"])
 
 
@@ -88,7 +90,8 @@ def without_cycles(links: DataFrame, unresolved: int) -> DataFrame:
     state = links.filter("up is not null").withColumn("low", F.col("n"))
     reach = 1
     while True:
-        seen = _looked_up(materialize(state), ["low"]).filter("further_up is not null")
+        state = materialize(state)
+        seen = _looked_up(state, state, ["low"]).filter("further_up is not null")
         state = materialize(seen.select("n", F.col("further_up").alias("up"), F.least("low", "further_low").alias("low")))
         reach *= 2
         # Messages under a root leave the state one by one; what stays reaches into a cycle at last.
@@ -107,19 +110,20 @@ def walked_up(links: DataFrame, scores: DataFrame) -> tuple[DataFrame, list[Data
     the links after cycles are cut.
     """
     state = links.join(scores, "n").select("n", "up", F.lit(1).alias("depth"), F.col("score").alias("total"))
-    state, jumps, before = materialize(state), [], None
+    state, done, jumps, before = materialize(state), [], [], None
     while True:
-        left = state.filter("up is not null").select("n", "up")
-        unresolved = left.count()
+        # Messages whose path is known leave the rounds; the others look them up.
+        done.append(state.filter("up is null"))
+        known, open_ = reduce(DataFrame.unionByName, done), state.filter("up is not null")
+        unresolved = open_.count()
         if not unresolved:
-            return state.select("n", "depth", "total"), jumps
+            return known.select("n", "depth", "total"), jumps
         if unresolved == before:    # a round without progress: only cycles are left
             return walked_up(without_cycles(links, unresolved), scores)
         before = unresolved
-        jumps.append(left)
-        depth = F.col("depth") + F.coalesce("further_depth", F.lit(0))
-        total = F.col("total") + F.coalesce("further_total", F.lit(0.0))
-        seen = _looked_up(state, ["depth", "total"])
+        jumps.append(open_.select("n", "up"))
+        seen = _looked_up(open_, known.unionByName(open_), ["depth", "total"])
+        depth, total = F.col("depth") + F.col("further_depth"), F.col("total") + F.col("further_total")
         state = materialize(seen.select("n", F.col("further_up").alias("up"), depth.alias("depth"), total.alias("total")))
 
 
@@ -141,11 +145,11 @@ def best_branches(nodes: DataFrame, jumps: list[DataFrame], paths: DataFrame, to
 
 def members(branches: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """(leaf, n) of all messages on the branches: each distance upwards is one sum of jumps."""
-    found = branches.select("leaf", F.col("leaf").alias("n"))
+    parts = [branches.select("leaf", F.col("leaf").alias("n"))]
     for jump in reversed(jumps):
-        further = found.join(jump, "n").select("leaf", F.col("up").alias("n"))
-        found = materialize(found.unionByName(further))
-    return found
+        found = reduce(DataFrame.unionByName, parts)
+        parts.append(materialize(found.join(jump, "n").select("leaf", F.col("up").alias("n"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def format_trees(
