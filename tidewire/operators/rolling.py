@@ -10,6 +10,9 @@ for all tickers. It compares articles of neighbouring day buckets in bounded til
 only a few flags per article, never the pairs, so a crowd of near copies costs no more output than
 its own size. Only articles with an open pair take part in the next round.
 
+The tiles with their vectors are written once, bucketed by tile. Rounds read them where they lie and
+bring keys and states to them; no vector is shuffled or stored again.
+
 Same-day copies with the same vector are settled first, without comparing them: only one that is
 longer than all the earlier ones can survive.
 """
@@ -21,8 +24,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.operators.tiles import TILE, TOLERANCE, assign_tiles, per_list, vector_rows
-from tidewire.session import materialize
+from tidewire.operators.lookup import BROADCAST_BYTES, measured_bytes
+from tidewire.operators.tiles import TILE, TOLERANCE, DenseRows, SparseRows, assign_tiles, tile_terms
+from tidewire.session import bucketed, materialize
 
 KEY = ["ticker", "ord"]
 THRESHOLD = 0.70
@@ -85,45 +89,82 @@ class _Flags:
         self.frame = frame
         self.waits, self.dropped, self.drops = (np.zeros(len(frame), dtype=bool) for _ in range(3))
 
+    def mark(self, early, late, may: np.ndarray) -> None:
+        """``may``: early x late rows of which the early one may drop the late one."""
+        if may.any():
+            kept = (self.frame["status"].to_numpy()[early] == KEPT)[:, None]
+            self.dropped[late] |= (may & kept).any(axis=0)
+            self.waits[late] |= (may & ~kept).any(axis=0)
+            self.drops[early] |= may.any(axis=1)
+
     def found(self) -> pd.DataFrame:
         out = self.frame[KEY].assign(waits=self.waits, dropped=self.dropped, drops=self.drops)
         return out[self.waits | self.dropped | self.drops]
 
 
-def compare_tile(threshold: float, lookback: int, columns: list[str]):
-    """Function of one tile: flags of the rows that have a pair in it."""
+def _dense_pairs(flags: _Flags, one: np.ndarray, two: np.ndarray, threshold: float, lookback: int) -> None:
+    """Compare the rows ``one`` of a tile with the rows ``two``, in blocks."""
+    frame = flags.frame
+    if not len(one) or not len(two):
+        return
+    one_rows, two_rows = (DenseRows(frame["embedding"].iloc[at]) for at in (one, two))
+    for start, similar in one_rows.row_blocks(two_rows):
+        block = one[start:start + len(similar)]
+        near = similar + TOLERANCE >= threshold
+        flags.mark(block, two, near & _covers(frame.iloc[block], frame.iloc[two], lookback))
+        flags.mark(two, block, near.T & _covers(frame.iloc[two], frame.iloc[block], lookback))
+
+
+def _sparse_pairs(flags: _Flags, meets: np.ndarray, threshold: float, lookback: int) -> None:
+    """Compare the pairs the index of a tile proposes. Rows of equal ``meets`` above 0 don't meet."""
+    frame = flags.frame
+    rows = SparseRows(frame["ids"], frame["ws"], threshold)
+    terms = tile_terms(frame, rows)
+    day, ord_, size, status = (frame[c].to_numpy() for c in ("day", "ord", "size", "status"))
+    for i in range(len(rows)):
+        others = rows.candidates(i, terms)
+        others = others[(meets[others] != meets[i]) | (meets[others] == 0)]
+        first = (day[others] < day[i]) | ((day[others] == day[i]) & (ord_[others] < ord_[i]))
+        late_size, early_size = np.where(first, size[i], size[others]), np.where(first, size[others], size[i])
+        late_open = np.where(first, status[i], status[others]) == OPEN
+        may = late_open & (late_size <= early_size) & (np.abs(day[others] - day[i]) <= lookback)
+        others, first = others[may], first[may]
+        if not len(others):
+            continue
+        near = rows.similar(i, others) + TOLERANCE >= threshold
+        others, first = others[near], first[near]
+        earlier, later = others[first], others[~first]
+        kept = status[earlier] == KEPT
+        flags.dropped[i] |= kept.any()
+        flags.waits[i] |= (~kept).any()
+        flags.drops[i] |= len(later) > 0
+        flags.drops[earlier] = True
+        (flags.dropped if status[i] == KEPT else flags.waits)[later] = True
 
-    def mark(early: _Flags, late: _Flags, at_early, at_late, near: np.ndarray) -> None:
-        near = near & _covers(early.frame.iloc[at_early], late.frame.iloc[at_late], lookback)
-        if near.any():
-            kept = (early.frame["status"].to_numpy()[at_early] == KEPT)[:, None]
-            late.dropped[at_late] |= (near & kept).any(axis=0)
-            late.waits[at_late] |= (near & ~kept).any(axis=0)
-            early.drops[at_early] |= near.any(axis=1)
+
+def compare_tile(threshold: float, lookback: int, columns: list[str]):
+    """Function of one tile with its states: flags of the rows that have a pair in it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        low, high = pdf["low"].iloc[0], pdf["high"].iloc[0]
-        if low == high:    # pairs within the later bucket belong to the next span
-            in_first = pdf["day"] // (lookback + 1) == pdf["span"]
-            one, two = _Flags(pdf[in_first].reset_index(drop=True)), _Flags(pdf)
+        pdf = pdf.reset_index(drop=True)
+        flags = _Flags(pdf)
+        cross = bool(pdf["low"].iloc[0] != pdf["high"].iloc[0])
+        in_second = (pdf["day"] // (lookback + 1) != pdf["span"]).to_numpy()
+        # Pairs within the later bucket belong to the next span, pairs within a slice to its own tile.
+        is_high = (pdf["slice"] == pdf["high"]).to_numpy()
+        if columns == ["ids", "ws"]:
+            meets = np.where(is_high, 1, 2) if cross else in_second.astype(int)
+            _sparse_pairs(flags, meets, threshold, lookback)
         else:
-            is_low = pdf["slice"] == low
-            one, two = (_Flags(pdf[part].reset_index(drop=True)) for part in (is_low, ~is_low))
-        if len(one.frame) and len(two.frame):
-            one_rows, two_rows = (vector_rows(f.frame, columns) for f in (one, two))
-            every = slice(0, len(two.frame))
-            for start, similar in one_rows.row_blocks(two_rows):
-                block = slice(start, start + len(similar))
-                near = similar + TOLERANCE >= threshold
-                mark(one, two, block, every, near)
-                mark(two, one, every, block, near.T)
-        return pd.concat([one.found(), two.found()])
+            one, two = (~is_high, is_high) if cross else (~in_second, np.ones(len(pdf), bool))
+            _dense_pairs(flags, np.flatnonzero(one), np.flatnonzero(two), threshold, lookback)
+        return flags.found()
 
     return run
 
 
 def _tiled(
-    active: DataFrame, columns: list[str], threshold: float, lookback: int, tile_rows: int
+    items: DataFrame, columns: list[str], threshold: float, lookback: int, tile_rows: int
 ) -> DataFrame:
     """Copies of the rows for each tile they take part in.
 
@@ -132,21 +173,38 @@ def _tiled(
     """
     bucket = F.floor(F.col("day") / (lookback + 1))
     spans = F.explode(F.array(bucket, bucket - 1)).alias("span")
-    rows = active.select(*KEY, "day", "size", "status", *columns, spans)
+    rows = items.select(*KEY, "day", "size", *columns, spans)
     return assign_tiles(rows, SPAN, threshold, tile_rows)
 
 
-def _flags(
-    active: DataFrame, columns: list[str], threshold: float, lookback: int, tile_rows: int
-) -> DataFrame:
-    tiles = _tiled(active, columns, threshold, lookback, tile_rows)
-    found = tiles.groupBy(*SPAN, *TILE).applyInPandas(
-        per_list(compare_tile(threshold, lookback, columns)),
-        "ticker string, ord long, waits boolean, dropped boolean, drops boolean",
-    )
-    return found.groupBy(*KEY).agg(
-        *[F.bool_or(c).alias(c) for c in ("waits", "dropped", "drops")]
-    )
+FLAGS = "ticker string, ord long, waits boolean, dropped boolean, drops boolean"
+
+
+def first_round(tiles: DataFrame, run) -> DataFrame:
+    """Flags while every article is open: the stored tiles are grouped as they lie."""
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        return run(pdf.assign(status=OPEN))
+
+    return tiles.groupBy(*SPAN, *TILE).applyInPandas(start, FLAGS)
+
+
+def next_round(tiles: DataFrame, states: DataFrame, run) -> DataFrame:
+    """Flags among the articles of ``states`` (ticker, ord, status).
+
+    States are sent to the tiles of their articles; of the tiles only those that get some are read on.
+    """
+    on = [*SPAN, *TILE]
+    placed = materialize(tiles.select(*on, "ord").join(states, KEY))
+    busy = placed.select(*on).distinct()
+    if measured_bytes(busy) <= BROADCAST_BYTES:
+        tiles = tiles.join(F.broadcast(busy), on, "left_semi")
+
+    def go_on(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        active = rows.merge(own[["ord", "status"]], on="ord")
+        return run(active) if len(active) else pd.DataFrame(columns=[c.split()[0] for c in FLAGS.split(", ")])
+
+    return tiles.groupBy(*on).cogroup(placed.groupBy(*on)).applyInPandas(go_on, FLAGS)
 
 
 def finish_ticker(threshold: float, lookback: int, columns: list[str]):
@@ -154,15 +212,16 @@ def finish_ticker(threshold: float, lookback: int, columns: list[str]):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "ord"], ignore_index=True)
-        rows = vector_rows(pdf, columns)
+        sparse = columns == ["ids", "ws"]
+        rows = SparseRows(pdf["ids"], pdf["ws"], threshold) if sparse else DenseRows(pdf["embedding"])
         kept = pdf["status"].to_numpy() == KEPT
-        cover = _covers(pdf, pdf, lookback)
-        dropped = np.zeros(len(pdf), dtype=bool)
+        day, size, dropped = pdf["day"].to_numpy(), pdf["size"].to_numpy(), np.zeros(len(pdf), dtype=bool)
         for i in range(len(pdf)):
             if kept[i]:
                 continue
-            by = kept & cover[:, i]
-            near = by.any() and (rows.row(i, rows)[by] + TOLERANCE >= threshold).any()
+            since = np.searchsorted(day, day[i] - lookback)
+            by = since + np.flatnonzero(kept[since:i] & (size[since:i] >= size[i]))
+            near = len(by) > 0 and (rows.similar(i, by) + TOLERANCE >= threshold).any()
             dropped[i], kept[i] = near, not near
         return pdf.loc[dropped, KEY]
 
@@ -178,12 +237,14 @@ def dropped_keys(
 ) -> tuple[DataFrame, int]:
     """(ticker, ord) of the dropped articles among ``items``, and the rounds it took."""
     columns = vector_columns(items)
-    payload = [*KEY, "day", "size", *columns]
-    active = items.select(*payload, F.lit(OPEN).alias("status"))
+    tiles = bucketed(_tiled(items, columns, threshold, lookback, tile_rows), [*SPAN, *TILE])
+    run = compare_tile(threshold, lookback, columns)
+    states = items.select(*KEY, F.lit(OPEN).alias("status"))
     parts, rounds = [], 0
     while True:
         rounds += 1
-        flags = _flags(active, columns, threshold, lookback, tile_rows)
+        found = next_round(tiles, states, run) if rounds > 1 else first_round(tiles, run)
+        flags = found.groupBy(*KEY).agg(*[F.bool_or(c).alias(c) for c in ("waits", "dropped", "drops")])
         # Rows without a flag have no open pair left: they are kept and need no further look.
         is_open = F.col("status") == OPEN
         state = (
@@ -191,20 +252,20 @@ def dropped_keys(
             .when(is_open & F.col("waits"), "open")
             .when(is_open & F.col("drops"), "kept")
         )
-        decided = materialize(active.join(flags, KEY).withColumn("state", state))
+        decided = materialize(states.join(flags, KEY).withColumn("state", state))
         parts.append(decided.filter("state = 'dropped'").select(*KEY))
-        active = decided.filter("state in ('open', 'kept')").select(
-            *payload, F.when(F.col("state") == "open", OPEN).otherwise(KEPT).alias("status")
+        states = decided.filter("state in ('open', 'kept')").select(
+            *KEY, F.when(F.col("state") == "open", OPEN).otherwise(KEPT).alias("status")
         )
-        load = active.groupBy("ticker").agg(
+        load = states.groupBy("ticker").agg(
             F.count("*").alias("n"), F.count_if(F.col("status") == OPEN).alias("open")
         )
         size = load.agg(F.max("n").alias("n"), F.sum("open").alias("open")).first()
         if not size["open"]:
             break
-        if size["n"] <= local_rows:
+        if size["n"] <= local_rows:    # a bounded rest, however long its chains are
             parts.append(
-                active.groupBy("ticker").applyInPandas(
+                items.join(states, KEY).groupBy("ticker").applyInPandas(
                     finish_ticker(threshold, lookback, columns), "ticker string, ord long"
                 )
             )

@@ -24,6 +24,7 @@ from tidewire.session import spread
 SAMPLE_ROWS = 120
 ROLLING_COSINE = 0.20
 DIGITS = 9
+SMALL_TILE = 16    # rows; groups of the smallest tables are larger
 
 # Word lists and weights for the invented prose and sources of the driver's tables.
 WORD_LISTS = {
@@ -288,6 +289,24 @@ def rolling_dedup_text(spark, sf):
     return kept.select("ticker", "ord", "date")
 
 
+def rolling_dedup_tiled(spark, sf):
+    """The same with tiles so small that groups are cut, and every round in tiles."""
+    kept = rolling.rolling_dedup(
+        news(spark, sf), article_vectors(spark, sf), ROLLING_COSINE, tile_rows=SMALL_TILE, local_rows=0
+    )
+    return kept.select("ticker", "ord", "date")
+
+
+def rolling_text_tiled(spark, sf):
+    articles = news(spark, sf)
+    kept = rolling.rolling_dedup(articles, vectors.tfidf_vectors(articles), tile_rows=SMALL_TILE, local_rows=0)
+    return kept.select("ticker", "ord", "date")
+
+
+def weekly_tiled(spark, sf):
+    return weekly.weekly_keys(news(spark, sf), tile_rows=SMALL_TILE)
+
+
 def rolling_counts(spark, sf):
     articles = news(spark, sf)
     kept = rolling.rolling_dedup(articles, article_vectors(spark, sf), ROLLING_COSINE)
@@ -405,8 +424,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "label_codes": label_codes,
     "rolling_dedup": rolling_dedup,
     "rolling_dedup_text": rolling_dedup_text,
+    "rolling_dedup_tiled": rolling_dedup_tiled,
+    "rolling_text_tiled": rolling_text_tiled,
     "rolling_counts": rolling_counts,
     "weekly_tfidf_dedup": weekly_tfidf_dedup,
+    "weekly_tiled": weekly_tiled,
     "daily_sentiment_date": daily_sentiment_date,
     "daily_sentiment_article": daily_sentiment_article,
     "daily_overall": daily_overall,

@@ -603,3 +603,8 @@ def _daily_signal() -> str:
 
 
 ORACLE["daily_signal"] = _daily_signal()
+# The same results whatever the size of the tiles.
+for _tiled, _whole in (
+    ("rolling_dedup_tiled", "rolling_dedup"), ("rolling_text_tiled", "rolling_dedup_text"), ("weekly_tiled", "weekly_tfidf_dedup"),
+):
+    ORACLE[_tiled] = ORACLE[_whole]

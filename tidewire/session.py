@@ -68,6 +68,22 @@ def stored(df: DataFrame, path: str | None = None, partition_by: list[str] | Non
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def bucketed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` written once in the shared folder, bucketed by ``keys``: grouping by them needs no shuffle later on.
+
+    Rows are dealt out in the same way first, so a task writes one file. The table's name leaves the
+    catalog at once; its files stay as long as other stored tables do.
+    """
+    spark = df.sparkSession
+    name = f"tidewire_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.bucketBy(buckets, *keys).option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition a stored table that has fewer partitions than the cluster has cores.
 
