@@ -125,17 +125,6 @@ def joined_text(*parts: Column, null_text: str = "") -> Column:
     return F.concat_ws(" ", *filled)
 
 
-def quoted_literal(word: Column) -> Column:
-    """A regex that matches exactly this text."""
-    safe = F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    return F.concat(F.lit("\\Q"), safe, F.lit("\\E"))
-
-
-def any_of(words: Column) -> Column:
-    """Alternation over a string array."""
-    return F.array_join(F.transform(words, quoted_literal), "|")
-
-
 def matches(text: Column, pattern: Column) -> Column:
     """Search with a pattern column. ``regexp_instr`` keeps the compiled pattern while it
     stays the same from row to row, which ``rlike`` does not."""

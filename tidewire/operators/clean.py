@@ -7,7 +7,7 @@ duplicate_summary.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewire.functions import text as X
@@ -66,7 +66,9 @@ def _digest(name: str) -> Column:
     return F.unhex(F.sha2(name, 256)).alias(f"_{name}")
 
 
-def verdicts(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
+def verdicts(
+    raw: DataFrame, date_formats: list[str] | None = None, integrity: ObservedIntegrity | None = None
+) -> DataFrame:
     """(ticker, ord, reject_reason) of every row, stored; the reason is null for kept rows.
 
     The row rules look at the texts once, and what is stored of them is digests. First rows are a
@@ -92,14 +94,21 @@ def verdicts(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame
         .when(F.col("_pass") == 1, "duplicate_summary")
     )
     judged = marks.select(*key, "reject_reason").join(passed, key, "left")
-    return materialize(judged.select(*key, reason.alias("reject_reason")))
+    judged = judged.select(*key, reason.alias("reject_reason"))
+    return materialize(integrity.expect(judged) if integrity else judged)
 
 
-def clean_news(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
-    """The kept rows. Only the keys of dropped rows meet the texts again, and no rule is asked twice."""
-    dropped = verdicts(raw, date_formats).filter(F.col("reject_reason").isNotNull()).select("ticker", "ord")
+def clean_news(
+    raw: DataFrame, date_formats: list[str] | None = None, integrity: ObservedIntegrity | None = None
+) -> DataFrame:
+    """The kept rows. Only the keys of dropped rows meet the texts again, and no rule is asked twice.
+
+    ``integrity`` watches the rows and is to be checked once they have been written.
+    """
+    dropped = verdicts(raw, date_formats, integrity).filter(F.col("reject_reason").isNotNull()).select("ticker", "ord")
     fields = _typed(raw, date_formats).select(*NEWS_COLUMNS)
-    return lookup_join(fields, dropped, ["ticker", "ord"], "left_anti")
+    kept = lookup_join(fields, dropped, ["ticker", "ord"], "left_anti")
+    return integrity.watch(kept) if integrity else kept
 
 
 def mark_rejects(raw: DataFrame, date_formats: list[str] | None = None) -> DataFrame:
@@ -159,6 +168,47 @@ def integrity_report(df: DataFrame) -> DataFrame:
     return simple.join(repeats, "ticker")
 
 
+class ObservedIntegrity:
+    """The integrity rules as metrics of a job that runs anyway, such as the write of the cleaned table.
+
+    ``watch`` is put around the rows that are written and ``expect`` around the verdicts they come from. Each text
+    passes the verdicts once, so there are repeats exactly if more rows come out than verdicts let pass, which
+    takes a (ticker, ord) that isn't unique.
+    """
+
+    def __init__(self) -> None:
+        self.written, self.passed = Observation(), Observation()
+
+    def expect(self, judged: DataFrame) -> DataFrame:
+        return judged.observe(self.passed, F.count_if(F.col("reject_reason").isNull()).alias("rows"))
+
+    def watch(self, df: DataFrame) -> DataFrame:
+        headline, summary = F.col("headline"), F.col("summary")
+
+        def bad(condition: Column) -> Column:
+            return F.count_if(F.coalesce(condition, F.lit(False)))
+
+        return require_columns(df, NEWS_COLUMNS, "clean news").observe(
+            self.written,
+            F.count(F.lit(1)).alias("rows"),
+            bad(F.col("date").isNull()).alias("null_date"),
+            bad(headline.isNull()).alias("null_headline"),
+            bad(summary.isNull()).alias("null_summary"),
+            bad(X.has_placeholder(headline) | X.has_placeholder(summary)).alias("placeholder"),
+        )
+
+    def check(self) -> dict[str, int]:
+        """The metrics once the jobs are done; raises if a rule is broken."""
+        metrics = {k: v or 0 for k, v in self.written.get.items()}
+        broken = {k: v for k, v in metrics.items() if v and k != "rows"}
+        extra = metrics["rows"] - (self.passed.get["rows"] or 0)
+        if extra:
+            broken["repeated_rows"] = extra
+        if broken:
+            raise ValueError(f"Integrity violations: {broken}")
+        return metrics
+
+
 def assert_integrity(df: DataFrame) -> DataFrame:
     """Raise if any ticker breaks a rule; otherwise hand the table on."""
     report = integrity_report(df)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import text as X
 from tidewire.functions.columns import computed_once
 from tidewire.functions.numbers import clamp, half_even
+from tidewire.functions.word_trees import word_tree
 from tidewire.operators.lookup import lookup_join
 from tidewire.schemas import RULES, require_columns
 
@@ -44,6 +45,7 @@ RATIONALE = {
 
 NO_LIST = "."        # pattern of an empty list: any character of a line
 NEVER = "(?!)"
+QUICK_WORDS = 24     # lists up to here are searched plainly before their pattern is tried
 
 
 def rule_patterns(rules: DataFrame) -> DataFrame:
@@ -55,14 +57,16 @@ def rule_patterns(rules: DataFrame) -> DataFrame:
     direct = F.concat(words["direct_keywords"], words["products"])
 
     def listed(array: Column) -> Column:
-        found = F.concat(F.lit("(?iu)"), X.any_of(array))
+        found = F.concat(F.lit("(?iu)"), word_tree(array))
         return F.when(F.size(array) > 0, found).otherwise(F.lit(NO_LIST))
 
     def quick(array: Column) -> Column:
-        return F.when(F.size(array) > 0, F.array_distinct(F.transform(array, X.folded)))
+        """Words for a plain search beforehand, which pays for short lists only."""
+        short = (F.size(array) > 0) & (F.size(array) <= QUICK_WORDS)
+        return F.when(short, F.array_distinct(F.transform(array, X.folded)))
 
     aliases = words["aliases"]
-    whole_word = F.concat(F.lit("(?iuU)\\b(?:"), X.any_of(aliases), F.lit(")\\b"))
+    whole_word = F.concat(F.lit("(?iuU)\\b(?:"), word_tree(aliases, first_wins=False), F.lit(")\\b"))
     return rules.select(
         "ticker",
         F.coalesce(F.try_element_at(aliases, F.lit(1)), F.lit("the target stock")).alias("target"),

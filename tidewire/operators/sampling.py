@@ -10,18 +10,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import month_of
+from tidewire.operators.lookup import lookup_join
+from tidewire.session import materialize
 
 STRATUM = ["ticker", "month"]
+BIN_DIGITS = 4    # leading hex digits of a hash that make its bin
 
 
-def _target(n_total: int | dict[str, int], default: int | None) -> tuple[Column, int]:
-    """Sample size per ticker as a column, and the largest one."""
+def _target(n_total: int | dict[str, int], default: int | None) -> Column:
+    """Sample size per ticker as a column."""
     if isinstance(n_total, int):
-        return F.lit(n_total), n_total
-    largest = max([*n_total.values(), default or 0])
+        return F.lit(n_total)
     pairs = [F.lit(part) for item in n_total.items() for part in item]
     sized = F.try_element_at(F.create_map(*pairs), F.col("ticker"))
-    return F.coalesce(sized, F.lit(default or 0)), largest
+    return F.coalesce(sized, F.lit(default or 0))
 
 
 def sample_quota(
@@ -35,7 +37,7 @@ def sample_quota(
     Months are ranked in order of first appearance, and the first ``n % months`` get one extra.
     ``whole`` marks tickers small enough to be passed through as they are.
     """
-    target, _ = _target(n_total, default)
+    target = _target(n_total, default)
     months = (
         df.select("ticker", month_of(F.col("date")).alias("month"), F.col(appearance).alias("_at"))
         .groupBy(*STRATUM)
@@ -68,38 +70,50 @@ def sample_keys(
 ) -> DataFrame:
     """(ticker, ord) of the sampled rows, and whether quota or gap filling took them.
 
-    A pick is always among the ``n`` smallest hashes of its month, so each month is first cut
-    to that many rows: by leading hash digits, then as a whole. No task sees a whole ticker or a
-    whole month, and at most n rows per month go on.
+    Rows are counted by the leading digits of their hashes, and running sums over these bins say which are
+    taken whole, which in part, and which not at all; only rows of bins that give some go on, and only within
+    a bin are rows ranked. So the work doesn't depend on the size of the sample, and no task sees more
+    of a month or ticker than a bin.
     """
-    _, largest = _target(n_total, default)
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), "ticker", F.col("ord").cast("string")))
-    keyed = df.select(
-        "ticker", "ord", month_of(F.col("date")).alias("month"), order.alias("_hash")
-    ).withColumn("_slice", F.substring("_hash", 1, 2))
+    keyed = df.select("ticker", "ord", month_of(F.col("date")).alias("month"), order.alias("_hash"))
+    keyed = keyed.withColumn("_bin", F.substring("_hash", 1, BIN_DIGITS))
+    plan = _bin_plan(keyed, sample_quota(df, n_total, default, appearance))
+    joined = lookup_join(keyed, plan, [*STRATUM, "_bin"], "inner", salt_by=["ord"])
 
     def rank(*partition: str) -> Column:
         return F.row_number().over(Window.partitionBy(*partition).orderBy("_hash", "ord"))
 
-    candidates = (
-        keyed.withColumn("_rank", rank(*STRATUM, "_slice"))
-        .filter(F.col("_rank") <= largest)
-        .withColumn("_rank", rank(*STRATUM))
-        .filter(F.col("_rank") <= largest)
-    )
-    joined = candidates.join(sample_quota(df, n_total, default, appearance), STRATUM)
-    in_quota = F.col("whole") | (F.col("_rank") <= F.col("quota"))
-    rest = F.row_number().over(
-        Window.partitionBy("ticker", "_in_quota").orderBy("_hash", "ord")
-    )
-    return (
-        joined.withColumn("_in_quota", in_quota)
-        .withColumn("_rest", rest)
-        .filter(F.col("_in_quota") | (F.col("_rest") <= F.col("gap")))
-        .select(
-            "ticker", "ord", F.when(F.col("_in_quota"), "quota").otherwise("gap").alias("taken_by")
-        )
+    marked = joined.withColumn("_in_quota", rank(*STRATUM, "_bin") <= F.col("_take"))
+    rest = rank("ticker", "_bin", "_in_quota")
+    return marked.withColumn("_rest_rank", rest).filter(
+        F.col("_in_quota") | (F.col("_rest_rank") <= F.col("_fill"))
+    ).select("ticker", "ord", F.when(F.col("_in_quota"), "quota").otherwise("gap").alias("taken_by"))
+
+
+def _bin_plan(keyed: DataFrame, quota: DataFrame) -> DataFrame:
+    """(ticker, month, _bin, _take, _fill) of the bins that give rows: ``_take`` of the month's quota, and
+    ``_fill`` of the ticker's gap from what all its months leave over in the bin."""
+
+    def before(value: Column, partition: list[str]) -> Column:
+        window = Window.partitionBy(*partition).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+    def some_of(rows: Column, wanted: Column) -> Column:
+        return F.greatest(F.lit(0).cast("long"), F.least(rows, wanted))
+
+    n = F.col("_n")
+    bins = keyed.groupBy(*STRATUM, "_bin").agg(F.count("*").alias("_n"))
+    bins = bins.join(quota.select(*STRATUM, "whole", "quota", "gap"), STRATUM)
+    wanted = F.col("quota") - before(n, STRATUM)
+    bins = materialize(
+        bins.withColumn("_take", F.when(F.col("whole"), n).otherwise(some_of(n, wanted))).withColumn("_left", n - F.col("_take"))
     )
+    over = bins.groupBy("ticker", "_bin").agg(F.sum("_left").alias("_rest"), F.max("gap").alias("gap"))
+    fill = some_of(F.col("_rest"), F.col("gap") - before(F.col("_rest"), ["ticker"]))
+    over = over.select("ticker", "_bin", fill.alias("_fill"))
+    gives = (F.col("_take") > 0) | ((F.col("_fill") > 0) & (F.col("_left") > 0))
+    return materialize(bins.join(over, ["ticker", "_bin"]).filter(gives).select(*STRATUM, "_bin", "_take", "_fill"))
 
 
 def stratified_sample(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tidewire.operators.clean import assert_integrity, clean_news
+from tidewire.operators.clean import ObservedIntegrity, clean_news
 from tidewire.operators.directional import positional_combine
 from tidewire.operators.relevance import relevance_scores
 from tidewire.operators.rolling import LOOKBACK_DAYS, THRESHOLD, rolling_dedup
@@ -28,7 +28,9 @@ def processed_news(
     ticker: in ``folder`` (as ``cleaned`` and ``processed``, which must be new), or beside the checkpoints.
     """
     places = [f"{folder.rstrip('/')}/{name}" if folder else None for name in ("cleaned", "processed")]
-    cleaned = assert_integrity(stored(clean_news(raw), places[0], ["ticker"]))
+    integrity = ObservedIntegrity()
+    cleaned = stored(clean_news(raw, integrity=integrity), places[0], ["ticker"])
+    integrity.check()    # counted while the table was written
     if vectors is None:
         vectors = tfidf_vectors(cleaned)
     return stored(rolling_dedup(cleaned, vectors, threshold, lookback), places[1], ["ticker"])

@@ -7,8 +7,12 @@ place in the file. A quoted field may hold line breaks, so a file is never split
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +22,7 @@ from pyspark.sql import types as T
 from tidewire import schemas as S
 from tidewire.functions.text import ticker_from_path
 from tidewire.operators.clean import normalize_columns
+from tidewire.sources.versions import current_folder
 
 CSV_OPTIONS = {
     "header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
@@ -26,6 +31,8 @@ CSV_OPTIONS = {
 
 
 PATH_MISSING = "PATH_NOT_FOUND"
+HEADER_BLOCK = 4096     # bytes of a file read at once to find its first line
+HEADER_THREADS = 16
 
 
 def _with_ticker(df: DataFrame) -> DataFrame:
@@ -83,20 +90,65 @@ def _scan(load: Callable[[], DataFrame], empty: DataFrame, on_missing: str) -> D
         raise
 
 
-def _files_by_header(spark: SparkSession, path: str) -> list[list[str]]:
-    """Paths of the files, those with the same first line together. One pass over the lines.
+def _ticker_of(file: str) -> str:
+    """The ticker of a path, as ``_with_ticker`` finds it: a folder's, else the first part of the file's name."""
+    folder = re.search(r"/ticker=([^/]+)/", file)
+    name = re.search(r"([^/_]+)_[^/]*$", file)
+    return (unquote(folder[1]) if folder else name[1] if name else "").upper()
 
-    What comes to the driver is the list of files, which it lists for any scan.
+
+def first_lines(spark: SparkSession, path: str, tickers: list[str] | None = None) -> list[tuple[str, str]]:
+    """(file, first line) of each file that isn't empty, in order; other tickers' files aren't opened.
+
+    The driver, which lists the files for any scan, opens each and reads a block or, for a longer line, some; so
+    what is read doesn't grow with the files. (Python tasks take in their whole partition, even if they
+    end early, and a limit over all files is no limit in each.)
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")
-        ).alias("place"),
-    )
-    headers = lines.groupBy("file").agg(F.min_by("value", "place").alias("header"))
-    grouped = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
-    return [r["files"] for r in grouped.orderBy("header").collect()]
+    context = spark.sparkContext
+    jvm, conf = context._jvm, context._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    wanted = None if tickers is None else {t.upper() for t in tickers}
+    files = sorted(f for f in spark.read.text(path).inputFiles() if wanted is None or _ticker_of(f) in wanted)
+
+    def first(file: str) -> tuple[str, str] | None:
+        place = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        stream, codec = place.getFileSystem(conf).open(place), codecs.getCodec(place)
+        stream = codec.createInputStream(stream) if codec else stream
+        read = b""
+        try:
+            while b"\n" not in read and b"\r" not in read and (more := bytes(stream.readNBytes(HEADER_BLOCK))):
+                read += more
+        finally:
+            stream.close()
+        return (place.toString(), re.split(rb"\r\n|\n|\r", read)[0].decode("utf-8", "replace")) if read else None
+
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        return [found for found in pool.map(first, files) if found]
+
+
+def header_names(line: str) -> tuple[str, ...] | None:
+    """Normalized column names of a header line, made different; None if a quoted name goes on after the line."""
+    if line.count('"') % 2:
+        return None
+    names: list[str] = []
+    for k, cell in enumerate(next(csv.reader([line.lstrip("\ufeff")]), [])):
+        name = cell.strip().lower() or f"_c{k}"
+        names.append(name if name not in names else f"{name}_{k}")
+    return tuple(names)
+
+
+def _files_by_header(
+    spark: SparkSession, path: str, columns: list[str], tickers: list[str] | None
+) -> dict[tuple[str, ...] | None, list[str]]:
+    """Paths of the files, those with the same column names together; raises where names are missing."""
+    grouped: dict[tuple[str, ...] | None, list[str]] = {}
+    for file, line in first_lines(spark, path, tickers):
+        grouped.setdefault(header_names(line), []).append(file)
+    for names, files in grouped.items():
+        if names is not None:
+            known = spark.createDataFrame([], ", ".join(f"`{n.replace('`', '``')}` string" for n in names) or "_none string")
+            S.require_columns(normalize_columns(known), columns, ", ".join(files[:5]))
+    return grouped
 
 
 def read_text_csv(
@@ -109,19 +161,25 @@ def read_text_csv(
 ) -> DataFrame:
     """All-string CSV scan with normalized names; raises when a column is missing.
 
-    Each file is read by its own header: files with the same first line make one scan, and the
-    scans are joined by name. ``own_headers=False`` saves the pass that looks at first lines where
-    all files are known to have one layout; a file that differs then raises. Columns that some
-    files lack are null there. ``on_missing='skip'`` takes a path without files as an empty table.
+    Each file is read by its own header: files with the same names, letter case and spaces aside, make one scan,
+    and the scans are joined by name. ``own_headers=False`` saves the look at first lines where all files are
+    known to have one layout; a file that differs then raises. Columns that some files lack are null there.
+    ``on_missing='skip'`` takes a path without files as an empty table. The path of a versioned table is read at
+    its newest version.
     """
+    path = current_folder(spark, path)
     empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["_file", "ticker", *columns]))
     options = {**CSV_OPTIONS, "inferSchema": False, "enforceSchema": False}
+    base = path.rstrip("/")
 
-    def scan(paths: str | list[str]) -> DataFrame:
+    def scan(paths: str | list[str], names: tuple[str, ...] | None = None) -> DataFrame:
         reader = spark.read.options(**options)
-        base = path.rstrip("/")
         if isinstance(paths, list) and all(f"{base}/" in file for file in paths):
             reader = reader.option("basePath", base)    # so that folder names still give columns
+        if names:
+            reader = reader.option("enforceSchema", True).schema(
+                T.StructType([T.StructField(n, T.StringType()) for n in names])
+            )
         df = _with_ticker(reader.csv(paths))
         df = S.require_columns(normalize_columns(df), columns, path)
         return only_tickers(df, tickers)
@@ -129,7 +187,8 @@ def read_text_csv(
     def load() -> DataFrame:
         if not own_headers:
             return scan(path)
-        scans = [scan(files) for files in _files_by_header(spark, path)]
+        grouped = _files_by_header(spark, path, columns, tickers)
+        scans = [scan(files, names) for names, files in grouped.items()]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans) if scans else empty
 
     df = with_position(_scan(load, empty, on_missing))
@@ -147,7 +206,7 @@ def read_raw_news(
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
     """Typed CSV scan; columns absent from the file come out null only if the schema adds them."""
     options = {**CSV_OPTIONS, "header": header, "enforceSchema": not header}
-    return spark.read.options(**options).schema(schema).csv(path)
+    return spark.read.options(**options).schema(schema).csv(current_folder(spark, path))
 
 
 def read_news(
@@ -163,7 +222,8 @@ def read_news(
         df = df.withColumn("date", F.col("date").try_cast("date"))
     else:
         empty = spark.createDataFrame([], S.NEWS)
-        df = only_tickers(_scan(lambda: spark.read.format(fmt).load(path), empty, on_missing), tickers)
+        place = current_folder(spark, path)
+        df = only_tickers(_scan(lambda: spark.read.format(fmt).load(place), empty, on_missing), tickers)
     return df.select("ticker", "ord", *S.ARTICLE_COLUMNS)
 
 
@@ -202,7 +262,7 @@ def read_prices(
     fmt: str = "parquet",
 ) -> DataFrame:
     """Landed long price table; the date range reaches the scan."""
-    df = spark.read.schema(S.PRICES).format(fmt).option("header", True).load(path)
+    df = spark.read.schema(S.PRICES).format(fmt).option("header", True).load(current_folder(spark, path))
     if start:
         df = df.filter(F.col("date") >= F.lit(start).cast("date"))
     if end:

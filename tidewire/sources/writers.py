@@ -1,8 +1,9 @@
-"""Sinks. A failed write leaves the old table as it was.
+"""Sinks into plain folders. A failed write leaves the old table as it was.
 
 Tables with a ticker column are partitioned by it, and dynamic partition overwrite replaces the
 tickers present in the data once the job has succeeded. Any other table is written into a new
-folder beside the old one, which takes its place then.
+folder beside the old one, which takes its place by two renames; a driver that dies between them leaves the
+old table under its hidden name. ``versions.write_versioned`` replaces whole tables without such a moment.
 """
 
 from __future__ import annotations
