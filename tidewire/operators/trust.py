@@ -33,7 +33,10 @@ def with_trust(
     weights: dict[str, float] | DataFrame | None = None,
     default: float = DEFAULT_WEIGHT,
 ) -> DataFrame:
-    """Add ``x3_factor``; ``weights`` may be a table (source, weight) of any size."""
+    """Add ``x3_factor``; ``weights`` may be a table (source, weight) of any size.
+
+    A source that is listed twice with different weights raises; equal rows count once.
+    """
     weights = SOURCE_WEIGHTS if weights is None else weights
     if isinstance(weights, dict):
         if len(weights) <= LITERAL_WEIGHTS:
@@ -41,7 +44,12 @@ def with_trust(
         weights = df.sparkSession.createDataFrame(
             list(weights.items()), "source string, weight double"
         )
-    joined = lookup_join(df, weights.select("source", "weight"), ["source"])
+    single = weights.groupBy("source").agg(F.min("weight").alias("weight"), F.max("weight").alias("_most"))
+    single = materialize(single)
+    unclear = single.filter("weight <> _most").orderBy("source").limit(5).collect()
+    if unclear:
+        raise ValueError(f"more than one weight for {[r['source'] for r in unclear]}")
+    joined = lookup_join(df, single.drop("_most"), ["source"])
     return joined.withColumn("x3_factor", F.coalesce("weight", F.lit(default))).drop("weight")
 
 

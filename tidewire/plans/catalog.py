@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import numbers as N
 from tidewire.functions import text as X
 from tidewire.operators import (
-    bayes, clean, directional, factors, relevance, rolling, sampling, score, trust, vectors,
+    bayes, clean, directional, factors, loadings, relevance, rolling, sampling, score, trust, vectors,
     weekly,
 )
 from tidewire.plans import flows
@@ -379,6 +379,11 @@ def factor_last_days(spark, sf):
     return factors.last_days(factors.factor_proxies(prices(spark, sf)))
 
 
+def factor_loadings(spark, sf):
+    daily = score.daily_sentiment_by_article(*_daily_inputs(spark, sf), digits=DIGITS)
+    return _rounded(loadings.factor_loadings(daily, factors.factor_proxies(prices(spark, sf))), 6)
+
+
 def factor_summary(spark, sf):
     return factors.factor_summary(factors.factor_proxies(prices(spark, sf)))
 
@@ -439,6 +444,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "factor_return_diff": factor_return_diff,
     "factor_last_days": factor_last_days,
     "factor_summary": factor_summary,
+    "factor_loadings": factor_loadings,
     "classifier_scores": classifier_scores,
     "classifier_split": classifier_split,
     "classifier_words": classifier_words,

@@ -589,6 +589,37 @@ select min(date) as first_day, max(date) as last_day, count(*) as num_days from
 }
 
 
+def _loadings() -> str:
+    """Ordinary least squares by its sums: three equations solved by determinants, here in the query."""
+    names = ["mkt_rf", "smb", "hml"]
+
+    def determinant(m: list[list[str]]) -> str:
+        (a, b, c), (d, e, f), (g, h, i) = m
+        return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+    matrix = [[f"covar_pop({a}, {b})" for b in names] for a in names]
+    against = [f"covar_pop({a}, y)" for a in names]
+    betas = [
+        "case when count(*) >= 5 and "
+        f"{determinant(matrix)} > 1e-12 * var_pop(mkt_rf) * var_pop(smb) * var_pop(hml) then "
+        + determinant([[against[r] if c == k else matrix[r][c] for c in range(3)] for r in range(3)])
+        + f" / {determinant(matrix)} end"
+        for k in range(3)
+    ]
+    fitted = ", ".join(f"{b} as beta_{n}, avg({n}) as m_{n}, covar_pop({n}, y) as c_{n}" for b, n in zip(betas, names))
+    alpha = "m_y - " + " - ".join(f"beta_{n} * m_{n}" for n in names)
+    share = "(" + " + ".join(f"beta_{n} * c_{n}" for n in names) + ") / v_y"
+    columns = ", ".join(f"round_even(beta_{n}, 6) as beta_{n}" for n in names)
+    return f"""with {NEWS}, {LABELLED}, {TRUST}, {RELEVANCE}, {ARTICLES}, daily as ({_daily('articles')}),
+{FACTORS.strip().removeprefix('with ')},
+days as (select ticker, Final_Sentiment as y, mkt_rf, smb, hml from daily join factors using (date)),
+fits as (select ticker, count(*) as num_days, avg(y) as m_y, var_pop(y) as v_y, {fitted} from days group by ticker)
+select ticker, num_days, round_even({alpha}, 6) as alpha, {columns}, round_even({share}, 6) as r_squared from fits"""
+
+
+ORACLE["factor_loadings"] = _loadings()
+
+
 def _daily_signal() -> str:
     """Cleaning, rolling dedup and scoring in one statement."""
     start = MARKED.replace("\nnews as (", "\nsource_news as (", 1).replace("from news)", "from source_news)", 1)

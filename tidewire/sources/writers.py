@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.relevance import relevance_text
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "emptyValue": "", "encoding": "UTF-8"}
+CSV_OPTIONS = {
+    "header": True, "quote": '"', "escape": '"', "emptyValue": "", "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def _save(df: DataFrame, path: str, parts: list[str], fmt: str, **options) -> None:
