@@ -58,3 +58,14 @@ def test_chunks(spark, rows, last, short):
     counts = {r.chunk: r["count"] for r in with_chunks(df).groupBy("chunk").count().collect()}
     assert len(counts) == last and counts[last] == short
     assert all(n == 100 for chunk, n in counts.items() if chunk < last)
+
+
+def test_rows_with_null_keys_are_numbered(spark):
+    from tidewire.operators.ordinals import with_row_number
+
+    rows = [("A", 1, None), ("A", 2, 5), ("A", 0, 5), (None, 3, 1), (None, 4, None)]
+    df = spark.createDataFrame(rows, "ticker string, ord long, date int")
+    got = {(r["ticker"], r["ord"]): r["number"] for r in with_row_number(df, block_bits=1).collect()}
+    assert got == {("A", 1): 1, ("A", 0): 2, ("A", 2): 3, (None, 4): 1, (None, 3): 2}
+    alone = with_row_number(df, by=None).collect()
+    assert {(r["ticker"], r["ord"]): r["number"] for r in alone}[None, 4] == 2

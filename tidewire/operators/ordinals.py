@@ -20,7 +20,8 @@ def with_row_number(
 
     ``ord_col`` is unique within a group, so a block of 2**``block_bits`` consecutive values holds
     at most that many rows, whatever the skew. Rows are numbered within (group, by, block); the
-    block's offset comes from the block counts, which are tiny and combined map-side.
+    block's offset comes from the block counts, which are tiny and combined map-side. A null group is a group of its
+    own, and null values of ``by`` come first.
     """
     keys = [group] + ([by] if by else [])
     cell = [*keys, "_block"]
@@ -33,19 +34,20 @@ def with_row_number(
         return F.coalesce(F.sum("_n").over(window), F.lit(0))
 
     offsets = counts.withColumn("_offset", before(keys, "_block"))
+    # Structs of keys are joined, in which nulls are equal.
     if by:
         starts = counts.groupBy(*keys).agg(F.sum("_n").alias("_n"))
-        starts = starts.withColumn("_start", before([group], by)).drop("_n")
-        offsets = offsets.join(starts, keys)
+        starts = starts.select(F.struct(*keys).alias("_keys"), before([group], by).alias("_start"))
+        offsets = offsets.withColumn("_keys", F.struct(*keys)).join(starts, "_keys")
     else:
         offsets = offsets.withColumn("_start", F.lit(0))
-    offsets = offsets.select(*cell, (F.col("_offset") + F.col("_start")).alias("_offset"))
+    offsets = offsets.select(F.struct(*cell).alias("_cell"), (F.col("_offset") + F.col("_start")).alias("_offset"))
 
     local = F.row_number().over(Window.partitionBy(*cell).orderBy(ord_col))
     return (
-        blocked.join(offsets, cell)
+        blocked.withColumn("_cell", F.struct(*cell)).join(offsets, "_cell")
         .withColumn(out, (local + F.col("_offset")).cast("long"))
-        .drop("_block", "_offset")
+        .drop("_block", "_offset", "_cell")
     )
 
 
