@@ -99,20 +99,27 @@ def words(text: str | None) -> list[str]:
 
 
 def overlap(text: str | None, item: str) -> int:
-    """Words of the item in stretches of at least 80 % equal words, over all diagonals."""
+    """Words of the item in stretches of at least 80 % equal words, over all diagonals that a mask hits.
+
+    A stretch begins and ends with an equal word. It counts if it has 20 words or 80 % of the item's, or if its
+    equal words, less four times the others, come to six.
+    """
     a, b = words(text), words(item)
+    enough = min(-(-len(b) * 4 // 5), 20)
     covered: set[int] = set()
     for diagonal in range(-len(b), len(a) + 1):
-        flags = [0 <= i + diagonal < len(a) and a[i + diagonal] == b[i] for i in range(len(b))]
-        best, span, now, begin = 0, None, 0, 0
-        for i, equal in enumerate(flags):
-            if now <= 0:
-                now, begin = 0, i
-            now += 1 if equal else -4
-            if now > best:
-                best, span = now, (begin, i)
-        if best >= 6:
-            covered.update(range(span[0], span[1] + 1))
+        equal = [i for i in range(len(b)) if 0 <= i + diagonal < len(a) and a[i + diagonal] == b[i]]
+        held = set(equal)
+        hit = any(
+            all(i + k in held for k, c in enumerate(mask) if c == "1")
+            for mask in ("11111", "1101011", "11001101")
+            for i in range(max(0, -diagonal), min(len(b), len(a) - diagonal) - len(mask) + 1)
+        )
+        for m, first in enumerate(equal) if hit else ():
+            for n in range(m, len(equal)):
+                length, same = equal[n] - first + 1, n - m + 1
+                if same - 4 * (length - same) >= 6 or (5 * same >= 4 * length and length >= enough):
+                    covered.update(range(first, equal[n] + 1))
     return len(covered)
 
 

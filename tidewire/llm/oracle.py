@@ -32,22 +32,22 @@ flags as (
          i + m.diagonal >= 1 and coalesce(t.w[i + m.diagonal] = b.w[i], false) as equal
   from met m join texts t on t.k is not distinct from m.text
   join (select k, w, unnest(range(1, len(w) + 1)) as i from items) b on b.k = m.item_id),
-sums as (
-  select *, sum(case when equal then 1 else -4 end)
-              over (partition by text, item_id, diagonal order by i) as upto
-  from flags),
-lows as (
-  select *, min({{'sum': upto - case when equal then 1 else -4 end, 'place': -i}})
-              over (partition by text, item_id, diagonal order by i) as low
-  from sums),
+equals as (
+  select text, item_id, diagonal, words, i, row_number() over (partition by text, item_id, diagonal order by i) as n
+  from flags where equal),
+stretches as (
+  select a.text, a.item_id, a.words, a.i as first, b.i as last,
+         5 * (b.n - a.n + 1) - 4 * (b.i - a.i + 1) as gain
+  from equals a join equals b on a.text is not distinct from b.text and a.item_id = b.item_id
+       and a.diagonal = b.diagonal and a.i <= b.i),
 ends as (
-  select text, item_id, words, i as last, -low.place as first, upto - low.sum as gain
-  from lows
-  qualify row_number() over (partition by text, item_id, diagonal order by upto - low.sum desc, i) = 1),
+  select text, item_id, words, first, max(last) as last from stretches
+  where gain >= {LEAST_SUM} or gain >= 0 and last - first + 1 >= least(ceil(words * {SIMILARITY}), {LEAST_WORDS})
+  group by all),
 covered as (
   select text, item_id, words, count(distinct place) as overlap
   from (select text, item_id, words, unnest(range(first, last + 1)) as place
-        from ends where gain >= {LEAST_SUM})
+        from ends)
   group by all)
 select d.doc_id, c.item_id, c.overlap::int as overlap, c.words::int as words
 from documents d join covered c on d.text is not distinct from c.text
