@@ -98,3 +98,59 @@ def test_small_blocks_give_the_same_groups(spark):
     big = connected_components(similar_links(nodes, 0.89)).select(F.countDistinct("component"), F.count("*")).first()
     small = connected_components(similar_links(nodes, 0.89, block=7)).select(F.countDistinct("component"), F.count("*")).first()
     assert big == small == (1, 89)
+
+
+def test_golay_anchors_cover():
+    from tidewire.llm.simhash import GOLAY_BITS, _golay_syndrome, golay_anchors
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 1 << 24, 300, dtype=np.uint32)
+    for v in values:
+        flips = sum(1 << int(b) for b in rng.choice(24, 2, replace=False))
+        both = golay_anchors(np.array([v, v ^ np.uint32(flips)], np.uint32))
+        assert set(both[0].tolist()) & set(both[1].tolist())
+        assert all(_golay_syndrome(int(a) & ((1 << GOLAY_BITS) - 1)) == 0 for a in both[0])
+    assert len({int(a) for a in golay_anchors(values[:1])[0]}) <= 8
+
+
+def isolated_pairs(count, size, shared, seed):
+    """Pairs of texts of different words of which ``shared`` of all five-word shingles are in both."""
+    rng, rows = np.random.default_rng(seed), []
+    for pair in range(count):
+        one = [f"w{pair}x{i}" for i in range(size)]
+        own = round((size - 4) * (1 - shared) / (1 + shared))    # shingles that each has alone
+        at = int(rng.integers(0, size - own))
+        two = one[:at] + [f"v{pair}x{i}" for i in range(own - 4)] + one[at + own - 4:] if own > 4 else one
+        rows += [(2 * pair, " ".join(one)), (2 * pair + 1, " ".join(two))]
+    return rows
+
+
+@pytest.mark.parametrize(("shared", "least"), [(0.82, 0.95), (0.9, 0.99), (0.75, None)])
+def test_recall_on_isolated_pairs(spark, shared, least):
+    rows = isolated_pairs(150, 304, shared, 4)
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    alike = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert all(abs(x - shared) < 0.03 for x in alike)
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(2 * p in kept for p in range(150))
+    found = np.mean([2 * p + 1 not in kept for p in range(150)])
+    if least:
+        assert min(alike) >= 0.8 and found >= least
+    else:
+        assert max(alike) < 0.8 and found == 0
+
+
+def test_groups_equal_exact_links(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for group in range(4):
+        base = [f"g{group}x{i}" for i in range(250)]
+        for copy in range(12):
+            text = list(base)
+            for at in rng.choice(250, int(rng.integers(0, 9)), replace=False):
+                text[at] = f"c{copy}x{at}"
+            rows.append((100 * group + copy, " ".join(text)))
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    low = components(len(rows), lambda i: [j for j in range(len(rows)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    kept = {r["doc_id"] for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {rows[i][0] for i in set(low)}
+    assert len(kept ^ want) <= 1

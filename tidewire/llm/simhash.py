@@ -12,6 +12,7 @@ that radius of it, so for ``t`` = 2 there are at most 2,081 of them, whatever th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -19,14 +20,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import materialize, read, unique_name
+from tidewire.llm.common import materialize, read, stored, unique_name
 from tidewire.llm.components import connected_components
+from tidewire.operators.lookup import lookup_join
 
 BITS = 64
 CHUNK = 1 << 16      # hashes that are unpacked together
-WORDS = 4            # 64-bit words of the long fingerprint
-SIMILARITY = 0.89    # cosine of shingle counts of which four fifths are shared by both (2 s / (1 + s))
-BLOCK = 2_048        # nodes of an anchor that are compared with as many others in one task
+WORDS = 5            # 64-bit words of the long fingerprint
+SHARE = 0.8          # of their shingles that near copies have in common
+BLOCK = 1 << 16      # nodes of an anchor that are compared with as many others in one task
+GOLAY, GOLAY_BITS = 0b101011100011, 23    # generator of the perfect Golay code, and its length
+NEAREST = 3          # candidates of a node that each anchor proposes, besides what connects all of them
+PAIRS = 1 << 21      # pairs whose bits are counted at once
+_masks = None
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -195,77 +201,190 @@ def _longer(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def _golay_masks(reach: int) -> np.ndarray:
+    """(2048, k) masks of at most ``reach`` bits that turn a word of each syndrome into an anchor.
+
+    Anchors are the words whose low 23 bits are in the perfect Golay code, of covering radius 3; bit 23 is
+    free. Unused places repeat the first mask.
+    """
+    signs = [_golay_syndrome(1 << i) for i in range(GOLAY_BITS)]
+    found: list[list[int]] = [[] for _ in range(1 << 11)]
+    for free in (0, 1):
+        for weight in range(reach - free + 1):
+            for picks in combinations(range(GOLAY_BITS), weight):
+                syndrome = 0
+                for i in picks:
+                    syndrome ^= signs[i]
+                found[syndrome].append(sum(1 << i for i in picks) | free << GOLAY_BITS)
+    width = max(map(len, found))
+    return np.array([f + [f[0]] * (width - len(f)) for f in found], dtype=np.uint32)
+
+
+def _golay_syndrome(word: int) -> int:
+    """The remainder of a word of 23 bits, as a polynomial, by the generator."""
+    for i in range(GOLAY_BITS - 1, 10, -1):
+        if word >> i & 1:
+            word ^= GOLAY << (i - 11)
+    return word
+
+
+def golay_anchors(words: np.ndarray) -> np.ndarray:
+    """(len(words), k) anchors near each word of 24 bits: words up to 2 bits apart share one.
+
+    The middle of the two is within 1 bit of both and within 3 of an anchor, so 4 bits reach it.
+    """
+    global _masks
+    if _masks is None:
+        _masks = _golay_masks(4), np.array([_golay_syndrome(1 << i) for i in range(GOLAY_BITS)], np.uint16)
+    masks, signs = _masks
+    syndrome = np.zeros(len(words), np.uint16)
+    for i in range(GOLAY_BITS):
+        syndrome ^= np.where(words >> np.uint32(i) & np.uint32(1), signs[i], 0).astype(np.uint16)
+    return words[:, None] ^ masks[syndrome]
+
+
+def _cuts(words: np.ndarray) -> np.ndarray:
+    """The blocks of 24 bits of long fingerprints, (rows, words) 64-bit numbers."""
+    raw = np.ascontiguousarray(words, dtype="<i8").view(np.uint8)
+    raw = raw[:, : raw.shape[1] // 3 * 3].reshape(len(raw), -1, 3).astype(np.uint32)
+    return raw[:, :, 0] | raw[:, :, 1] << np.uint32(8) | raw[:, :, 2] << np.uint32(16)
+
+
+def _most_bits(similarity: float, bits: int) -> int:
+    """Bits in which fingerprints of that cosine differ at most, but for one pair in 200."""
+    chance = np.arccos(similarity) / np.pi
+    return int(bits * chance + 2.6 * np.sqrt(bits * chance * (1 - chance)))
+
+
+def _near_edges(ids: np.ndarray, words: np.ndarray, side: np.ndarray, most: int) -> list[tuple[int, int, int]]:
+    """(u, v, bits) of near pairs: the nearest few of each row, and enough to connect what nearness connects.
+
+    Rows of equal ``side`` above 0 don't meet.
+    """
+    n, edges, best = len(ids), set(), []
+    step = max(1, PAIRS // n)
+    linked = np.zeros(n, bool)
+    for at in range(0, n, step):
+        part = slice(at, min(n, at + step))
+        bits = np.bitwise_count(words[part, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.uint16)
+        bits[np.arange(bits.shape[0]), np.arange(part.start, part.stop)] = most + 1
+        bits[(side[part, None] == side[None, :]) & (side[part, None] > 0)] = most + 1
+        rows = np.flatnonzero((bits <= most).any(axis=1))
+        linked[rows + at] = True
+        for row in rows:
+            near = np.flatnonzero(bits[row] <= most)
+            near = near[np.argsort(bits[row, near], kind="stable")[:NEAREST]]
+            best += [(row + at, int(j), int(bits[row, j])) for j in near]
+    for i, j, d in best:
+        edges.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), d))
+    left = np.flatnonzero(linked)
+    while len(left):    # a tree over each component
+        front, left = [left[0]], left[1:]
+        while front and len(left):
+            row = front.pop()
+            bits = np.bitwise_count(words[left] ^ words[row]).sum(axis=1)
+            near = (bits <= most) & ((side[left] != side[row]) | (side[left] == 0))
+            edges |= {(int(min(ids[i], ids[row])), int(max(ids[i], ids[row])), int(d)) for i, d in zip(left[near], bits[near])}
+            front.extend(left[near].tolist())
+            left = left[~near]
+    return list(edges)
+
+
 def similar_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(u, v) edges over nodes (node, words) whose components are those of the links found.
+    """(u, v, bits) candidates over nodes (node, words), whose components are those of all pairs found near.
 
-    ``words`` is a long fingerprint. Its halves of 32 bits are copied to the anchors of a code of
-    that length; nodes meet where a half differs in two bits at most, and are linked where all bits
-    together differ no more than texts of the cosine ``similarity`` do. The nodes of an anchor
-    are cut into blocks of ``block``, and each pair of blocks is compared in one task.
+    ``words`` is a long fingerprint. Each block of 24 bits is copied to the anchors near it, with the last two
+    words; nodes that share an anchor are near if these differ in no more bits than the cosine
+    ``similarity`` lets expect. More than ``block`` nodes of an anchor are cut into parts, whose pairs are
+    compared apart.
     """
-    reach = 1 + 1
 
     def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), CHUNK >> 5):
                 part = batch.iloc[at : at + (CHUNK >> 5)]
-                halves = np.stack(part["words"].to_numpy()).astype(np.int64).view(np.uint32)
-                own = part["node"].to_numpy()
-                for number in range(halves.shape[1]):
-                    anchors, places = _copies(halves[:, number].astype(np.uint64), 32, reach)
-                    yield pd.DataFrame({"anchor": anchors | number << 32, "node": own[places]})
-
-    spread = nodes.mapInPandas(copies, "anchor bigint, node bigint")
-    count = Window.partitionBy("anchor")
-    met = spread.withColumn("n", F.count("*").over(count)).filter("n > 1")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = materialize(met.select("anchor", "node", "blocks", "own"))
-    tiled = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiled = tiled.select(
-        "anchor", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "node"
-    ).join(nodes, "node")
-    grouped = tiled.groupBy("anchor", "one", "two").agg(F.collect_list(F.struct("node", "words")).alias("members"))
+                words, own = np.stack(part["words"].to_numpy()).astype(np.int64), part["node"].to_numpy()
+                for number, cut in enumerate(_cuts(words).T):
+                    anchors = golay_anchors(cut)
+                    first = np.ones(anchors.shape, bool)
+                    first[:, 1:] = anchors[:, 1:] != anchors[:, :1]
+                    places = np.repeat(np.arange(len(own)), first.sum(axis=1))
+                    yield pd.DataFrame({
+                        "anchor": anchors[first].astype(np.int64) | number << 24, "node": own[places],
+                        "one": words[places, -2], "two": words[places, -1],
+                    })
+
+    most = _most_bits(similarity, 2 * BITS)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for members in batch["members"]:
-                ids = np.array([m["node"] for m in members], np.int64)
-                words = np.stack([m["words"] for m in members]).astype(np.int64).view(np.uint64)
-                most = int(words.shape[1] * BITS * np.arccos(similarity) / np.pi)
-                found += _reach_edges(ids, words, most)
-            yield pd.DataFrame(found, columns=["u", "v"]).astype("int64").drop_duplicates()
-
-    return grouped.select("members").mapInPandas(compare, "u bigint, v bigint").distinct()
-
-
-def _reach_edges(ids: np.ndarray, words: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges that connect what differs in ``most`` bits or fewer, found one row at a time."""
-    edges, left = [], np.arange(len(ids))
-    while len(left):
-        front, left = [left[0]], left[1:]
-        low = ids[front[0]]
-        while front and len(left):
-            row = front.pop()
-            near = np.bitwise_count(words[left] ^ words[row]).sum(axis=1) <= most
-            new = left[near]
-            edges += [(int(ids[i]), int(low)) for i in new]
-            front.extend(new.tolist())
-            left = left[~near]
-    return edges
+            for nodes, ones, twos, sides in zip(batch["nodes"], batch["ones"], batch["twos"], batch["sides"]):
+                words = np.stack([ones, twos], axis=1).astype(np.int64).view(np.uint64)
+                ids = np.asarray(nodes, np.int64)
+                found += _near_edges(ids, words, np.asarray(sides, np.int64), most)
+            yield pd.DataFrame(found, columns=["u", "v", "bits"]).astype({"u": "int64", "v": "int64", "bits": "int32"})
+
+    spread = nodes.mapInPandas(copies, "anchor bigint, node bigint, one bigint, two bigint")
+    crowded = materialize(spread.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > block))
+    parts = F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
+    cut = lookup_join(spread, crowded, ["anchor"], salt_by=["node"]).withColumn("parts", parts)
+    own = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
+    paired = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # in a tile of two parts only rows of different parts meet; alone, a part's rows have side 0
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    tiled = paired.select("anchor", low, high, "node", "one", "two", F.when(low != high, F.col("own") + 1).otherwise(0).alias("side"))
+    lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "one", "two", "side")]
+    members = tiled.groupBy("anchor", "low", "high").agg(*lists).filter(F.size("nodes") > 1)
+    found = members.mapInPandas(compare, "u bigint, v bigint, bits int")
+    return found.groupBy("u", "v").agg(F.min("bits").alias("bits"))
+
+
+def proven_links(candidates: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(u, v) of candidates that do have ``share`` of their shingles in common, enough to connect all that do.
+
+    ``sets`` has node and h, its distinct shingles. Each node's nearest candidate is looked at first; after that
+    only candidates between different components, the nearest one of each two components, then four, then
+    sixteen, until none is left.
+    """
+    pending, links, many = materialize(candidates), [], 0
+    while True:
+        if not links:
+            both = pending.unionByName(pending.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
+            nearest = both.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("x"))
+            ends = nearest.select(F.least("u", "x.v").alias("u"), F.greatest("u", "x.v").alias("v"))
+            chosen = materialize(ends.distinct())
+        else:
+            labels = materialize(connected_components(reduce(DataFrame.unionByName, links)))
+            for end in ("u", "v"):
+                named = labels.select(F.col("node").alias(end), F.col("component").alias(f"label_{end}"))
+                pending = lookup_join(pending, named, [end]).withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+            pending = materialize(pending.filter("label_u <> label_v"))
+            pair = [F.least("label_u", "label_v"), F.greatest("label_u", "label_v")]
+            rank = F.row_number().over(Window.partitionBy(*pair).orderBy("bits", "u", "v"))
+            chosen = materialize(pending.withColumn("rank", rank).filter(F.col("rank") <= 4**many).select("u", "v"))
+            pending = pending.drop("label_u", "label_v")
+            many += 1
+        if chosen.isEmpty():
+            return reduce(DataFrame.unionByName, links) if links else chosen
+        one = chosen.join(sets.select(F.col("node").alias("u"), F.col("h").alias("h_u")), "u")
+        two = one.join(sets.select(F.col("node").alias("v"), F.col("h").alias("h_v")), "v")
+        common = F.size(F.array_intersect("h_u", "h_v"))
+        alike = common >= share * (F.size("h_u") + F.size("h_v") - common)
+        links.append(materialize(two.filter(alike).select("u", "v")))
+        pending = materialize(pending.join(chosen, ["u", "v"], "left_anti"))
 
 
 def one_of_each(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, similarity: float = SIMILARITY,
-    words: int = WORDS,
+    docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, share: float = SHARE, words: int = WORDS,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of the smallest key.
 
-    Fingerprints of ``words`` times 64 bits over shingles of ``width`` words; texts are linked where
-    the angle between their shingle counts, as their bits tell it, has a cosine of ``similarity``.
-    Texts without words are one group. Of rows of one key and text, one stays; a null key
-    comes after all others. Other columns are kept as they are.
+    Texts are linked that have ``share`` or more of their different shingles of ``width`` words in common.
+    Fingerprints of ``words`` times 64 bits propose them over anchors, and shingles prove them; of pairs that
+    are just so alike about 98 % are proposed, and more the more alike they are. Texts without words are one group, as
+    are texts of one fingerprint. Of rows of one key and text, one stays; a null key comes after all
+    others. Other columns are kept as they are.
     """
     own, digest = F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("digest")
 
@@ -281,7 +400,14 @@ def one_of_each(
     nodes = materialize(
         marked.groupBy("words").agg(first.alias("low")).withColumn("node", F.monotonically_increasing_id())
     )
-    components = connected_components(similar_links(nodes.select("node", "words"), similarity))
+    # The cosine of shingle counts of which ``share`` of all are in both.
+    candidates = materialize(similar_links(nodes.select("node", "words"), 2 * share / (1 + share)))
+    asked = candidates.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sources = materialize(nodes.join(asked, "node").select("node", "low.key", "low.digest"))
+    texts = narrow.join(sources.withColumnRenamed("key", "_k"), (F.col("key").eqNullSafe(F.col("_k"))) & (narrow["digest"] == sources["digest"]))
+    shingled = with_shingle_hashes(texts.select("node", "text").dropDuplicates(["node"]), "text", width, "h")
+    sets = stored(shingled.select("node", F.array_distinct("h").alias("h")), "shingles")
+    components = connected_components(proven_links(candidates.select("u", "v", "bits"), sets, share))
     rooted = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = rooted.groupBy("component").agg(F.min("low").alias("low")).select("low.key", "low.digest")
     k, d, own_digest, number = (unique_name(docs, n) for n in ("_key", "_digest", "_own", "_number"))
