@@ -30,7 +30,6 @@ WORDS = 5            # 64-bit words of the long fingerprint
 SHARE = 0.8          # of their shingles that near copies have in common
 BLOCK = 1 << 16      # nodes of an anchor that are compared with as many others in one task
 GOLAY, GOLAY_BITS = 0b101011100011, 23    # generator of the perfect Golay code, and its length
-NEAREST = 3          # candidates of a node that each anchor proposes, besides what connects all of them
 PAIRS = 1 << 21      # pairs whose bits are counted at once
 _masks = None
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -257,37 +256,33 @@ def _most_bits(similarity: float, bits: int) -> int:
 
 
 def _near_edges(ids: np.ndarray, words: np.ndarray, side: np.ndarray, most: int) -> list[tuple[int, int, int]]:
-    """(u, v, bits) of near pairs: the nearest few of each row, and enough to connect what nearness connects.
+    """(u, v, bits) of near pairs: a tree of fewest bits over each component of what is near.
 
-    Rows of equal ``side`` above 0 don't meet.
+    It holds the nearest one of each row, and is the same wherever the same rows meet. Rows of equal ``side``
+    above 0 don't meet.
     """
-    n, edges, best = len(ids), set(), []
-    step = max(1, PAIRS // n)
-    linked = np.zeros(n, bool)
-    for at in range(0, n, step):
-        part = slice(at, min(n, at + step))
+    step = max(1, PAIRS // len(ids))
+    linked = np.zeros(len(ids), bool)
+    for at in range(0, len(ids), step):
+        part = slice(at, min(len(ids), at + step))
         bits = np.bitwise_count(words[part, None, :] ^ words[None, :, :]).sum(axis=2, dtype=np.uint16)
         bits[np.arange(bits.shape[0]), np.arange(part.start, part.stop)] = most + 1
         bits[(side[part, None] == side[None, :]) & (side[part, None] > 0)] = most + 1
-        rows = np.flatnonzero((bits <= most).any(axis=1))
-        linked[rows + at] = True
-        for row in rows:
-            near = np.flatnonzero(bits[row] <= most)
-            near = near[np.argsort(bits[row, near], kind="stable")[:NEAREST]]
-            best += [(row + at, int(j), int(bits[row, j])) for j in near]
-    for i, j, d in best:
-        edges.add((int(min(ids[i], ids[j])), int(max(ids[i], ids[j])), d))
-    left = np.flatnonzero(linked)
-    while len(left):    # a tree over each component
-        front, left = [left[0]], left[1:]
-        while front and len(left):
-            row = front.pop()
-            bits = np.bitwise_count(words[left] ^ words[row]).sum(axis=1)
-            near = (bits <= most) & ((side[left] != side[row]) | (side[left] == 0))
-            edges |= {(int(min(ids[i], ids[row])), int(max(ids[i], ids[row])), int(d)) for i, d in zip(left[near], bits[near])}
-            front.extend(left[near].tolist())
-            left = left[~near]
-    return list(edges)
+        linked[part] = (bits <= most).any(axis=1)
+    left, edges = np.flatnonzero(linked), []
+    reach, parent = np.full(len(left), most + 1), np.zeros(len(left), np.int64)
+    while len(left):
+        k = int(np.argmin(reach))
+        row = left[k]
+        if reach[k] <= most:
+            other = parent[k]
+            edges.append((int(min(ids[row], ids[other])), int(max(ids[row], ids[other])), int(reach[k])))
+        keep = np.arange(len(left)) != k
+        left, reach, parent = left[keep], reach[keep], parent[keep]
+        bits = np.bitwise_count(words[left] ^ words[row]).sum(axis=1)
+        closer = (bits < reach) & ((side[left] != side[row]) | (side[left] == 0))
+        reach[closer], parent[closer] = bits[closer], row
+    return edges
 
 
 def similar_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
@@ -344,8 +339,8 @@ def proven_links(candidates: DataFrame, sets: DataFrame, share: float) -> DataFr
     """(u, v) of candidates that do have ``share`` of their shingles in common, enough to connect all that do.
 
     ``sets`` has node and h, its distinct shingles. Each node's nearest candidate is looked at first; after that
-    only candidates between different components, the nearest one of each two components, then four, then
-    sixteen, until none is left.
+    only candidates between different components, the nearest one of each two components, then 16, then
+    256, until none is left.
     """
     pending, links, many = materialize(candidates), [], 0
     while True:
@@ -362,7 +357,7 @@ def proven_links(candidates: DataFrame, sets: DataFrame, share: float) -> DataFr
             pending = materialize(pending.filter("label_u <> label_v"))
             pair = [F.least("label_u", "label_v"), F.greatest("label_u", "label_v")]
             rank = F.row_number().over(Window.partitionBy(*pair).orderBy("bits", "u", "v"))
-            chosen = materialize(pending.withColumn("rank", rank).filter(F.col("rank") <= 4**many).select("u", "v"))
+            chosen = materialize(pending.withColumn("rank", rank).filter(F.col("rank") <= 16**many).select("u", "v"))
             pending = pending.drop("label_u", "label_v")
             many += 1
         if chosen.isEmpty():
