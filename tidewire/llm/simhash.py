@@ -12,7 +12,6 @@ that radius of it, so for ``t`` = 2 there are at most 2,081 of them, whatever th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -339,35 +338,24 @@ def proven_links(candidates: DataFrame, sets: DataFrame, share: float) -> DataFr
     """(u, v) of candidates that do have ``share`` of their shingles in common, enough to connect all that do.
 
     ``sets`` has node and h, its distinct shingles. Each node's nearest candidate is looked at first; after that
-    only candidates between different components, the nearest one of each two components, then 16, then
-    256, until none is left.
+    the candidates between components that these links leave apart.
     """
-    pending, links, many = materialize(candidates), [], 0
-    while True:
-        if not links:
-            both = pending.unionByName(pending.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
-            nearest = both.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("x"))
-            ends = nearest.select(F.least("u", "x.v").alias("u"), F.greatest("u", "x.v").alias("v"))
-            chosen = materialize(ends.distinct())
-        else:
-            labels = materialize(connected_components(reduce(DataFrame.unionByName, links)))
-            for end in ("u", "v"):
-                named = labels.select(F.col("node").alias(end), F.col("component").alias(f"label_{end}"))
-                pending = lookup_join(pending, named, [end]).withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-            pending = materialize(pending.filter("label_u <> label_v"))
-            pair = [F.least("label_u", "label_v"), F.greatest("label_u", "label_v")]
-            rank = F.row_number().over(Window.partitionBy(*pair).orderBy("bits", "u", "v"))
-            chosen = materialize(pending.withColumn("rank", rank).filter(F.col("rank") <= 16**many).select("u", "v"))
-            pending = pending.drop("label_u", "label_v")
-            many += 1
-        if chosen.isEmpty():
-            return reduce(DataFrame.unionByName, links) if links else chosen
-        one = chosen.join(sets.select(F.col("node").alias("u"), F.col("h").alias("h_u")), "u")
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(sets.select(F.col("node").alias("u"), F.col("h").alias("h_u")), "u")
         two = one.join(sets.select(F.col("node").alias("v"), F.col("h").alias("h_v")), "v")
         common = F.size(F.array_intersect("h_u", "h_v"))
-        alike = common >= share * (F.size("h_u") + F.size("h_v") - common)
-        links.append(materialize(two.filter(alike).select("u", "v")))
-        pending = materialize(pending.join(chosen, ["u", "v"], "left_anti"))
+        return materialize(two.filter(common >= share * (F.size("h_u") + F.size("h_v") - common)).select("u", "v"))
+
+    both = candidates.unionByName(candidates.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
+    nearest = both.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("x"))
+    first = materialize(nearest.select(F.least("u", "x.v").alias("u"), F.greatest("u", "x.v").alias("v")).distinct())
+    links = proven(first)
+    labels, rest = materialize(connected_components(links)), candidates.select("u", "v").join(first, ["u", "v"], "left_anti")
+    for end in ("u", "v"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"label_{end}"))
+        rest = lookup_join(rest, named, [end]).withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    return links.unionByName(proven(rest.filter("label_u <> label_v").select("u", "v")))
 
 
 def one_of_each(
