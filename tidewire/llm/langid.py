@@ -1,17 +1,20 @@
 """Language of a text by a string kernel, Nyström landmarks and kernel ridge regression.
 
 The kernel of two texts counts the n-grams of one to three letters that both have, over the root of
-the product of how many each has. It is taken against a fixed set of landmark texts only; these
+the product of how many each has. N-grams of any script are hashed into a fixed number of columns,
+so no letter is left out and the width doesn't grow. The kernel is taken against a fixed set of landmark texts only; these
 columns of the kernel matrix stand for the whole of it (Nyström), and one ridge regression per
 language, this one against the rest, is solved over them. Scoring a batch of texts is one product
-of their presence matrix with the landmarks' and one with the solution.
+of their presence matrix with the landmarks' and one with the solution. For the fit, tasks sum the products of
+their rows, and the driver gets matrices of the size of the landmarks only.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -23,63 +26,53 @@ from tidewire.llm.common import bucket_of, is_train, read, stored
 FOLDS, HELD_OUT = 3, 1
 FIT_ROWS = 8_000         # labelled rows that the regression is solved over, shared by the languages
 LANDMARKS = 128
-LANDMARK_LENGTH = 20_000 # longer texts serve as landmarks only where there are no others
-LETTERS = 96             # letters that are told apart; all else separates words
-NGRAMS = 8_192           # n-grams of the landmarks that are kept, by how many landmarks have them
+COLUMN_BITS = 15         # n-grams are hashed into 2 ** 15 columns
+FIT_TASKS = 8            # each gives the driver one sum of products
+SLICE = 1 << 20          # letters of a text that are hashed at a time
 RIDGE = 1e-3
 BATCH = 128
 UNKNOWN = "und"
 
 
-@dataclass
-class Ngrams:
-    """The letters and the n-grams that count, as two tables of small numbers."""
-
-    letters: np.ndarray     # code point -> 1 (separator), or 2 and up
-    places: np.ndarray      # n-gram -> column, or -1
-
-    @classmethod
-    def of(cls, texts: list[str]) -> Ngrams:
-        counts = Counter(c for t in texts for c in set(t.lower()) if c.isalpha() and len(c) == 1)
-        table = np.ones(0x110000, np.uint8)
-        for number, (letter, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LETTERS], 2):
-            for form in (letter, letter.upper(), letter.title()):
-                if len(form) == 1:
-                    table[ord(form)] = number
-        own = cls(table, np.full((LETTERS + 2) ** 3, -1, np.int32))
-        found = Counter(g for t in texts for g in np.unique(own.codes(t)).tolist())
-        kept = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:NGRAMS]
-        own.places[[g for g, _ in kept]] = np.arange(len(kept))
-        return own
-
-    def codes(self, text: str) -> np.ndarray:
-        """All n-grams of one to three; runs of other signs are one separator, ends included."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        numbers = np.concatenate(([1], self.letters[points], [1])).astype(np.int64)
-        numbers = numbers[np.concatenate(([True], (numbers[1:] != 1) | (numbers[:-1] != 1)))]
-        base = LETTERS + 2
-        two = numbers[:-1] * base + numbers[1:]
-        three = two[:-1] * base + numbers[2:]
-        return np.concatenate((numbers, two, three))
-
-    def presence(self, texts: list[str]) -> np.ndarray:
-        width = int(self.places.max()) + 1
-        out = np.zeros((len(texts), width), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            places = self.places[self.codes(text)]
-            row[places[places >= 0]] = 1
-        return out
+@cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter or a mark on one."""
+    return np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)])
+
+
+def _columns(grams: np.ndarray) -> np.ndarray:
+    mixed = (grams ^ (grams >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed >> np.uint64(64 - COLUMN_BITS)
+
+
+def presence(texts: list[str]) -> np.ndarray:
+    """Which columns hold n-grams of one to three of each whole text.
+
+    Runs of other signs are one separator, and so are both ends.
+    """
+    out = np.zeros((len(texts), 1 << COLUMN_BITS), np.float32)
+    one, two = np.uint64(21), np.uint64(42)
+    for row, text in zip(out, texts, strict=True):
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        signs = np.concatenate(([0], np.where(_letters()[points], points, 0), [0])).astype(np.uint32)
+        signs = signs[np.concatenate(([True], (signs[1:] != 0) | (signs[:-1] != 0)))]
+        for at in range(0, len(signs), SLICE):
+            codes = signs[at : at + SLICE + 2].astype(np.uint64) + np.uint64(1)
+            row[_columns(codes)] = 1
+            row[_columns(codes[:-1] << one | codes[1:])] = 1
+            row[_columns(codes[:-2] << two | codes[1:-1] << one | codes[2:])] = 1
+    return out
 
 
 @dataclass
 class Classifier:
-    ngrams: Ngrams
-    landmarks: np.ndarray       # n-grams x landmarks, each column over the root of its size
+    landmarks: np.ndarray       # columns x landmarks, each over the root of its size
     solution: np.ndarray        # landmarks x languages
     languages: list[str]
 
     def kernel(self, texts: list[str]) -> np.ndarray:
-        rows = self.ngrams.presence(texts)
+        rows = presence(texts)
         sizes = np.maximum(rows.sum(axis=1, keepdims=True), 1)
         return (rows @ self.landmarks) / np.sqrt(sizes)
 
@@ -96,8 +89,11 @@ class Classifier:
         return pd.DataFrame({"lang_pred": names, "score": scores})
 
 
-def _fit_rows(docs: DataFrame, bound: int) -> DataFrame:
-    """(text, lang) of at most about ``bound`` usable rows, the same number of each language."""
+def _fit_rows(docs: DataFrame, bound: int, key: str) -> DataFrame:
+    """(text, lang) of at most about ``bound`` usable rows, the same number of each language.
+
+    Rows are chosen by key and text, so that the copies of one text aren't all in or all out.
+    """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not counts:
@@ -105,43 +101,68 @@ def _fit_rows(docs: DataFrame, bound: int) -> DataFrame:
     each = max(1, bound // len(counts))
     parts = [x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1_000_000, each * 1_000_000 // n)))]
     share = F.element_at(F.create_map(*parts), F.col("lang"))
-    return usable.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text", "lang")
+    place = F.pmod(F.xxhash64(F.col(key).cast("string"), "text"), F.lit(1_000_000))
+    return usable.filter(place < share).select("text", "lang")
 
 
-def fit(docs: DataFrame, bound: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Classifier:
-    """Learn from (text, lang) rows. The rows used, the landmarks and the kernel columns are bounded."""
-    rows = stored(_fit_rows(docs, bound), "langid")
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    if not languages:
-        return Classifier(Ngrams.of([]), np.zeros((0, 0)), np.zeros((0, 0)), [])
-    each = max(1, landmarks // len(languages))
-    order = Window.partitionBy("lang").orderBy(F.length("text") > LANDMARK_LENGTH, F.xxhash64("text", F.lit(1)))
-    chosen = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= each)
-    texts = [r["text"] for r in chosen.orderBy("lang", "rank").select("text").collect()]
-    ngrams = Ngrams.of(texts)
-    presence = ngrams.presence(texts)
-    own = (presence / np.sqrt(np.maximum(presence.sum(axis=1, keepdims=True), 1))).T.copy()
-    model = Classifier(ngrams, own, np.zeros((0, 0)), languages)
-
-    def columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _landmarks(rows: DataFrame, each: int) -> np.ndarray:
+    """Columns x landmarks: ``each`` different texts of every language, in the order of their hashes."""
+    marked = rows.withColumn("mark", F.xxhash64("text", F.lit(1)))
+    order = Window.partitionBy("lang").orderBy("mark")
+    ranked = marked.select("lang", "mark").distinct().withColumn("rank", F.row_number().over(order))
+    chosen = marked.join(F.broadcast(ranked.filter(F.col("rank") <= each)), ["lang", "mark"]).dropDuplicates(["lang", "rank"])
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            names, found = batch["lang"].tolist(), batch["text"].tolist()
-            for at in range(0, len(found), BATCH):
-                values = model.kernel(found[at : at + BATCH])
-                yield pd.DataFrame({"lang": names[at : at + BATCH], "k": list(values.astype(np.float64))})
+            for at in range(0, len(batch), BATCH):
+                part = batch.iloc[at : at + BATCH]
+                held = [np.flatnonzero(row) for row in presence(part["text"].tolist())]
+                yield pd.DataFrame({"lang": part["lang"].tolist(), "rank": part["rank"].tolist(), "held": held})
+
+    found = chosen.select("lang", "rank", "text").mapInPandas(places, "lang string, rank int, held array<int>")
+    held = [r["held"] for r in sorted(found.collect(), key=lambda r: (r["lang"], r["rank"]))]
+    own = np.zeros((1 << COLUMN_BITS, len(held)), np.float32)
+    for number, columns in enumerate(held):
+        own[columns, number] = 1 / np.sqrt(max(1, len(columns)))
+    return own
+
 
-    known = rows.repartition(8).mapInPandas(columns, "lang string, k array<double>").toPandas()
-    values = np.stack(known["k"].to_numpy())
+def fit(docs: DataFrame, bound: int = FIT_ROWS, landmarks: int = LANDMARKS, key: str = "doc_id") -> Classifier:
+    """Learn from (key, text, lang) rows. The rows used, the landmarks and the kernel columns are bounded.
+
+    A language counts the same however many of its rows are used; repeated rows are used as often as
+    they are there. Rows without a language or a letter are left out.
+    """
+    rows = stored(_fit_rows(docs, bound, key), "langid")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counts)
+    if not languages:
+        return Classifier(np.zeros((1 << COLUMN_BITS, 0), np.float32), np.zeros((0, 0)), [])
+    own = _landmarks(rows, max(1, landmarks // len(languages)))
+    model = Classifier(own, np.zeros((0, 0)), languages)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    width = own.shape[1]
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram, cross = np.zeros((width, width)), np.zeros((width, len(languages)))
+        for batch in batches:
+            names, texts = batch["lang"].to_numpy(), batch["text"].tolist()
+            for at in range(0, len(texts), BATCH):
+                part = names[at : at + BATCH]
+                values = shared.value.kernel(texts[at : at + BATCH]).astype(np.float64)
+                weighted = values / np.array([counts[n] for n in part])[:, None]
+                gram += weighted.T @ values
+                cross += weighted.T @ np.where(part[:, None] == np.array(languages, dtype=object)[None, :], 1.0, -1.0)
+        yield pd.DataFrame({"gram": [gram.ravel()], "cross": [cross.ravel()]})
+
+    parts = rows.repartition(FIT_TASKS).mapInPandas(sums, "gram array<double>, cross array<double>").collect()
+    gram = np.sum([np.array(r["gram"]) for r in parts], axis=0).reshape(width, width)
+    cross = np.sum([np.array(r["cross"]) for r in parts], axis=0).reshape(width, len(languages))
     # K = C W^-1 C' : features C W^-1/2, then ridge regression on +1 / -1 for each language
     inner, vectors = np.linalg.eigh((own.T @ own).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(inner, 1e-6 * inner.max())) @ vectors.T
-    features = values @ root
-    wanted = np.where(known["lang"].to_numpy()[:, None] == np.array(languages)[None, :], 1.0, -1.0)
-    # languages differ in rows that were found: each counts the same
-    weight = np.array([1 / n for n in known.groupby("lang")["lang"].transform("size")])[:, None]
-    gram = features.T @ (weight * features) + RIDGE * np.eye(features.shape[1])
-    solution = root @ np.linalg.solve(gram, features.T @ (weight * wanted))
-    return Classifier(ngrams, own, solution.astype(np.float32), languages)
+    solution = root @ np.linalg.solve(root @ gram @ root + RIDGE * np.eye(width), root @ cross)
+    return Classifier(own, solution.astype(np.float32), languages)
 
 
 def with_language(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
