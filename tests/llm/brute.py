@@ -86,6 +86,51 @@ def secrets(text: str) -> list[tuple[str, int, int]]:
     return [(k, s, e) for s, _, k, e in sorted(found)]
 
 
+def battery(token: str) -> tuple[int, float | None]:
+    """Length without padding, and the sum of squares of the three statistics (None if a test rejects)."""
+    bare = token.replace("-", "+").replace("_", "/").rstrip("=")
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    if bare.isdigit():
+        alphabet = "0123456789"
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", bare):
+        alphabet, bare = "0123456789abcdef", bare.lower()
+    else:
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" if re.fullmatch("[A-Z2-7]+", bare) else b64
+    a, n, x = len(alphabet), len(bare), np.array([alphabet.index(c) for c in bare], float)
+    chi = sum(bare.count(c) ** 2 for c in set(bare)) * a / n - n
+    chi = max(0.0, (chi - (a - 1)) / np.sqrt(2 * (a - 1) * (n - 1) / n))
+    high = x >= a / 2
+    both = 2 * high.sum() * (n - high.sum())
+    variance = both * (both - n) / (n * n * (n - 1))
+    runs = ((high[1:] != high[:-1]).sum() - both / n) / np.sqrt(variance) if variance > 0 else 99.0
+    d = x - x.mean()
+    serial = ((d[1:] @ d[:-1]) / (d @ d) + 1 / n) * np.sqrt(n) if d @ d > 0 else 99.0
+    total = chi**2 + runs**2 + serial**2
+    return n, total if max(chi, abs(runs), abs(serial)) < 3.3 and total < 16.3 else None
+
+
+def random_tokens(texts: list[str], rate: float = 0.05) -> set[str]:
+    """Tokens outside base spans that are found at the false discovery rate, p-values ranked one by one."""
+    decoys: dict[str, tuple[int, float]] = {}
+    others: dict[str, tuple[int, float]] = {}
+    for text in texts:
+        base = secrets(text)
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])", text):
+            if any(s < m.end() and m.start() < e for _, s, e in base):
+                continue
+            n, total = battery(m.group())
+            word = re.fullmatch("[A-Z]?[a-z]+|[A-Z]+", m.group())
+            (decoys if word else others)[m.group()] = min(n // 8, 16), np.inf if total is None else np.floor(total * 64)
+    found = set()
+    for group in {g for g, _ in others.values()}:
+        words = [x for g, x in decoys.values() if g <= group]
+        own = {t: x for t, (g, x) in others.items() if g == group}
+        ps = {t: (1 + sum(w <= x for w in words)) / (1 + len(words)) for t, x in own.items() if x < np.inf}
+        bound = max((own[t] for t, p in ps.items() if p * len(own) <= rate * sum(own[u] <= own[t] for u in ps)), default=-1)
+        found |= {t for t in ps if own[t] <= bound}
+    return found
+
+
 def spans_text(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 

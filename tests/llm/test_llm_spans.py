@@ -1,5 +1,5 @@
 import pytest
-from brute import digest, personal_data, secrets, spans_text
+from brute import digest, personal_data, random_tokens, secrets, spans_text
 
 from tidewire.llm import pii
 from tidewire.llm import secrets as keys
@@ -66,6 +66,39 @@ def test_battery_tells_keys_from_words(spark):
     assert all(tuple(found[i]["spans"][0]) == ("random", 4, 4 + len(made[i])) for i in hits if i < 200)
 
 
+def made_tokens(seed):
+    import random
+    rng = random.Random(seed)
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789", "0123456789ABCDEF"]
+    made = ["".join(rng.choices(k, k=rng.randint(20, 150))) for k in kinds for _ in range(30)]
+    words = ["".join(rng.choices(["ther", "ing", "tion", "on", "er", "an", "q", "xv", "zhu", "kiw"], k=rng.randint(8, 30))) for _ in range(250)]
+    slugs = [f"release-{i}-of-the-{i % 7}-series-of-tests/{'ab' * (i % 9)}" for i in range(60)]
+    return made, words, slugs
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_added_secrets_equal_brute_force(spark, seed):
+    made, words, slugs = made_tokens(seed)
+    texts = [f"so {t} here, {u}" for t, u in zip(made + words + slugs, (words + slugs + made), strict=True)] + ["token=" + made[0], "", "x"]
+    wanted = random_tokens(texts)
+    assert len(wanted & set(made)) > 60 and len(wanted - set(made)) <= 0.1 * len(wanted)
+    for row in keys.find_secrets(rows(spark, texts).repartition(7)).collect():
+        got = {row["text"][s["start"] : s["end"]] for s in row["spans"] if s["kind"] == "random"}
+        assert got == {t for t in row["text"].replace(",", " ").split() if t in wanted and not t.startswith("token=")}
+
+
+def test_copies_change_no_secret(spark):
+    made, words, slugs = made_tokens(3)
+    texts = [f"so {t} here" for t in made + words + slugs]
+
+    def found(more):
+        got = keys.find_secrets(rows(spark, texts + more)).filter(f"doc_id < {len(texts)}")
+        return {r["doc_id"]: spans_text([tuple(s) for s in r["spans"]]) for r in got.collect()}
+
+    alone = found([])
+    assert any(alone.values()) and alone == found([f"so {slugs[0]} here"] * 3000) == found([f"so {made[0]} here"] * 3000)
+
+
 def test_digest_is_that_of_the_listed_spans(spark):
     from tidewire.llm.spans import digest as of
     from pyspark.sql import functions as F

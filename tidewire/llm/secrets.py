@@ -6,9 +6,11 @@ chi-squared uniformity of the counts, the runs above and below the middle, and t
 neighbours. A token passes where no test and no sum of them rejects draws at random.
 
 Short tokens pass easily, so passing alone means little. Tokens that hold letters of one case and
-no digit are ordinary words (decoys). For each class of length the share of decoys that pass tells
-how many of the passing tokens are expected to be words; a class is believed only where that false
-discovery rate is low. Both are counted over the whole table. All of it runs in DataFrame functions.
+no digit are ordinary words (decoys). The sum of squares of the three statistics says how random a
+token looks; its p-value is the share of decoys, of its class of length and all shorter ones, that look as
+random. Within each class of length the p-values are controlled by Benjamini and Hochberg's rule.
+Every different token counts once for the whole table, so copies change nothing. All of it runs in
+DataFrame functions; the driver gets the counts of a bounded number of steps of that sum.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SINGLE, TOTAL = 3.3, 16.3    # limits of one test, and of the sum of squares (ab
 FAR = 99.0                   # a statistic of tokens that are no draws at all
 LENGTH_CLASS = 8             # tokens are classed by length in steps of this
 LONGEST_CLASS = 16           # the last class holds all longer tokens
+STEPS = 64                   # steps in which the sum of squares is told apart, per unit
+LAST_STEP = int(TOTAL * STEPS) + 1    # of tokens that don't pass
 
 # The base rules; letters of the first may be of either case.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -156,28 +160,42 @@ def length_class(n: Column) -> Column:
     return F.least(F.floor(n / LENGTH_CLASS), F.lit(LONGEST_CLASS)).cast("int")
 
 
-def believed_classes(tested: DataFrame, rate: float) -> list[int]:
-    """The classes of length in which words make at most ``rate`` of the tokens that pass.
+def step_of(b: Column) -> Column:
+    """The sum of squares of a token that passes, in steps; ``LAST_STEP`` for all others."""
+    high = F.greatest(b["chi"], F.lit(0.0))
+    total = high * high + b["runs"] * b["runs"] + b["serial"] * b["serial"]
+    return F.when(passes(b), F.floor(total * STEPS)).otherwise(F.lit(LAST_STEP)).cast("int")
+
+
+def cut_steps(tested: DataFrame, rate: float) -> dict[int, int]:
+    """For each class of length, the last step whose tokens are believed; classes without one are missing.
 
-    ``tested`` has class, passed and decoy, one row per token. The chance of a word to pass is the
-    smoothed share of decoys that do, over this class and all shorter ones: longer words pass less,
-    so that overstates it. There are ``LONGEST_CLASS`` + 1 classes at most.
+    ``tested`` has mark, class, step and decoy, one row per occurrence of a token; each mark counts
+    once. The p-value of a step is the smoothed share of decoys up to it, over this class and
+    all shorter ones: longer words look less random, so that overstates it. With m tokens that are no decoys in a
+    class, r of them up to a step, the step is believed if p * m / r is at most ``rate``; so are all before the last
+    such. A class with fewer than 1 / ``rate`` decoys believes none. There are ``LONGEST_CLASS`` + 1
+    classes of ``LAST_STEP`` + 1 steps at most.
     """
-    counts = tested.groupBy("class").agg(
-        F.count_if(F.col("decoy")).alias("words"),
-        F.count_if(F.col("decoy") & F.col("passed")).alias("lucky"),
-        F.count_if(~F.col("decoy") & ~F.col("passed")).alias("failed"),
-        F.count_if(~F.col("decoy") & F.col("passed")).alias("found"),
+    tokens = tested.groupBy("mark").agg(F.first("class").alias("class"), F.first("step").alias("step"), F.first("decoy").alias("decoy"))
+    counts = tokens.groupBy("class", "step").agg(
+        F.count_if(F.col("decoy")).alias("words"), F.count_if(~F.col("decoy")).alias("others")
     )
-    words = lucky = 0
-    believed = []
-    for row in sorted(counts.collect()):
-        words, lucky = words + row["words"], lucky + row["lucky"]
-        chance = (lucky + 0.5) / (words + 1)
-        expected = row["failed"] * chance / (1 - min(chance, 0.999))
-        if row["found"] and expected <= rate * row["found"]:
-            believed.append(row["class"])
-    return believed
+    by_class: dict[int, dict[int, tuple[int, int]]] = {}
+    for row in counts.collect():
+        by_class.setdefault(row["class"], {})[row["step"]] = (row["words"], row["others"])
+    words = [0] * (LAST_STEP + 1)
+    cuts = {}
+    for name in sorted(by_class):
+        for step, (n, _) in by_class[name].items():
+            words[step] += n
+        decoys, others = sum(words), sum(n for _, n in by_class[name].values())
+        lucky = found = 0
+        for step in range(LAST_STEP):
+            lucky, found = lucky + words[step], found + by_class[name].get(step, (0, 0))[1]
+            if found and (lucky + 1) / (decoys + 1) * others <= rate * found:
+                cuts[name] = step
+    return cuts
 
 
 def _proposals(docs: DataFrame, text: str) -> DataFrame:
@@ -196,8 +214,8 @@ def _proposals(docs: DataFrame, text: str) -> DataFrame:
         return _let(
             battery(m["text"]),
             lambda b: F.struct(
-                m["start"].alias("start"), m["end"].alias("end"), length_class(b["n"]).alias("class"),
-                passes(b).alias("passed"), is_decoy(m["text"]).alias("decoy"),
+                m["start"].alias("start"), m["end"].alias("end"), F.xxhash64(m["text"]).alias("mark"),
+                length_class(b["n"]).alias("class"), step_of(b).alias("step"), is_decoy(m["text"]).alias("decoy"),
             ),
         )
 
@@ -223,14 +241,15 @@ def find_secrets(
 
     ``base`` is by start, then kind; ``spans`` holds it and the tokens that the battery finds, of
     kind "random", in the same order. A token that overlaps a base span adds nothing. A null text
-    counts as empty and has no spans; repeated rows get equal results. The classes of length come
-    from all tokens of the table; without tokens nothing is added.
+    counts as empty and has no spans; repeated rows get equal results. What is believed comes from
+    the different tokens of the whole table; without tokens nothing is added.
     """
     narrow = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     proposed = _proposals(narrow, "_text")
-    tested = proposed.filter(F.col("tokens").isNotNull()).select(F.explode("tokens").alias("t")).select("t.class", "t.passed", "t.decoy")
-    believed = F.array(*[F.lit(c) for c in believed_classes(tested, rate)]).cast("array<int>")
-    good = F.filter("tokens", lambda m: m["passed"] & ~m["decoy"] & F.array_contains(believed, m["class"]))
+    tested = proposed.filter(F.col("tokens").isNotNull()).select(F.explode("tokens").alias("t")).select("t.mark", "t.class", "t.step", "t.decoy")
+    cuts = cut_steps(tested, rate)
+    last = F.array(*[F.lit(cuts.get(c, -1)) for c in range(LONGEST_CLASS + 1)])
+    good = F.filter("tokens", lambda m: ~m["decoy"] & (m["step"] <= F.get(last, m["class"])))
     extra = F.coalesce(as_spans(EXTRA, good), F.array().cast(SPAN))
     return proposed.select(
         F.col("_key").alias(key),
