@@ -47,6 +47,57 @@ def test_trees_add_a_number_that_runs_into_the_next(spark):
     assert all(found[i]["spans"] == found[i]["base"] for i in range(300, 600))
 
 
+def luhn_number(rng, digits, wrong=0):
+    from brute import luhn
+    bare = "".join(rng.choices("0123456789", k=digits - 1))
+    return next(bare + str((d + wrong) % 10) for d in range(10) if luhn(bare + str(d)))
+
+
+def planted(seed):
+    """(text, (kind, start, end) of personal data that no base rule finds, or None)."""
+    import random
+    rng = random.Random(seed)
+    out = []
+    for i in range(400):
+        n, four = luhn_number(rng, 16), lambda x: " ".join(x[k : k + 4] for k in range(0, 16, 4))
+        out.append((f"my card {four(n)} is mine", None))
+        out.append((f"order {four(luhn_number(rng, 16, 1 + i % 9))} came", None))
+        out.append((f"call +1 ({200 + i}) 555-{1000 + i}, mail me{i}@site{i % 7}.org or ip {i % 256}.{i % 200}.1.9", None))
+        out.append((f"sum +1 {i % 90} and v {300 + i}.1.2.{i}", None))
+    for i in range(20):
+        n = luhn_number(rng, 16)
+        number = " ".join(n[k : k + 4] for k in range(0, 16, 4))
+        out.append((f"my card {number} {2000 + i} x", ("card", 8, 27)))
+        out.append((f"order {number} {2000 + i} x", None))
+        phone = f"+1 ({400 + i}) 555-{2000 + i}"
+        out.append((f"call {phone} 20{i:02} {1000 + i}", ("phone", 5, 5 + len(phone))))
+        spelled = f"ann{i} [at] site [dot] org"
+        out.append((f"mail {spelled} now", ("email", 5, 5 + len(spelled))))
+    return out
+
+
+def added(row):
+    return {tuple(s) for s in row["spans"]} - {tuple(s) for s in row["base"]}
+
+
+def test_added_personal_data_is_what_was_planted(spark):
+    texts = planted(1)
+    found = {r["doc_id"]: added(r) for r in pii.find_personal_data(rows(spark, [t for t, _ in texts])).collect()}
+    wanted = {(i, s) for i, (_, s) in enumerate(texts) if s}
+    got = {(i, s) for i, spans in found.items() for s in spans}
+    assert len(got & wanted) >= 0.9 * len(wanted) and len(got & wanted) >= 0.9 * len(got), (len(got), len(wanted), got - wanted)
+
+
+def test_spans_do_not_depend_on_partitions_or_repeats(spark):
+    docs = rows(spark, [t for t, _ in planted(2)])
+
+    def spans(df):
+        return {(r["doc_id"], spans_text([tuple(s) for s in r["spans"]])) for r in pii.find_personal_data(df).collect()}
+
+    alone = spans(docs.repartition(1))
+    assert alone == spans(docs.repartition(8)) == spans(docs.unionAll(docs.filter("doc_id = 3")))
+
+
 def test_redacted_text(spark):
     found = pii.find_personal_data(rows(spark, ["é a@b.cd and 1.2.3.4!", "none"]))
     assert sorted(r[0] for r in found.select(pii.redact(found)).collect()) == ["none", "é [email] and [ip]!"]

@@ -2,9 +2,10 @@
 
 Base spans are those of four fixed rules. Further generators propose whatever has the shape of
 such data, with or without a base span at the same place: a card among other numbers, a telephone
-number that runs into the next number, an address spelled with "at". Trees learn from the base
-proposals that pass or fail their checks which format and context make personal data, and select
-the further spans whose calibrated chance is high. All of it runs in DataFrame functions.
+number that runs into the next number, an address spelled with "at". Trees learn from the proposals that pass or fail
+their checks (check sum, parts, number of digits) which format and context such data have. The checks
+give the labels only and are no features, so the trees are an opinion of their own: a further proposal that passes its
+check is added where its calibrated chance, from format and context, is high too. All of it runs in DataFrame functions.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from tidewire.llm.spans import MATCH, SPAN, as_spans, digest, fit_selector, over
 KINDS = ("email", "ip", "card", "phone")
 FIT_DOCUMENTS = 40_000     # documents whose proposals the trees are fitted on
 CERTAINTY = 0.95
-LONG = 60                  # longer proposals than this keep the features of this length
 
 # The base rules. Two of them are matched in a text in which single characters that
 # can't belong to a match are overwritten, so that runs of one character class are enough and no
@@ -36,6 +36,7 @@ MORE = {
     "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
     "ip": r"(?<![0-9])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])",
 }
+SPELLED_AT, SPELLED_DOT = r" ?[\[(]at[\])] ?", r" ?[\[(]dot[\])] ?"
 WORDS_BEFORE = r"(?i)(e-?mail|mail|contact|tel|phone|call|mobil|card|karte|tarjeta|carte|visa|ip|host|addr)\W*$"
 DIGITS_ONLY = r"[^0-9]"
 
@@ -72,28 +73,31 @@ CHECKS = {
 }
 
 
+VALID = CHECKS | {"card": lambda t: luhn_ok(_digits(t))}    # of further proposals; their pattern bounds the digits
+
+
 def _features(kind: str, m: Column) -> Column:
-    """Format and context of one proposal. The card check sum is one of them, not the rule."""
-    text = F.left(m["text"], F.lit(LONG))
-    digits = _digits(text)
+    """Format and context of one whole proposal, without anything its check looks at.
+
+    An address that is spelled out has the format of the address it spells.
+    """
+    text = m["text"]
+    if kind == "email":
+        text = F.regexp_replace(F.regexp_replace(text, SPELLED_AT, "@"), SPELLED_DOT, ".")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     last = F.right(m["before"], F.lit(1))
     first = F.left(m["after"], F.lit(1))
     return F.array(
         F.lit(float(KINDS.index(kind))),
-        F.length(m["text"]).cast("double"),
-        F.length(_digits(m["text"])).cast("double"),
+        F.length(text).cast("double"),
         F.length(F.regexp_replace(text, "[A-Za-z0-9]", "")).cast("double"),
         F.size(F.array_distinct(F.split(text, ""))).cast("double"),
-        flag(luhn_ok(digits)),
-        flag(_parts_ok(text)) if kind == "ip" else F.lit(0.0),
         flag(last.rlike("[A-Za-z0-9]")),
         flag(first.rlike("[A-Za-z0-9]")),
         flag(last.rlike("[.+-]")),
         flag(m["before"].rlike(WORDS_BEFORE)),
         flag(text.startswith("+")),
         flag(text.contains("(")),
-        flag(text.contains("@")),
     )
 
 
@@ -118,23 +122,31 @@ def _proposals(docs: DataFrame, text: str) -> DataFrame:
     return df.drop(mail, gaps)
 
 
-def _training_rows(proposed: DataFrame) -> DataFrame:
-    """(label, features, part): base proposals by whether they pass, further ones that fail."""
+def _training_rows(proposed: DataFrame, key: str) -> DataFrame:
+    """(label, features, part): base proposals by whether they pass, further ones that fail.
+
+    The part comes from key, kind and place, and repeated rows count once.
+    """
 
-    def labelled(kind: str, matches: Column) -> Column:
+    def labelled(kind: str, matches: Column, label: Column | None = None) -> Column:
         return F.transform(
             matches,
-            lambda m: F.struct(CHECKS[kind](m["text"]).cast("int").alias("label"), _features(kind, m).alias("features")),
+            lambda m: F.struct(
+                F.lit(kind).alias("kind"), m["start"].alias("start"),
+                (CHECKS[kind](m["text"]) if label is None else label).cast("int").alias("label"),
+                _features(kind, m).alias("features"),
+            ),
         )
 
     every = [labelled(k, F.col(f"b_{k}")) for k in KINDS]
-    every += [labelled(k, _filtered(f"m_{k}", k, passing=False)) for k in KINDS]
-    rows = proposed.select(F.explode(F.concat(*every)).alias("x")).select("x.label", "x.features")
-    return rows.withColumn("part", F.pmod(F.xxhash64("features", F.rand(3)), F.lit(10)).cast("int"))
+    every += [labelled(k, _filtered(f"m_{k}", k, VALID, passing=False), F.lit(0)) for k in KINDS]
+    rows = proposed.select(F.col(key).alias("key"), F.explode(F.concat(*every)).alias("x")).select("key", "x.*").distinct()
+    part = F.pmod(F.xxhash64(F.col("key").cast("string"), "kind", "start"), F.lit(10)).cast("int")
+    return rows.select("label", "features", part.alias("part"))
 
 
-def _filtered(matches: str, kind: str, passing: bool = True) -> Column:
-    return F.filter(matches, lambda m: CHECKS[kind](m["text"]) if passing else ~CHECKS[kind](m["text"]))
+def _filtered(matches: str, kind: str, checks: dict = CHECKS, passing: bool = True) -> Column:
+    return F.filter(matches, lambda m: checks[kind](m["text"]) if passing else ~checks[kind](m["text"]))
 
 
 def _count(kind: str) -> Column:
@@ -150,13 +162,13 @@ def find_personal_data(
     ``base`` is by kind, then start; ``spans`` holds it and what the trees add, in the same order.
     Added spans overlap no base span and, within a kind, no longer added span. A null text counts
     as empty and has no spans. Rows are independent, so repeated ones get equal results. The trees
-    are fitted on at most about ``fit_documents`` rows, chosen by the hash of the text; where those
-    hold proposals of one kind only, nothing is added.
+    are fitted on at most about ``fit_documents`` rows, chosen by the hash of key and text; where those
+    hold proposals that all pass or all fail, nothing is added.
     """
     narrow = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     share = min(1.0, fit_documents / max(1, narrow.count()))
-    chosen = narrow.filter(F.pmod(F.xxhash64("_text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    select = fit_selector(_training_rows(_proposals(chosen, "_text")), certainty)
+    chosen = narrow.filter(F.pmod(F.xxhash64(F.col("_key").cast("string"), "_text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    select = fit_selector(_training_rows(_proposals(chosen, "_text"), "_key"), certainty)
 
     proposed = _proposals(narrow, "_text")
     for kind in KINDS:
@@ -164,7 +176,7 @@ def find_personal_data(
     proposed = proposed.withColumn("_base", F.concat(*[as_spans(k, F.col(f"b_{k}")) for k in KINDS]))
 
     def chosen_of(kind: str, name: str) -> Column:
-        return F.filter(name, lambda m: select(_features(kind, m)))
+        return F.filter(name, lambda m: VALID[kind](m["text"]) & select(_features(kind, m)))
 
     added = []
     for kind in KINDS:
