@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from brute import components, unit
 
-from tidewire.llm.embedding_dedup import _nodes, embedding_duplicates, embedding_links, fit_centres
+from tidewire.llm.embedding_dedup import _near, _nodes, embedding_duplicates, embedding_links, fit_centres
 from tidewire.llm.common import materialize
 
 SCHEMA = "vec_id long, embedding array<float>, n_links string"
@@ -53,12 +53,32 @@ def test_blocks_give_the_same_counts(spark):
     nodes = _nodes(vectors, "vec_id", "embedding")
     centres = fit_centres(rows, 3)
     sums = []
-    for left, right in ((1000, 1000), (13, 29)):
-        links = materialize(embedding_links(nodes, centres, 0.9, None, left, right)).filter("u = v")
+    for block in (1000, 13):
+        links = materialize(embedding_links(nodes, centres, 0.9, None, block)).filter("u = v")
         sums.append(sorted(map(tuple, links.groupBy("u").sum("n").collect())))
     assert sums[0] == sums[1] and sums[0]
 
 
+def test_cosines_at_the_threshold_are_told_in_double_precision():
+    rng = np.random.default_rng(3)
+    one = unit(rng.normal(size=(1, 64)))
+    side = rng.normal(size=(400, 64))
+    side = unit(side - (side @ one.T) * one)
+    cosine = 0.9 + rng.uniform(-2e-8, 2e-8, size=(400, 1))
+    other = unit(cosine * one + np.sqrt(1 - cosine**2) * side)
+    exact = (one @ other.T >= 0.9)[0]
+    assert 100 < exact.sum() < 300
+    assert (_near(one, other, 0.9)[0] == exact).all()
+
+
+def test_long_vectors_make_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr("tidewire.llm.embedding_dedup.BLOCK_BYTES", 40 * 16 * 8)
+    monkeypatch.setattr("tidewire.llm.embedding_dedup.SAMPLE_BYTES", 50 * 16 * 8)
+    rows = table(4)
+    vectors = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(rows)], "vec_id int, embedding array<double>, cell string")
+    check(embedding_duplicates(vectors).collect(), rows)
+
+
 def test_odd_vectors_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -1,16 +1,17 @@
-"""Near-duplicate vectors: spherical k-means cells, and blocked cosine products inside a cell.
+"""Near-duplicate vectors: spherical k-means cells, and blocked cosine products.
 
 A vector lives in the cell of its nearest centre and visits every other cell whose boundary it is
 close to: a pair with cosine c lies 2 - 2c apart (squared), so no boundary between the two is further
-from either than the root of that. This full distance is searched, and no pair can be missed. A
-number for ``reach`` searches only so many times the root of (2 - 2c) / d, by which the two differ in
-a direction if they differ equally in all d; vectors with a few strong directions lose links by it.
-A pair that meets in both home cells is counted in the lower one only.
-
-Equal vectors are one node with a weight. A cell of many vectors is cut into blocks, and a block of
-those at home is compared with a block of residents in one task, so no task holds a whole cell. A
-task reports link counts and the edges of a
-spanning forest, never pairs.
+from either than the root of that. A pair of two cells therefore meets where the visitors of one cell
+to the other meet the visitors of the other, once. This full distance is searched, and no pair can be
+missed. A number for ``reach`` searches only so many times the root of (2 - 2c) / d, by which the two
+differ in a direction if they differ equally in all d; vectors with a few strong directions lose links by it.
+
+Equal vectors are one node with a weight. The nodes of a cell are packed into blocks of bounded rows and
+bytes, one row each, and what moves is a block or its visitors to one cell, never a row per vector. A
+task compares two blocks, so no task holds a whole cell: products in single precision, and in double
+precision whatever lies within their rounding of the threshold. It reports link counts and the edges of
+a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -21,15 +22,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tidewire.llm.common import materialize, read
 from tidewire.llm.components import connected_components
 
 SAMPLE = 20_000          # vectors the centres are fitted on
-PER_CELL = 1_000         # vectors a cell should hold, while there are under MAX_CELLS
+SAMPLE_BYTES = 64 << 20  # and their size at most, as doubles
+PER_CELL = 4_096         # vectors a cell should hold, while there are under MAX_CELLS
 MAX_CELLS = 2_048
 ROUNDS = 8
-LEFT_ROWS, RIGHT_ROWS = 1_024, 4_096    # vectors of one task: at home in a cell, and residents
+BLOCK_ROWS, BLOCK_BYTES = 4_096, 8 << 20    # a block has about so many vectors, and bytes of them as doubles
+PRODUCTS = 1 << 22       # cosines computed at a time
+OUT_BYTES = 32 << 20     # vectors handed over to Spark at a time
 ODD_CELLS = 64           # cells of the vectors that are of another length than most
 
 
@@ -69,29 +74,77 @@ def _can_link(v: str):
     return F.col(v).isNotNull() & ~odd & F.exists(v, lambda x: x != 0)
 
 
-def _with_cells(nodes: DataFrame, centres: np.ndarray, threshold: float, reach: float | None) -> DataFrame:
-    """``nodes`` with ``home`` and ``cells`` (home and visited). Other lengths have a cell of their own."""
+def _at_home(nodes: DataFrame, centres: np.ndarray) -> DataFrame:
+    """``nodes`` with ``home``, the cell of the nearest centre. Other lengths have cells of their own."""
     length = centres.shape[1]
-    apart = np.sqrt(max(0.0, 2 - 2 * threshold))
-    slack = apart if reach is None else min(apart, reach * apart / np.sqrt(length))
-    gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * slack
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             homes = -1 - batch["size"].to_numpy(np.int64) % ODD_CELLS
-            cells = [[int(h)] for h in homes]
             fits = np.flatnonzero(batch["size"].to_numpy() == length)
             if len(fits):
-                near = _unit(np.stack(batch["v"].to_numpy()[fits])) @ centres.T
-                home = np.argmax(near, axis=1)
-                visits = near[np.arange(len(fits)), home][:, None] - near <= gaps[home]
-                visits[np.arange(len(fits)), home] = True
-                for i, at in enumerate(fits):
-                    homes[at], cells[at] = home[i], np.flatnonzero(visits[i]).tolist()
-            yield batch.assign(home=homes, cells=cells)
+                homes[fits] = np.argmax(_unit(np.stack(batch["v"].to_numpy()[fits])) @ centres.T, axis=1)
+            yield batch.assign(home=homes)
+
+    return nodes.drop("low").mapInPandas(assign, nodes.drop("low").withColumn("home", F.lit(0).cast("long")).schema)
+
+
+def _unpacked(vectors: bytes, size: int, kind: str) -> np.ndarray:
+    return _unit(np.frombuffer(vectors, kind).reshape(-1, size))
+
 
-    kinds = nodes.drop("low").withColumns({"home": F.lit(0).cast("long"), "cells": F.array(F.lit(0).cast("long"))}).schema
-    return nodes.drop("low").mapInPandas(assign, kinds)
+def _blocks(placed: DataFrame, counts: DataFrame, kind: str) -> DataFrame:
+    """The nodes of each cell, hashed into its parts, and each part of one length packed into one row."""
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        packed = (np.stack(rows["v"].to_numpy()).astype(kind), rows["node"].to_numpy("<i8"), rows["n"].to_numpy("<i8"))
+        return pd.DataFrame([(*key, *(p.tobytes() for p in packed))])
+
+    dealt = placed.join(F.broadcast(counts), placed["home"] == counts["cell"])
+    part = F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
+    return dealt.groupBy("cell", "parts", "size", part.alias("part")).applyInPandas(
+        pack, "cell long, parts int, size int, part int, vectors binary, nodes binary, weights binary"
+    )
+
+
+def _visitors(blocks: DataFrame, centres: np.ndarray, slack: float, kind: str) -> DataFrame:
+    """What of each block visits each other cell: (lo, hi, side, other, size, part, vectors, nodes, weights).
+
+    ``lo`` and ``hi`` are the two cells; side 0 is at home in ``lo``. A cell is visited by those for which
+    its centre is no further behind their own than ``slack`` lets a neighbour be.
+    """
+    gaps = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T)) * slack + 1e-9
+    names = ["lo", "hi", "side", "other", "size", "part", "vectors", "nodes", "weights"]
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, held = [], 0
+        for batch in batches:
+            for cell, size, part, vectors, nodes, weights in zip(
+                *(batch[c] for c in ("cell", "size", "part", "vectors", "nodes", "weights")), strict=True
+            ):
+                near = _unpacked(vectors, size, kind) @ centres.T
+                visits = near[:, [cell]] - near <= gaps[cell]
+                visits[:, cell] = False
+                raw, ids, ns = np.frombuffer(vectors, kind).reshape(-1, size), *(np.frombuffer(x, "<i8") for x in (nodes, weights))
+                for other in np.flatnonzero(visits.any(axis=0)):
+                    own = visits[:, other]
+                    packed = raw[own].tobytes()
+                    out.append((
+                        min(cell, other), max(cell, other), int(cell > other), other, size, part,
+                        packed, ids[own].tobytes(), ns[own].tobytes(),
+                    ))
+                    held += len(packed)
+                    if held > OUT_BYTES:
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    fitting = blocks.filter((F.col("cell") >= 0) & (F.col("size") == centres.shape[1]))
+    return fitting.mapInPandas(
+        visit,
+        "lo long, hi long, side int, other long, size int, part int, vectors binary, nodes binary, weights binary",
+    )
 
 
 def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFrame:
@@ -111,59 +164,77 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> pd.DataFra
     return pd.DataFrame(edges, columns=["u", "v"], dtype="int64")
 
 
-def _tile(key: tuple, rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Link counts and forest edges between some vectors at home in a cell and some residents.
+def _near(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which unit rows have a cosine of ``threshold`` or more, as products in double precision say."""
+    near = left.astype(np.float32) @ right.astype(np.float32).T
+    rounding = (left.shape[1] + 8) * 2.0**-23
+    linked = near >= threshold
+    unsure, others = np.nonzero(np.abs(near - np.float32(threshold)) <= rounding)
+    step = max(1, PRODUCTS // left.shape[1])
+    for at in range(0, len(unsure), step):
+        i, j = unsure[at : at + step], others[at : at + step]
+        linked[i, j] = np.einsum("ij,ij->i", left[i], right[j]) >= threshold
+    return linked
 
-    A pair of which both are at home shows twice in the cell, once from either side, and counts for
-    the left one each time. A visitor shows on the right only: it counts for both, unless the pair
-    also meets in the visitor's home and that is the lower cell.
-    """
-    cell = key[0]
-    one, two = rows[rows["side"] == 0], rows[rows["side"] == 1]
-    if one.empty or two.empty:
+
+def _tile(rows: pd.DataFrame, threshold: float, kind: str) -> pd.DataFrame:
+    """Link counts and forest edges between the two blocks of a tile, or inside its only one."""
+    rows = rows.sort_values("side")
+    size = int(rows["size"].iloc[0])
+    units = [_unpacked(v, size, kind) for v in rows["vectors"]]
+    nodes, weights = ([np.frombuffer(x, "<i8") for x in rows[c]] for c in ("nodes", "weights"))
+    alone = bool(rows["alone"].iloc[0])
+    if not alone and len(units) < 2:
         return pd.DataFrame({"u": [], "v": [], "n": []}, dtype="int64")
-    left, right = one["node"].to_numpy(), two["node"].to_numpy()
-    near = _unit(np.stack(one["v"].to_numpy())) @ _unit(np.stack(two["v"].to_numpy())).T >= threshold
-    near &= left[:, None] != right[None, :]
-    home = two["home"].to_numpy()
-    lower = home < cell
-    visited = one["cells"].to_numpy()
-    for i in np.flatnonzero((near & lower).any(axis=1)):
-        near[i] &= ~(lower & np.isin(home, visited[i]))
-    to_left = near @ two["n"].to_numpy()
-    to_right = np.where(home != cell, one["n"].to_numpy() @ near, 0)
-    counts = pd.DataFrame({"u": np.concatenate((left, right)), "n": np.concatenate((to_left, to_right))})
-    counts = counts[counts["n"] > 0].groupby("u", as_index=False)["n"].sum().assign(v=lambda d: d["u"])
-    edges = _forest(near, left, right).assign(n=0)
+    left, right = units[0], units[-1]
+    near = np.empty((len(left), len(right)), bool)
+    to_left, to_right = np.zeros(len(left)), np.zeros(len(right))
+    step = max(1, PRODUCTS // len(right))
+    for at in range(0, len(left), step):
+        part = slice(at, min(len(left), at + step))
+        near[part] = _near(left[part], right, threshold)
+        if alone:
+            near[np.arange(part.start, part.stop), np.arange(part.start, part.stop)] = False
+        if near[part].any():
+            linked = near[part].astype(np.float64)
+            to_left[part] = linked @ weights[-1]
+            if not alone:
+                to_right += weights[0][part] @ linked
+    counts = pd.DataFrame({"u": np.concatenate((nodes[0], nodes[-1])), "n": np.concatenate((to_left, to_right))})
+    counts = counts[counts["n"] > 0].assign(v=lambda d: d["u"])
+    own, other = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    edges = _forest(near[np.ix_(own, other)], nodes[0][own], nodes[-1][other]).assign(n=0)
     return pd.concat([counts, edges], ignore_index=True)[["u", "v", "n"]].astype("int64")
 
 
 def embedding_links(
-    nodes: DataFrame, centres: np.ndarray, threshold: float, reach: float | None,
-    left_rows: int = LEFT_ROWS, right_rows: int = RIGHT_ROWS,
+    nodes: DataFrame, centres: np.ndarray, threshold: float, reach: float | None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(u, v, n): for u = v a weight that node u links with, else an edge with n = 0."""
-    placed = materialize(_with_cells(nodes, centres, threshold, reach))
-    resident = placed.withColumn("cell", F.explode("cells"))
-    at_home = F.col("home") == F.col("cell")
+    apart = np.sqrt(max(0.0, 2 - 2 * threshold))
+    slack = apart if reach is None else min(apart, reach * apart / np.sqrt(centres.shape[1]))
+    kind = "<f4" if isinstance(nodes.schema["v"].dataType.elementType, FloatType) else "<f8"
+    placed = materialize(_at_home(nodes, centres))
     # at most MAX_CELLS + ODD_CELLS rows
-    blocks = resident.groupBy("cell").agg(
-        F.greatest(F.lit(1), F.ceil(F.count_if(at_home) / left_rows)).cast("int").alias("lefts"),
-        F.ceil(F.count("*") / right_rows).cast("int").alias("rights"),
+    parts = F.greatest(F.count("*") / block_rows, F.sum(F.col("size").cast("long")) * 8 / BLOCK_BYTES)
+    counts = materialize(placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(parts).cast("int").alias("parts")))
+    blocks = materialize(_blocks(placed, counts, kind))
+    data = ["size", "vectors", "nodes", "weights"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = blocks.withColumn("r", every("parts")).select(
+        F.col("cell").alias("lo"), F.col("cell").alias("hi"), F.least("part", "r").alias("one"),
+        F.greatest("part", "r").alias("two"), (F.col("part") > F.col("r")).cast("int").alias("side"),
+        (F.col("part") == F.col("r")).alias("alone"), *data,
+    )
+    visits = _visitors(blocks, centres, slack, kind)
+    between = visits.join(F.broadcast(counts), visits["other"] == counts["cell"]).withColumn("r", every("parts")).select(
+        "lo", "hi", F.when(F.col("side") == 0, F.col("part")).otherwise(F.col("r")).alias("one"),
+        F.when(F.col("side") == 0, F.col("r")).otherwise(F.col("part")).alias("two"), "side",
+        F.lit(False).alias("alone"), *data,
     )
-    dealt = resident.join(F.broadcast(materialize(blocks)), "cell")
-    mixed = F.xxhash64("node")
-    own_left = F.pmod(mixed, F.col("lefts")).cast("int")
-    own_right = F.pmod(F.shiftright(mixed, 20), F.col("rights")).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    tile = lambda one, two, side: F.struct(one.alias("one"), two.alias("two"), F.lit(side).alias("side"))
-    as_left = F.when(at_home, F.transform(every("rights"), lambda r: tile(own_left, r, 0)))
-    as_right = F.transform(every("lefts"), lambda r: tile(r, own_right, 1))
-    none = F.filter(as_right, lambda _: F.lit(False))
-    tiled = dealt.withColumn("t", F.explode(F.concat(F.coalesce(as_left, none), as_right)))
-    tiled = tiled.select("cell", "size", "t.one", "t.two", "t.side", "node", "home", "cells", "v", "n")
-    compare = lambda key, rows: _tile(key, rows, threshold)
-    return tiled.groupBy("cell", "size", "one", "two").applyInPandas(compare, "u long, v long, n long")
+    compare = lambda rows: _tile(rows, threshold, kind)
+    tiles = inside.unionByName(between).groupBy("lo", "hi", "size", "one", "two")
+    return tiles.applyInPandas(compare, "u long, v long, n long")
 
 
 def embedding_duplicates(
@@ -179,14 +250,16 @@ def embedding_duplicates(
     Null or zero vectors, and those with a null, NaN or infinite component, link with nothing.
     Vectors of different lengths never link. Repeated rows link with each other. A null key is
     never the smallest of a component unless it is alone; an empty table gives no rows. The centres
-    are fitted on at most ``sample`` vectors in hash order; every vector is assigned and compared.
+    are fitted on at most ``sample`` vectors in hash order (fewer if they are so long that these would pass
+    SAMPLE_BYTES); every vector is assigned and compared.
     """
     nodes = _nodes(vectors, key, vector)
     total = nodes.count()
     if total:
         length = nodes.groupBy("size").count().orderBy(F.desc("count"), "size").first()["size"]
+        sample = max(1, min(sample, SAMPLE_BYTES // (8 * length)))
         fitted = nodes.filter(F.col("size") == length).orderBy(F.xxhash64("v"), "node").limit(sample)
-        rows = np.stack([np.asarray(r["v"]) for r in fitted.select("v").collect()])
+        rows = np.array([r["v"] for r in fitted.select("v").collect()], dtype=np.float64)
         cells = min(MAX_CELLS, max(1, -(-total // PER_CELL)))
         found = materialize(embedding_links(nodes, fit_centres(rows, cells), threshold, reach))
         links = found.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("links"))
