@@ -329,7 +329,9 @@ def similar_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> Da
     low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     tiled = paired.select("anchor", low, high, "node", "one", "two", F.when(low != high, F.col("own") + 1).otherwise(0).alias("side"))
     lists = [F.collect_list(c).alias(f"{c}s") for c in ("node", "one", "two", "side")]
-    members = tiled.groupBy("anchor", "low", "high").agg(*lists).filter(F.size("nodes") > 1)
+    # dealt as narrow rows; lists of single nodes made before the shuffle would be several times as large
+    dealt = tiled.repartition("anchor", "low", "high")
+    members = dealt.groupBy("anchor", "low", "high").agg(*lists).filter(F.size("nodes") > 1)
     found = members.mapInPandas(compare, "u bigint, v bigint, bits int")
     return found.groupBy("u", "v").agg(F.min("bits").alias("bits"))
 
