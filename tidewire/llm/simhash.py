@@ -336,28 +336,32 @@ def similar_links(nodes: DataFrame, similarity: float, block: int = BLOCK) -> Da
     return found.groupBy("u", "v").agg(F.min("bits").alias("bits"))
 
 
-def proven_links(candidates: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """(u, v) of candidates that do have ``share`` of their shingles in common, enough to connect all that do.
+def proven_components(candidates: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """(node, component) of the candidates (u, v, bits) that do have ``share`` of their shingles in common.
 
     ``sets`` has node and h, its distinct shingles. Each node's nearest candidate is looked at first; after that
-    the candidates between components that these links leave apart.
+    the candidates between components that these leave apart, which are joined as nodes of a smaller graph. As
+    in ``connected_components``, the lowest id of a component names it and has no row.
     """
 
     def proven(pairs: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("node").alias("u"), F.col("h").alias("h_u")), "u")
         two = one.join(sets.select(F.col("node").alias("v"), F.col("h").alias("h_v")), "v")
         common = F.size(F.array_intersect("h_u", "h_v"))
-        return materialize(two.filter(common >= share * (F.size("h_u") + F.size("h_v") - common)).select("u", "v"))
+        return two.filter(common >= share * (F.size("h_u") + F.size("h_v") - common)).select(*pairs.columns)
 
     both = candidates.unionByName(candidates.select(F.col("v").alias("u"), F.col("u").alias("v"), "bits"))
     nearest = both.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("x"))
     first = materialize(nearest.select(F.least("u", "x.v").alias("u"), F.greatest("u", "x.v").alias("v")).distinct())
-    links = proven(first)
-    labels, rest = materialize(connected_components(links)), candidates.select("u", "v").join(first, ["u", "v"], "left_anti")
+    labels, rest = connected_components(proven(first)), candidates.select("u", "v").join(first, ["u", "v"], "left_anti")
     for end in ("u", "v"):
         named = labels.select(F.col("node").alias(end), F.col("component").alias(f"label_{end}"))
         rest = lookup_join(rest, named, [end]).withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
-    return links.unionByName(proven(rest.filter("label_u <> label_v").select("u", "v")))
+    apart = proven(rest.filter("label_u <> label_v")).select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
+    tops = connected_components(apart)
+    top = tops.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    raised = lookup_join(labels, top, ["component"], salt_by=["node"])
+    return raised.select("node", F.coalesce("top", "component").alias("component")).unionByName(tops)
 
 
 def one_of_each(
@@ -392,7 +396,7 @@ def one_of_each(
     texts = narrow.join(sources.withColumnRenamed("key", "_k"), (F.col("key").eqNullSafe(F.col("_k"))) & (narrow["digest"] == sources["digest"]))
     shingled = with_shingle_hashes(texts.select("node", "text").dropDuplicates(["node"]), "text", width, "h")
     sets = stored(shingled.select("node", F.array_distinct("h").alias("h")), "shingles")
-    components = connected_components(proven_links(candidates.select("u", "v", "bits"), sets, share))
+    components = proven_components(candidates, sets, share)
     rooted = nodes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     kept = rooted.groupBy("component").agg(F.min("low").alias("low")).select("low.key", "low.digest")
     k, d, own_digest, number = (unique_name(docs, n) for n in ("_key", "_digest", "_own", "_number"))
