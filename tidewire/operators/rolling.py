@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.operators.lookup import BROADCAST_BYTES, measured_bytes
-from tidewire.operators.tiles import TILE, TOLERANCE, DenseRows, SparseRows, assign_tiles, tile_terms
+from tidewire.operators.tiles import BUNDLE_ROWS, DENSE_ROWS, TILE, TOLERANCE, DenseRows, SparseRows, assign_tiles
 from tidewire.session import bucketed, materialize
 
 KEY = ["ticker", "ord"]
@@ -102,28 +102,29 @@ class _Flags:
         return out[self.waits | self.dropped | self.drops]
 
 
-def _dense_pairs(flags: _Flags, one: np.ndarray, two: np.ndarray, threshold: float, lookback: int) -> None:
+def _dense_pairs(
+    flags: _Flags, one: np.ndarray, two: np.ndarray, threshold: float, lookback: int, at_once: int
+) -> None:
     """Compare the rows ``one`` of a tile with the rows ``two``, in blocks."""
     frame = flags.frame
     if not len(one) or not len(two):
         return
     one_rows, two_rows = (DenseRows(frame["embedding"].iloc[at]) for at in (one, two))
-    for start, similar in one_rows.row_blocks(two_rows):
+    for start, similar in one_rows.row_blocks(two_rows, at_once):
         block = one[start:start + len(similar)]
         near = similar + TOLERANCE >= threshold
         flags.mark(block, two, near & _covers(frame.iloc[block], frame.iloc[two], lookback))
         flags.mark(two, block, near.T & _covers(frame.iloc[two], frame.iloc[block], lookback))
 
 
-def _sparse_pairs(flags: _Flags, meets: np.ndarray, threshold: float, lookback: int) -> None:
-    """Compare the pairs the index of a tile proposes. Rows of equal ``meets`` above 0 don't meet."""
+def _sparse_pairs(flags: _Flags, first_rows: int, cross: bool, threshold: float, lookback: int, at_once: int) -> None:
+    """Compare the ``first_rows`` of a tile with all later rows, or with ``cross`` with those after the first ones."""
     frame = flags.frame
     rows = SparseRows(frame["ids"], frame["ws"], threshold)
-    terms = tile_terms(frame, rows)
     day, ord_, size, status = (frame[c].to_numpy() for c in ("day", "ord", "size", "status"))
-    for i in range(len(rows)):
-        others = rows.candidates(i, terms)
-        others = others[(meets[others] != meets[i]) | (meets[others] == 0)]
+    for i, others in rows.near(first_rows, cross, at_once):
+        if not len(others):
+            continue
         first = (day[others] < day[i]) | ((day[others] == day[i]) & (ord_[others] < ord_[i]))
         late_size, early_size = np.where(first, size[i], size[others]), np.where(first, size[others], size[i])
         late_open = np.where(first, status[i], status[others]) == OPEN
@@ -142,22 +143,23 @@ def _sparse_pairs(flags: _Flags, meets: np.ndarray, threshold: float, lookback:
         (flags.dropped if status[i] == KEPT else flags.waits)[later] = True
 
 
-def compare_tile(threshold: float, lookback: int, columns: list[str]):
+def compare_tile(threshold: float, lookback: int, columns: list[str], at_once: int = DENSE_ROWS):
     """Function of one tile with its states: flags of the rows that have a pair in it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        flags = _Flags(pdf)
         cross = bool(pdf["low"].iloc[0] != pdf["high"].iloc[0])
-        in_second = (pdf["day"] // (lookback + 1) != pdf["span"]).to_numpy()
-        # Pairs within the later bucket belong to the next span, pairs within a slice to its own tile.
-        is_high = (pdf["slice"] == pdf["high"]).to_numpy()
+        # Pairs within the later bucket belong to the next span, pairs within a bundle to its own tile.
+        if cross:
+            later = (pdf["slice"] == pdf["high"]).to_numpy()
+        else:
+            later = (pdf["day"] // (lookback + 1) != pdf["span"]).to_numpy()
+        pdf = pdf.iloc[np.argsort(later, kind="stable")].reset_index(drop=True)
+        flags, first_rows = _Flags(pdf), int((~later).sum())
         if columns == ["ids", "ws"]:
-            meets = np.where(is_high, 1, 2) if cross else in_second.astype(int)
-            _sparse_pairs(flags, meets, threshold, lookback)
+            _sparse_pairs(flags, first_rows, cross, threshold, lookback, at_once)
         else:
-            one, two = (~is_high, is_high) if cross else (~in_second, np.ones(len(pdf), bool))
-            _dense_pairs(flags, np.flatnonzero(one), np.flatnonzero(two), threshold, lookback)
+            one, rows = np.arange(first_rows), np.arange(len(pdf))
+            _dense_pairs(flags, one, rows[first_rows:] if cross else rows, threshold, lookback, at_once)
         return flags.found()
 
     return run
@@ -174,7 +176,7 @@ def _tiled(
     bucket = F.floor(F.col("day") / (lookback + 1))
     spans = F.explode(F.array(bucket, bucket - 1)).alias("span")
     rows = items.select(*KEY, "day", "size", *columns, spans)
-    return assign_tiles(rows, SPAN, threshold, tile_rows)
+    return assign_tiles(rows, SPAN, threshold, tile_rows, max(tile_rows, BUNDLE_ROWS))
 
 
 FLAGS = "ticker string, ord long, waits boolean, dropped boolean, drops boolean"
@@ -238,7 +240,7 @@ def dropped_keys(
     """(ticker, ord) of the dropped articles among ``items``, and the rounds it took."""
     columns = vector_columns(items)
     tiles = bucketed(_tiled(items, columns, threshold, lookback, tile_rows), [*SPAN, *TILE])
-    run = compare_tile(threshold, lookback, columns)
+    run = compare_tile(threshold, lookback, columns, min(tile_rows, DENSE_ROWS))
     states = items.select(*KEY, F.lit(OPEN).alias("status"))
     parts, rounds = [], 0
     while True:
