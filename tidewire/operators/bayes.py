@@ -2,7 +2,8 @@
 
 Word counts are exact. A word that a ticker's labelled texts lack says nothing and is left out.
 Words and articles meet in a join by (ticker, word); the word "the" of one ticker may be in every
-article, so that side is broadcast while small and salted beyond.
+article, so that side is broadcast while small and salted beyond. The words of an article are counted where it
+lies, so beyond the broadcast each distinct word of an article is shuffled twice: to its counts, and back as numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from tidewire.functions.numbers import decode_label, encode_label
 from tidewire.functions.text import joined_text, text_or_empty
 from tidewire.operators.directional import label_override, require_same_counts
-from tidewire.operators.lookup import lookup_join
+from tidewire.operators.lookup import BROADCAST_BYTES, lookup_join, measured_bytes
+from tidewire.operators.vectors import term_counts
 from tidewire.schemas import NEWS, TRAIN, require_columns
 from tidewire.session import materialize
 
@@ -60,7 +62,9 @@ def _priors(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return of_rows.join(counts.groupBy("ticker").agg(*totals, F.count("*").alias("vocabulary")), "ticker", "left")
 
 
-def predict(news: DataFrame, rows: DataFrame, max_tokens: int | None = None) -> DataFrame:
+def predict(
+    news: DataFrame, rows: DataFrame, max_tokens: int | None = None, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """(ticker, ord, label) for every article of a ticker with rows to learn from.
 
     The score of a label is the logarithm of its share of the rows, plus that of (n + 1) / (t +
@@ -69,10 +73,16 @@ def predict(news: DataFrame, rows: DataFrame, max_tokens: int | None = None) ->
     counts = materialize(word_counts(rows, max_tokens))
     priors = materialize(_priors(rows, counts))
     key = ["ticker", "ord"]
-    texts = news.select(*key, F.explode(words(max_tokens)).alias("word")).groupBy(*key, "word").agg(
-        F.count("*").alias("times")
-    )
-    met = lookup_join(texts, counts, ["ticker", "word"], "inner", salt_by=key)
+    # stored, as the optimizer would else copy the search for words into each filter above it
+    counted = materialize(term_counts(news, found=words(max_tokens))).select(*key, F.explode("terms").alias("t"))
+    texts = counted.select(*key, F.col("t.term").alias("word"), F.col("t.tf").alias("times"))
+    on, uses = ["ticker", "word"], None
+    if measured_bytes(counts) > broadcast_bytes:    # the join has to know the words that are in many articles
+        uses = "uses"
+        counts = materialize(counts.join(texts.groupBy(*on).agg(F.count("*").alias(uses)), on))
+    met = lookup_join(texts, counts, on, "inner", broadcast_bytes, key, uses)
+    if uses:    # whole numbers go back to the articles, which are shorter than sums of logarithms
+        met = met.select(*key, "times", *[f"n{k}" for k in LABELS]).repartition(*key)
     sums = [F.sum(F.col("times") * F.ln(F.col(f"n{k}") + 1)).alias(f"s{k}") for k in LABELS]
     found = met.groupBy(*key).agg(F.sum("times").alias("length"), *sums)
     scored = lookup_join(news.select(*key), priors, ["ticker"], "inner", salt_by=["ord"])
