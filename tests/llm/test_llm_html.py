@@ -1,7 +1,10 @@
+import math
+import random
 import time
 
 import pytest
 
+from tidewire.llm import html_tree
 from tidewire.llm.html_tree import blocks_of, extract_text, low_nodes
 from pyspark.sql import functions as F
 
@@ -120,3 +123,92 @@ def test_a_teaser_beside_the_story_is_not_the_region(spark):
     teaser = '<article class="more"><p>read that too</p></article>'
     found = text_of(spark, f"<main>{story}</main>{teaser}", f"<main>{story}{teaser}</main>", f"<main><p>kicker</p><article>{story}</article></main>")
     assert found == ["the story goes on " * 19 + "the story goes on\nand ends"] * 3
+
+
+def of_one_host(spark, sources):
+    rows = [(i, "http://one.example.com/x", s, "t", 1) for i, s in enumerate(sources)]
+    found = extract_text(spark.createDataFrame(rows, SCHEMA)).orderBy("page_id").collect()
+    return [r["text"] for r in found]
+
+
+def test_places_in_a_style_are_judged_apart(spark):
+    """Before, the elements of one path were one node, and the story kept its unnamed neighbours."""
+    pages = [f"<body><div>Home News</div><div>story {i} tells of {i * 7}</div><div>All ours</div></body>" for i in range(30)]
+    other = [f"<body><div>a page {i} of</div><div>its own layout</div><p>{i}</p></body>" for i in range(3)]
+    found = of_one_host(spark, pages + other)
+    assert found[:30] == [f"story {i} tells of {i * 7}" for i in range(30)]
+    assert found[30:] == [f"a page {i} of\nits own layout\n{i}" for i in range(3)]
+
+
+def test_an_element_is_judged_with_its_styles(spark):
+    """Before, elements of two styles were never judged, as each style is on too few pages."""
+    styles = ["<p>read on</p>", "<ul><li>more</li><li>of it</li></ul>"]
+    page = lambda i, below: f"<article><p>story {i} of {i * 7}</p><div class=x7>{below}</div></article>"
+    assert of_one_host(spark, [page(i, styles[i % 2]) for i in range(12)]) == [f"story {i} of {i * 7}" for i in range(12)]
+    # one more style that differs on each page: the element is not noisy, nor are its repeated parts on enough pages
+    mixed = of_one_host(spark, [page(i, styles[i % 2] if i % 3 else f"<h2>see {i}</h2>") for i in range(12)])
+    assert mixed[0] == "story 0 of 0\nsee 0" and mixed[1] == "story 1 of 7\nmore\nof it"
+
+
+def noisy_by_definition(pages):
+    """{path of (style, place) pairs: pages} of the noisy elements; a page is a text or a list of (label, page)."""
+    def styled(page):
+        return page if isinstance(page, str) else tuple(f"#{n}" if isinstance(p, str) else n for n, p in page)
+
+    def importance(shown):
+        m = len(shown)
+        return 1.0 if m == 1 else -sum(k / m * math.log(k / m, m) for k in (shown.count(s) for s in set(shown)))
+
+    noisy = {}
+
+    def judge(at, here):
+        """(composite importance, all below noisy) of the element at ``at``, which is on the pages ``here``."""
+        shown = [styled(p) for p in here]
+        value, low = importance(shown), True
+        if not isinstance(here[0], str):
+            below = 0.0
+            for style in set(shown):
+                like = [p for p, s in zip(here, shown) if s == style]
+                found = [judge((*at, (style, i)), [p[i][1] for p in like]) for i in range(len(style))]
+                below += len(like) / len(here) * sum(v for v, _ in found) / len(found)
+                low &= all(x for _, x in found)
+            weight = 0.9 ** len(set(shown))
+            value = (1 - weight) * value + weight * below
+        low &= value < html_tree.LOW
+        if low and at:
+            noisy[at] = len(here)
+        return value, low
+
+    judge((), pages)
+    return noisy
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_composite_importance_equals_its_definition(spark, seed):
+    draw = random.Random(seed)
+
+    def furniture(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return draw.choice(["more"] * 20 + ["less"])
+        return [("div", furniture(depth - 1)) for _ in range(draw.choice([1, 2, 2, 2]))]
+
+    fixed = [furniture(3) for _ in range(3)]
+    pages = []
+    for i in range(60):
+        below = draw.choices([*fixed, furniture(2)], [8, 4, 2, 1])[0]
+        pages.append([("h1", f"title {i}"), ("section", [("p", draw.choice(["a"] * 20 + ["b"])), ("section", below)])])
+
+    def source(page):
+        return page if isinstance(page, str) else "".join(f"<{n}>{source(p)}</{n}>" for n, p in page)
+
+    rows = [("h", source(p)) for p in pages]
+    tree = html_tree.style_tree(spark.createDataFrame(rows, "host string, html string").repartition(3))
+    got = sorted(r["m"] for r in html_tree.noisy_elements(tree).collect())
+    want = noisy_by_definition(pages)
+    assert got == sorted(want.values()) and max(len(at) for at in want) > 3
+    assert any(len(at) < max(len(b) for b in want if b[: len(at)] == at) for at in want)    # some noisy inner element
+
+
+def test_few_pages_of_a_style_are_not_judged(spark):
+    pages = [f"<div>Home</div><div>story {i} of {i * 7}</div>" for i in range(5)]
+    assert of_one_host(spark, pages) == [f"Home\nstory {i} of {i * 7}" for i in range(5)]

@@ -1,12 +1,17 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree of style nodes: a node is the path of block elements
-with their classes from the body down. What a node holds on each page is a content of it. The
-importance of a node is the entropy of its contents over the pages that have it, with the number of
-these pages as base: 0 if all pages show the same, 1 if no two do. Pages count once for each distinct
-text of the region that holds their article (an ``article`` or ``main`` element, else the body), so
-the region itself has importance 1, and nodes far below it are removed from the pages of that host. Elements whose name or class states what they are
-(menus, footers, forms, adverts, comments) have no importance at all, on any host.
+The pages of a host are merged into one tree. A style node is a sequence of children with their classes that an
+element has on some pages, and an element node is a place in a style node, so pages share an element as far as
+they agree in the layouts above it. The importance of an element is the entropy of what it shows, over the pages that
+have it and with their number as base: of its styles, or of its texts if it is a leaf. It is 0 if all pages show the same, 1
+if no two do, and 1 on a single page. The composite importance takes in what is below: with l styles, (1 - g^l) times its own
+plus g^l times the mean over its styles, by pages, of the mean of their elements. An element is noisy if it and all below it
+have a composite importance under a threshold. As one more paragraph is another layout already, elements are also merged by
+their path alone, over all layouts, and judged by the entropy of their texts.
+
+Pages count once for each distinct text of the region that holds their article (an ``article`` or ``main``
+element, else the body), so no region as a whole is noisy. Noisy elements are removed from the pages of that host. Elements
+whose name or class states what they are (menus, footers, forms, adverts, comments) have no importance at all, on any host.
 """
 
 from __future__ import annotations
@@ -23,8 +28,11 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import materialize, read
 
-LEAST_PAGES = 10     # different pages of a host that a node must be on before it is judged
-LOW = 0.2            # share of the region's importance that a node must have
+LEAST_PAGES = 10     # different pages of a host that a node must be on before it is removed
+LOW = 0.2            # composite importance that a node must have
+DECAY = 0.9          # what a further style of an element takes from the weight of what is below it
+ROWS_AT_ONCE = 50_000
+TOP, BY_PATH = 1, 0  # id of the element that holds a whole page; parent of elements merged by path alone
 BROADCAST_HOSTS = 20_000
 
 # Fixed values of HTML: elements by how they nest.
@@ -63,10 +71,10 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "region")
+    __slots__ = ("tag", "label", "path", "noise", "region", "parent")
 
-    def __init__(self, tag: str, path: int, noise: bool, region: str | None):
-        self.tag, self.path, self.noise, self.region = tag, path, noise, region
+    def __init__(self, tag: str, label: str, path: int, noise: bool, region: str | None, parent: _Node | None):
+        self.tag, self.label, self.path, self.noise, self.region, self.parent = tag, label, path, noise, region, parent
 
 
 def _digest(content: str) -> int:
@@ -150,8 +158,13 @@ def blocks_of(html: str) -> list[tuple[int, str, str | None]]:
     taken is in proportion to the source, however badly it is nested or closed. ``region`` is "article" or "main" for blocks inside such an element. Comments, scripts and
     markup are gone, character references decoded, white space made one space.
     """
-    out: list[tuple[int, str, str | None]] = []
-    stack = [_Node("", 0, False, None)]
+    return [(node.path, text, region) for node, text, region in _parsed(html)]
+
+
+def _parsed(html: str) -> list[tuple[_Node, str, str | None]]:
+    """The blocks of text with the elements they stand in."""
+    out: list[tuple[_Node, str, str | None]] = []
+    stack = [_Node("", "", 0, False, None, None)]
     depths: dict[str, list[int]] = {}    # of the open elements of each name
     pieces: list[str] = []
     inline: list[str] = []      # open inline elements that are noise
@@ -160,7 +173,7 @@ def blocks_of(html: str) -> list[tuple[int, str, str | None]]:
         if pieces:
             text = " ".join(_decoded("".join(pieces)).split())
             if text and not stack[-1].noise:
-                out.append((stack[-1].path, text, stack[-1].region))
+                out.append((stack[-1], text, stack[-1].region))
             pieces.clear()
 
     def close(names: set[str] | frozenset[str], stop: frozenset[str] = frozenset()) -> None:
@@ -226,12 +239,12 @@ def blocks_of(html: str) -> list[tuple[int, str, str | None]]:
             region = "main"
         noise = parent.noise or _is_noise(name, attributes, parent.region is not None)
         depths.setdefault(name, []).append(len(stack))
-        stack.append(_Node(name, _digest(f"{parent.path}/{label}"), noise, region))
+        stack.append(_Node(name, label, _digest(f"{parent.path}/{label}"), noise, region, parent))
     flush()
     return out
 
 
-def _in_region(blocks: list[tuple[int, str, str | None]]) -> list[tuple[int, str]]:
+def _in_region(blocks: list[tuple[_Node, str, str | None]]) -> list[tuple[_Node, str]]:
     """The blocks inside articles, else inside the main element, else all.
 
     Where the main element says more beside its articles than all articles say, these are teasers and
@@ -248,36 +261,143 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def low_nodes(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
-    """(host, low): for each host that has any, the paths of its nodes of low importance.
+class _Element:
+    """An element of a page in the tree of its host; one without children is a leaf, with the texts ``texts``."""
+
+    __slots__ = ("id", "parent", "beside", "children", "style", "texts")
 
-    A page counts once for each distinct text of its region, so copies change nothing. Pages are told
-    apart by digests; a host of any size is summed before it is shuffled.
+    def __init__(self, id: int, parent: int | None, beside: int, children: int, style: int | None, texts: list[int]):
+        self.id, self.parent, self.beside, self.children = id, parent, beside, children
+        self.style, self.texts = style, texts
+
+
+def _elements(blocks: list[tuple[_Node, str]]) -> Iterator[_Element]:
+    """The elements that hold the blocks of a page, each after its parent. ``texts`` are numbers of blocks.
+
+    An element's id tells the element above it, its style there and its place in that. Text beside other
+    children is a leaf of its own.
     """
+    inside: dict[_Node, list[_Node | int]] = {}
+    for i, (node, _) in enumerate(blocks):
+        child: _Node | int = i
+        while node is not None:
+            known = node in inside
+            inside.setdefault(node, []).append(child)
+            if known:
+                break
+            child, node = node, node.parent
+
+    def is_leaf(child: _Node | int) -> bool:
+        return isinstance(child, int) or (len(inside[child]) == 1 and isinstance(inside[child][0], int))
+
+    def named(child: _Node | int) -> str:
+        return "#" if isinstance(child, int) else f"#{child.label}" if is_leaf(child) else child.label
+
+    todo: list[tuple[_Node | int, int, int | None, int]] = [(n, TOP, None, 1) for n in inside if n.parent is None]
+    while todo:
+        child, own, parent, beside = todo.pop()
+        if is_leaf(child):
+            yield _Element(own, parent, beside, 0, None, [child] if isinstance(child, int) else inside[child])
+            continue
+        below = inside[child]
+        style = _digest("\n".join(named(c) for c in below))
+        yield _Element(own, parent, beside, len(below), style, [])
+        todo += [(c, _digest(f"{own}/{style}/{i}"), own, len(below)) for i, c in enumerate(below)]
+
+
+def _kept(blocks: list[tuple[_Node, str]], low: set[int]) -> list[str]:
+    """The texts outside the elements and paths of ``low``."""
+    if not low:
+        return [t for _, t in blocks]
+    gone, dropped = set(low), set()
+    for element in _elements(blocks):
+        if element.parent in gone:
+            gone.add(element.id)
+        if element.id in gone:
+            dropped.update(element.texts)
+    return [t for i, (node, t) in enumerate(blocks) if i not in dropped and node.path not in low]
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
+
+
+def style_tree(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
+    """The merged elements of each host: (host, node, parent, beside, children, styles, m, importance).
+
+    ``parent`` is ``BY_PATH`` for elements merged by path alone, ``beside`` the elements of the style that the
+    node is one of, ``children`` those of all its styles (0: a leaf), ``m`` its pages and ``importance`` its own. A page
+    counts once for each distinct text of its region, so copies change nothing. Pages are told apart by digests; a
+    host of any size is summed before it is shuffled.
+    """
+    columns = ["host", "region", "node", "parent", "beside", "children", "shown"]
 
     def mark(texts: list[str]) -> int:
         return _digest("\n".join(texts))
 
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: set = set()
             for name, source in zip(batch[host], batch[html], strict=True):
-                blocks = _in_region(blocks_of(source or ""))
-                nodes: dict[int, list[str]] = {}
-                for path, text in blocks:
-                    nodes.setdefault(path, []).append(text)
+                blocks = _in_region(_parsed(source or ""))
+                paths: dict[int, list[str]] = {}
+                for node, text in blocks:
+                    paths.setdefault(node.path, []).append(text)
                 region = mark([t for _, t in blocks])
-                seen.update((name, path, mark(texts), region) for path, texts in nodes.items())
-            yield pd.DataFrame(list(seen), columns=["host", "path", "content", "region"])
-
-    found = pages.select(host, html).mapInPandas(contents, "host string, path long, content long, region long")
-    merged = found.distinct().groupBy("host", "path", "content").agg(F.count("*").alias("c"))
-    c = F.col("c")
-    nodes = merged.groupBy("host", "path").agg(F.sum(c).alias("m"), F.sum(c * F.log(c)).alias("s"))
-    m = F.col("m")
+                seen.update((name, region, path, BY_PATH, 1, 0, mark(texts)) for path, texts in paths.items())
+                for e in _elements(blocks):
+                    if e.parent is not None:    # the top itself is never removed
+                        content = mark([blocks[i][1] for i in e.texts]) if e.style is None else e.style
+                        seen.add((name, region, e.id, e.parent, e.beside, e.children, content))
+                if len(seen) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(list(seen), columns=columns)
+                    seen.clear()
+            yield pd.DataFrame(list(seen), columns=columns)
+
+    found = pages.select(host, html).mapInPandas(
+        shown, "host string, region long, node long, parent long, beside int, children int, shown long"
+    )
+    by_content = found.distinct().groupBy(*[c for c in columns if c != "region"]).agg(F.count("*").alias("c"))
+    c, m = F.col("c"), F.col("m")
+    merged = by_content.groupBy("host", "node", "parent", "beside").agg(
+        F.sum("children").alias("children"), F.count("*").alias("styles"), F.sum(c).alias("m"), F.sum(c * F.log(c)).alias("s")
+    )
     entropy = F.when(m > 1, (F.log(m) - F.col("s") / m) / F.log(m)).otherwise(F.lit(1.0))
-    low = nodes.filter((m >= LEAST_PAGES) & (entropy < LOW))
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
+    return merged.withColumn("importance", entropy).drop("s")
+
+
+def noisy_elements(tree: DataFrame) -> DataFrame:
+    """(host, node, m) of the elements of ``style_tree`` that are noisy, leaves first, then upwards.
+
+    What an element adds to the composite importance of its parent is (its own) * m / beside, over the parent's pages.
+    Only elements of which all children are noisy are looked at, so there is a round for each level of these alone.
+    """
+    weight = F.pow(F.lit(DECAY), F.col("styles"))
+    own = F.when(F.col("children") == 0, F.col("importance")).otherwise((1 - weight) * F.col("importance"))
+    able = materialize(tree.filter((F.col("m") > 1) & (F.col("parent") != BY_PATH) & (own < LOW)))
+    columns = ["host", "node", "parent", "beside", "m", "value"]
+    noisy = able.filter("children = 0").withColumn("value", F.col("importance")).select(*columns)
+    inner = able.filter("children > 0")
+    while not noisy.isEmpty():
+        below = noisy.groupBy("host", F.col("parent").alias("node")).agg(
+            F.count("*").alias("low_children"), F.sum(F.col("value") * F.col("m") / F.col("beside")).alias("below")
+        )
+        value = (1 - weight) * F.col("importance") + weight * F.col("below") / F.col("m")
+        found = inner.join(below, ["host", "node"]).filter("low_children = children").withColumn("value", value)
+        found = found.filter(F.col("value") < LOW).select(*columns)
+        found = materialize(found.join(noisy.select("host", "node"), ["host", "node"], "left_anti").select(*columns))
+        if found.isEmpty():
+            break
+        noisy = noisy.unionByName(found)
+    return noisy.select("host", "node", "m")
+
+
+def low_nodes(pages: DataFrame, host: str = "host", html: str = "html") -> DataFrame:
+    """(host, low): for each host that has any, its noisy elements and paths that enough pages have."""
+    tree = materialize(style_tree(pages, host, html).filter("m > 1"))
+    paths = tree.filter((F.col("parent") == BY_PATH) & (F.col("importance") < LOW)).select("host", "node", "m")
+    low = noisy_elements(tree).unionByName(paths).filter(F.col("m") >= LEAST_PAGES)
+    return low.groupBy("host").agg(F.collect_set("node").alias("low"))
 
 
 def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -297,9 +417,8 @@ def extract_text(pages: DataFrame, key: str = "page_id", url: str = "url", html:
         for sources, lows in batches:
             texts = []
             for source, low in zip(sources, lows, strict=True):
-                gone = set(low) if low is not None else ()
-                kept = [t for p, t in _in_region(blocks_of(source or "")) if p not in gone]
-                texts.append("\n".join(kept))
+                gone = set(low) if low is not None else set()
+                texts.append("\n".join(_kept(_in_region(_parsed(source or "")), gone)))
             yield pd.Series(texts, dtype="object")
 
     found = judged.select("_key", "_url", main_text("html", "low").alias("text"))
