@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from tidewire.operators import rolling, tiles
@@ -55,3 +58,32 @@ def test_similarities_held_at_once_are_bounded():
     one = tiles.DenseRows(np.ones((1000, 2)))
     two = tiles.DenseRows(np.ones((16384, 2)))
     assert max(block.size for _, block in one.row_blocks(two)) <= tiles.CELLS
+
+
+def test_a_dense_tile_takes_little_more_than_its_vectors():
+    """Before, similarities and the conditions made of them took over 40 MB a tile, more the more rows it had up to a few thousand."""
+    rng = np.random.default_rng(3)
+
+    def taken(count):
+        frame = pd.DataFrame({"ticker": "A", "ord": np.arange(count), "day": np.sort(rng.integers(0, 8, count)).astype(np.int32)})
+        frame["size"], frame["status"], frame["span"] = rng.integers(1, 50, count).astype(np.int32), 0, 0
+        for c in ("slice", "low", "high"):
+            frame[c] = 0
+        frame["embedding"] = list(rng.normal(size=(count, 8)).astype(np.float32))
+        tracemalloc.start()
+        try:
+            rolling.compare_tile(0.7, 3, ["embedding"])(frame)
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert taken(4000) - taken(1000) < 3 << 20 and taken(8000) < 12 << 20
+
+
+def test_parts_of_dense_rows_and_odd_vectors():
+    rows = tiles.DenseRows(pd.Series([[3.0, 4.0], [0.0, 0.0], [np.nan, 1.0], [0.0, 2.0]] * 600))
+    assert rows.matrix[:4].tolist() == [[0.6, 0.8], [0.0, 0.0], [0.0, 0.0], [0.0, 1.0]] and (rows.matrix[2396:] == rows.matrix[:4]).all()
+    part = rows.part(1, 4)
+    assert len(part) == 3 and part.matrix.base is not None and part.similar(2, np.array([2, 0])).tolist() == [1.0, 0.0]
+    with pytest.raises(ValueError):
+        tiles.DenseRows([[1.0, 2.0]] * tiles.DENSE_ROWS + [[1.0]])

@@ -71,28 +71,25 @@ def settle_copies(items: DataFrame, columns: list[str]) -> DataFrame:
     return items.join(records.select(*KEY), KEY, "left_semi")
 
 
-def _covers(early: pd.DataFrame, late: pd.DataFrame, lookback: int) -> np.ndarray:
-    """early x late: may the early article drop the late one, similarity aside?"""
-    def cols(frame):
-        return (frame[c].to_numpy() for c in ("day", "ord", "size", "status"))
-
-    day_e, ord_e, size_e, _ = (c[:, None] for c in cols(early))
-    day_l, ord_l, size_l, status_l = (c[None, :] for c in cols(late))
-    before = (day_e < day_l) | ((day_e == day_l) & (ord_e < ord_l))
-    return before & (day_l - day_e <= lookback) & (size_l <= size_e) & (status_l == OPEN)
-
-
 class _Flags:
     """What a tile learnt about its rows."""
 
     def __init__(self, frame: pd.DataFrame) -> None:
         self.frame = frame
+        self.day, self.ord, self.size, self.status = (frame[c].to_numpy() for c in ("day", "ord", "size", "status"))
         self.waits, self.dropped, self.drops = (np.zeros(len(frame), dtype=bool) for _ in range(3))
 
+    def covers(self, early, late, lookback: int) -> np.ndarray:
+        """early x late: may the early article drop the late one, similarity aside?"""
+        day_e, ord_e, size_e = (c[early, None] for c in (self.day, self.ord, self.size))
+        day_l, ord_l, size_l, status_l = (c[None, late] for c in (self.day, self.ord, self.size, self.status))
+        before = (day_e < day_l) | ((day_e == day_l) & (ord_e < ord_l))
+        return before & (day_l <= day_e + lookback) & (size_l <= size_e) & (status_l == OPEN)
+
     def mark(self, early, late, may: np.ndarray) -> None:
         """``may``: early x late rows of which the early one may drop the late one."""
         if may.any():
-            kept = (self.frame["status"].to_numpy()[early] == KEPT)[:, None]
+            kept = (self.status[early] == KEPT)[:, None]
             self.dropped[late] |= (may & kept).any(axis=0)
             self.waits[late] |= (may & ~kept).any(axis=0)
             self.drops[early] |= may.any(axis=1)
@@ -103,18 +100,20 @@ class _Flags:
 
 
 def _dense_pairs(
-    flags: _Flags, one: np.ndarray, two: np.ndarray, threshold: float, lookback: int, at_once: int
+    flags: _Flags, first_rows: int, cross: bool, threshold: float, lookback: int, at_once: int
 ) -> None:
-    """Compare the rows ``one`` of a tile with the rows ``two``, in blocks."""
-    frame = flags.frame
-    if not len(one) or not len(two):
+    """Compare the ``first_rows`` of a tile with all rows, or with ``cross`` with those after the first ones, in blocks."""
+    count, since = len(flags.frame), first_rows if cross else 0
+    if not first_rows or since == count:
         return
-    one_rows, two_rows = (DenseRows(frame["embedding"].iloc[at]) for at in (one, two))
-    for start, similar in one_rows.row_blocks(two_rows, at_once):
-        block = one[start:start + len(similar)]
-        near = similar + TOLERANCE >= threshold
-        flags.mark(block, two, near & _covers(frame.iloc[block], frame.iloc[two], lookback))
-        flags.mark(two, block, near.T & _covers(frame.iloc[two], frame.iloc[block], lookback))
+    rows = DenseRows(flags.frame["embedding"])
+    two = slice(since, count)
+    for start, similar in rows.part(0, first_rows).row_blocks(rows.part(since, count), at_once):
+        block = slice(start, start + len(similar))
+        similar += TOLERANCE
+        near = similar >= threshold
+        flags.mark(block, two, near & flags.covers(block, two, lookback))
+        flags.mark(two, block, near.T & flags.covers(two, block, lookback))
 
 
 def _sparse_pairs(flags: _Flags, first_rows: int, cross: bool, threshold: float, lookback: int, at_once: int) -> None:
@@ -158,8 +157,7 @@ def compare_tile(threshold: float, lookback: int, columns: list[str], at_once: i
         if columns == ["ids", "ws"]:
             _sparse_pairs(flags, first_rows, cross, threshold, lookback, at_once)
         else:
-            one, rows = np.arange(first_rows), np.arange(len(pdf))
-            _dense_pairs(flags, one, rows[first_rows:] if cross else rows, threshold, lookback, at_once)
+            _dense_pairs(flags, first_rows, cross, threshold, lookback, at_once)
         return flags.found()
 
     return run
