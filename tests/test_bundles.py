@@ -61,7 +61,7 @@ def test_similarities_held_at_once_are_bounded():
 
 
 def test_a_dense_tile_takes_little_more_than_its_vectors():
-    """Before, similarities and the conditions made of them took over 40 MB a tile, more the more rows it had up to a few thousand."""
+    """Before, similarities and the conditions made of them took 37 MB a tile of 8,000 rows."""
     rng = np.random.default_rng(3)
 
     def taken(count):
@@ -77,7 +77,7 @@ def test_a_dense_tile_takes_little_more_than_its_vectors():
         finally:
             tracemalloc.stop()
 
-    assert taken(4000) - taken(1000) < 3 << 20 and taken(8000) < 12 << 20
+    assert taken(8000) - taken(2000) < 3 << 20 and taken(8000) < 12 << 20
 
 
 def test_parts_of_dense_rows_and_odd_vectors():
