@@ -10,7 +10,8 @@ no digit are ordinary words (decoys). The sum of squares of the three statistics
 token looks; its p-value is the share of decoys, of its class of length and all shorter ones, that look as
 random. Within each class of length the p-values are controlled by Benjamini and Hochberg's rule.
 Every different token counts once for the whole table, so copies change nothing. All of it runs in
-DataFrame functions; the driver gets the counts of a bounded number of steps of that sum.
+DataFrame functions; the driver gets the counts of a bounded number of steps of that sum. Texts are searched
+once: what is found is stored, for the counts and for the result.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import read, spans_text
+from tidewire.llm.common import read, spans_text, stored
 from tidewire.llm.spans import SPAN, as_spans, digest, overlaps, with_matches
 
 KINDS = ("assign", "access", "hex")
@@ -201,10 +202,11 @@ def cut_steps(tested: DataFrame, rate: float) -> dict[int, int]:
 def _proposals(docs: DataFrame, text: str) -> DataFrame:
     """``docs`` with base spans, and the long tokens elsewhere with their test results."""
     t = F.col(text)
-    df = with_matches(docs, text, ASSIGN, t.rlike(r"(?i)(passw|secret|token|api_?key)"), "b_assign")
+    # The guards look at a place's first letter, or at what is before it, before anything else is tried there.
+    df = with_matches(docs, text, ASSIGN, t.rlike(r"(?i)(?=[psta])(passw|secret|token|api_?key)"), "b_assign")
     df = with_matches(df, text, ACCESS, t.contains("AKIA"), "b_access")
     df = with_matches(df, text, HEX, t.rlike(HEX), "b_hex")
-    df = with_matches(df, text, TOKEN, t.rlike(r"[A-Za-z0-9+/_-]{20}"), "tokens")
+    df = with_matches(df, text, TOKEN, t.rlike(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"), "tokens")
     long_enough = F.filter("b_assign", lambda m: F.length(F.regexp_extract(m["text"], ASSIGN, 2)) >= 6)
     df = df.withColumn("_base", F.concat(*[as_spans(k, c) for k, c in zip(KINDS, (long_enough, F.col("b_access"), F.col("b_hex")), strict=True)]))
     fresh = F.filter("tokens", lambda m: ~F.exists("_base", lambda b: overlaps(b, m)))
@@ -235,17 +237,19 @@ def _in_order(spans: Column) -> Column:
 
 
 def find_secrets(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = FALSE_DISCOVERIES
+    docs: DataFrame, key: str = "doc_id", text: str = "text", rate: float = FALSE_DISCOVERIES, with_text: bool = True
 ) -> DataFrame:
     """(key, text, base, spans): arrays of (kind, start, end) over the whole text of every row.
 
     ``base`` is by start, then kind; ``spans`` holds it and the tokens that the battery finds, of
     kind "random", in the same order. A token that overlaps a base span adds nothing. A null text
     counts as empty and has no spans; repeated rows get equal results. What is believed comes from
-    the different tokens of the whole table; without tokens nothing is added.
+    the different tokens of the whole table; without tokens nothing is added. ``with_text=False`` leaves the
+    text out of the result, and out of what is stored between the search and the decision.
     """
     narrow = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    proposed = _proposals(narrow, "_text")
+    texts = ["_text"] if with_text else []
+    proposed = stored(_proposals(narrow, "_text").select("_key", *texts, "_base", "tokens"), "secrets")
     tested = proposed.filter(F.col("tokens").isNotNull()).select(F.explode("tokens").alias("t")).select("t.mark", "t.class", "t.step", "t.decoy")
     cuts = cut_steps(tested, rate)
     last = F.array(*[F.lit(cuts.get(c, -1)) for c in range(LONGEST_CLASS + 1)])
@@ -253,7 +257,7 @@ def find_secrets(
     extra = F.coalesce(as_spans(EXTRA, good), F.array().cast(SPAN))
     return proposed.select(
         F.col("_key").alias(key),
-        F.col("_text").alias(text),
+        *[F.col(c).alias(text) for c in texts],
         _in_order(F.col("_base")).alias("base"),
         _in_order(F.concat(F.col("_base").cast(SPAN), extra)).alias("spans"),
     )
@@ -264,6 +268,6 @@ def _count(kind: str) -> Column:
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
-    found = find_secrets(read(spark, sf_dir, "documents"))
+    found = find_secrets(read(spark, sf_dir, "documents"), with_text=False)
     digests = digest(F.col("base")).alias("base_sha256"), spans_text(F.col("spans")).alias("spans")
     return found.select("doc_id", *map(_count, KINDS), *digests)
