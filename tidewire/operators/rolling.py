@@ -10,8 +10,9 @@ for all tickers. It compares articles of neighbouring day buckets in bounded til
 only a few flags per article, never the pairs, so a crowd of near copies costs no more output than
 its own size. Only articles with an open pair take part in the next round.
 
-The tiles with their vectors are written once, bucketed by tile. Rounds read them where they lie and
-bring keys and states to them; no vector is shuffled or stored again.
+Tiles of dense vectors are written once, bucketed by tile. Rounds read them where they lie and
+bring keys and states to them; no vector is shuffled or stored again. Sparse vectors travel packed, in waves of tiles
+whose files go before the next wave; a round ships only articles that still have an open pair.
 
 Same-day copies with the same vector are settled first, without comparing them: only one that is
 longer than all the earlier ones can survive.
@@ -25,8 +26,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.operators.lookup import BROADCAST_BYTES, measured_bytes
-from tidewire.operators.tiles import BUNDLE_ROWS, DENSE_ROWS, TILE, TOLERANCE, DenseRows, SparseRows, assign_tiles
-from tidewire.session import bucketed, materialize
+from tidewire.operators.tiles import (
+    BUNDLE_ROWS, DENSE_ROWS, TILE, TOLERANCE, DenseRows, SparseRows, assign_tiles, over_waves,
+)
+from tidewire.operators.vectors import vector_columns
+from tidewire.session import bucketed, materialize, release
 
 KEY = ["ticker", "ord"]
 THRESHOLD = 0.70
@@ -37,10 +41,6 @@ SPAN = ["ticker", "span"]
 OPEN, KEPT = 0, 1
 
 
-def vector_columns(vectors: DataFrame) -> list[str]:
-    return ["embedding"] if "embedding" in vectors.columns else ["ids", "ws"]
-
-
 def comparable_articles(news: DataFrame, vectors: DataFrame) -> DataFrame:
     """Articles that have a vector, reduced to what the comparison needs."""
     day = F.datediff(F.col("date"), F.lit("1970-01-01").cast("date"))
@@ -119,7 +119,7 @@ def _dense_pairs(
 def _sparse_pairs(flags: _Flags, first_rows: int, cross: bool, threshold: float, lookback: int, at_once: int) -> None:
     """Compare the ``first_rows`` of a tile with all later rows, or with ``cross`` with those after the first ones."""
     frame = flags.frame
-    rows = SparseRows(frame["ids"], frame["ws"], threshold)
+    rows = SparseRows.of(frame, threshold)
     day, ord_, size, status = (frame[c].to_numpy() for c in ("day", "ord", "size", "status"))
     for i, others in rows.near(first_rows, cross, at_once):
         if not len(others):
@@ -154,7 +154,7 @@ def compare_tile(threshold: float, lookback: int, columns: list[str], at_once: i
             later = (pdf["day"] // (lookback + 1) != pdf["span"]).to_numpy()
         pdf = pdf.iloc[np.argsort(later, kind="stable")].reset_index(drop=True)
         flags, first_rows = _Flags(pdf), int((~later).sum())
-        if columns == ["ids", "ws"]:
+        if columns != ["embedding"]:
             _sparse_pairs(flags, first_rows, cross, threshold, lookback, at_once)
         else:
             _dense_pairs(flags, first_rows, cross, threshold, lookback, at_once)
@@ -163,18 +163,22 @@ def compare_tile(threshold: float, lookback: int, columns: list[str], at_once: i
     return run
 
 
-def _tiled(
-    items: DataFrame, columns: list[str], threshold: float, lookback: int, tile_rows: int
-) -> DataFrame:
-    """Copies of the rows for each tile they take part in.
+def _by_span(items: DataFrame, columns: list[str], lookback: int) -> DataFrame:
+    """Each row in both of its spans.
 
     Buckets are N+1 days wide, so a pair lies in one bucket or in two neighbouring ones. A span
     holds a bucket and the next one; each row belongs to two spans.
     """
     bucket = F.floor(F.col("day") / (lookback + 1))
     spans = F.explode(F.array(bucket, bucket - 1)).alias("span")
-    rows = items.select(*KEY, "day", "size", *columns, spans)
-    return assign_tiles(rows, SPAN, threshold, tile_rows, max(tile_rows, BUNDLE_ROWS))
+    return items.select(*KEY, "day", "size", *columns, spans)
+
+
+def _tiled(
+    items: DataFrame, columns: list[str], threshold: float, lookback: int, tile_rows: int
+) -> DataFrame:
+    """Copies of the rows for each tile they take part in."""
+    return assign_tiles(_by_span(items, columns, lookback), SPAN, threshold, tile_rows, max(tile_rows, BUNDLE_ROWS))
 
 
 FLAGS = "ticker string, ord long, waits boolean, dropped boolean, drops boolean"
@@ -212,8 +216,7 @@ def finish_ticker(threshold: float, lookback: int, columns: list[str]):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["day", "ord"], ignore_index=True)
-        sparse = columns == ["ids", "ws"]
-        rows = SparseRows(pdf["ids"], pdf["ws"], threshold) if sparse else DenseRows(pdf["embedding"])
+        rows = DenseRows(pdf["embedding"]) if columns == ["embedding"] else SparseRows.of(pdf, threshold)
         kept = pdf["status"].to_numpy() == KEPT
         day, size, dropped = pdf["day"].to_numpy(), pdf["size"].to_numpy(), np.zeros(len(pdf), dtype=bool)
         for i in range(len(pdf)):
@@ -235,15 +238,25 @@ def dropped_keys(
     tile_rows: int = TILE_ROWS,
     local_rows: int = LOCAL_ROWS,
 ) -> tuple[DataFrame, int]:
-    """(ticker, ord) of the dropped articles among ``items``, and the rounds it took."""
+    """(ticker, ord) of the dropped articles among ``items``, and the rounds it took.
+
+    Sparse rows are sent to tiles anew in each round, but only those that still have an open pair.
+    """
     columns = vector_columns(items)
-    tiles = bucketed(_tiled(items, columns, threshold, lookback, tile_rows), [*SPAN, *TILE])
+    dense = columns == ["embedding"]
+    tiles = bucketed(_tiled(items, columns, threshold, lookback, tile_rows), [*SPAN, *TILE]) if dense else None
+    active = items.withColumn("status", F.lit(OPEN))
     run = compare_tile(threshold, lookback, columns, min(tile_rows, DENSE_ROWS))
     states = items.select(*KEY, F.lit(OPEN).alias("status"))
     parts, rounds = [], 0
     while True:
         rounds += 1
-        found = next_round(tiles, states, run) if rounds > 1 else first_round(tiles, run)
+        if dense:
+            found = next_round(tiles, states, run) if rounds > 1 else first_round(tiles, run)
+        else:
+            if rounds > 1:
+                active = materialize(active.drop("status").join(states, KEY))
+            found = over_waves(_by_span(active, [*columns, "status"], lookback), SPAN, tile_rows, run, FLAGS)
         flags = found.groupBy(*KEY).agg(*[F.bool_or(c).alias(c) for c in ("waits", "dropped", "drops")])
         # Rows without a flag have no open pair left: they are kept and need no further look.
         is_open = F.col("status") == OPEN
@@ -284,16 +297,19 @@ def rolling_dedup(
     tile_rows: int = TILE_ROWS,
     local_rows: int = LOCAL_ROWS,
 ) -> DataFrame:
-    """The kept articles. ``vectors`` has (ticker, ord) and either ``embedding`` or the sparse
+    """The kept articles. ``vectors`` has (ticker, ord) and either ``embedding``, ``packed`` (see ``packing``) or the sparse
     ``ids``/``ws`` (unit vectors, terms in one order for all articles of a ticker, rarest first);
     articles without a vector are kept."""
     columns = vector_columns(vectors)
     compared = comparable_articles(news, vectors)
-    if threshold > 0:
+    if threshold > 0 and columns != ["packed"]:
         compared = compared.filter(F.exists(columns[-1], lambda x: x != 0))   # others: cosine 0
     compared = items = materialize(compared)
     if threshold <= 1 - 1e-6:
         items = materialize(settle_copies(compared, columns))
+        if columns != ["embedding"]:    # what is compared from here on are the items; of the others only keys are needed
+            compared = materialize(compared.select(*KEY))
+            release(news.sparkSession)
     dropped, _ = dropped_keys(items, threshold, lookback, tile_rows, local_rows)
     kept = items.select(*KEY).join(dropped, KEY, "left_anti")
     gone = compared.select(*KEY).join(kept, KEY, "left_anti")
